@@ -118,6 +118,47 @@ def upper_country(c) -> Column:
 
 
 # P12 -------------------------------------------------------------------
+_SPLIT = 134217729.0  # 2**27 + 1: splits a double into two 26-bit halves
+
+
+def round_half_even_exact(x, digits: int) -> Column:
+    """Round to ``digits`` places on the exact binary value, ties to even.
+
+    This is Python's round(); Spark's round() works on the shortest decimal
+    text instead and differs on near-ties (0.18055 -> 0.1806 vs 0.1805).
+    y = x * 10^d is split into y + err exactly (Dekker's product), so the
+    tie test sees the true value. Plain double arithmetic: stays in codegen.
+    """
+    x = _c(x)
+    p = float(10 ** digits)
+    y = x * p
+    t = x * _SPLIT
+    hi = t - (t - x)
+    lo = x - hi
+    err = (hi * p - y) + lo * p
+    n = F.floor(y).cast("double")
+    frac = y - n
+    up = (F.when(frac > 0.5, 1.0).when(frac < 0.5, 0.0)
+           .when(err > 0, 1.0).when(err < 0, 0.0)
+           .when(F.pmod(n, F.lit(2.0)) == 0, 0.0).otherwise(1.0))
+    return (n + up) / p
+
+
+def sql_round_half_even_exact(expr: str, digits: int) -> str:
+    """The same rounding rule as SQL text (for the DuckDB oracle)."""
+    p = f"CAST({10 ** digits} AS DOUBLE)"
+    x = f"({expr})"
+    y = f"({x} * {p})"
+    t = f"({x} * CAST(134217729 AS DOUBLE))"
+    hi = f"({t} - ({t} - {x}))"
+    err = f"(({hi} * {p} - {y}) + ({x} - {hi}) * {p})"
+    n = f"CAST(floor({y}) AS DOUBLE)"
+    frac = f"({y} - {n})"
+    up = (f"CASE WHEN {frac} > 0.5 THEN 1.0 WHEN {frac} < 0.5 THEN 0.0 WHEN {err} > 0 THEN 1.0 "
+          f"WHEN {err} < 0 THEN 0.0 WHEN {n} - 2 * floor({n} / 2) = 0 THEN 0.0 ELSE 1.0 END")
+    return f"(({n} + {up}) / {p})"
+
+
 def weather_risk_score(precip, wind, snow) -> Column:
     """0..1 risk from daily precipitation (mm), wind (km/h), snowfall (cm)."""
     def part(x, sat, w):
@@ -125,7 +166,13 @@ def weather_risk_score(precip, wind, snow) -> Column:
     s = (part(precip, C.WEATHER_PRECIP_SAT, C.WEATHER_PRECIP_WEIGHT)
          + part(wind, C.WEATHER_WIND_SAT, C.WEATHER_WIND_WEIGHT)
          + part(snow, C.WEATHER_SNOW_SAT, C.WEATHER_SNOW_WEIGHT))
-    return F.round(F.least(s, F.lit(1.0)), 4)
+    return round_half_even_exact(F.least(s, F.lit(1.0)), 4)
+
+
+def sql_weather_risk_score(precip: str, wind: str, snow: str) -> str:
+    s = (f"least(least(COALESCE({precip}, 0.0) / 30.0, 1.0) * 0.5 + least(COALESCE({wind}, 0.0) / 70.0, 1.0) * 0.35"
+         f" + least(COALESCE({snow}, 0.0) / 10.0, 1.0) * 0.15, 1.0)")
+    return sql_round_half_even_exact(s, 4)
 
 
 # P13 -------------------------------------------------------------------
@@ -180,10 +227,10 @@ def headline(delayed) -> Column:
 
 
 def on_time_rate_display(rate) -> Column:
-    """Percent text with no decimals, or N/A when the rate is 0 or null."""
+    """Percent text with no decimals (half up), or N/A when the rate is 0 or null."""
     r = _c(rate)
-    pct = F.format_number(r * 100, 0)
-    return F.when(r.isNull() | (r == 0), F.lit("N/A")).otherwise(F.concat(F.regexp_replace(pct, ",", ""), F.lit("%")))
+    pct = F.floor(r * 100 + 0.5).cast("long").cast("string")
+    return F.when(r.isNull() | (r == 0), F.lit("N/A")).otherwise(F.concat(pct, F.lit("%")))
 
 
 # P17 / P18 / P19 --------------------------------------------------------

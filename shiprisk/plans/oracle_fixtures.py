@@ -6,6 +6,8 @@ Only used by the independent oracle: each oracle query is
 
 from __future__ import annotations
 
+from ..functions.expressions import sql_weather_risk_score
+
 FIXTURES: dict[str, str] = {}
 DEPENDS: dict[str, list[str]] = {}
 
@@ -113,10 +115,9 @@ SELECT n_name AS country_code,
 FROM nation, range(1995, 2002) t(y)
 """)
 
-_fx("weather_historical", """
+_fx("weather_historical", f"""
 SELECT origin_city, departure_date, precipitation_mm, windspeed_max_kmh, snowfall_cm,
-       round(least(least(precipitation_mm / 30.0, 1.0) * 0.5 + least(windspeed_max_kmh / 70.0, 1.0) * 0.35
-                   + least(snowfall_cm / 10.0, 1.0) * 0.15, 1.0), 4) AS weather_risk_score
+       {sql_weather_risk_score("precipitation_mm", "windspeed_max_kmh", "snowfall_cm")} AS weather_risk_score
 FROM (
   SELECT DISTINCT origin_city, strftime(planned_departure_date, '%Y-%m-%d') AS departure_date,
          CAST(day(planned_departure_date) % 40 AS DOUBLE) AS precipitation_mm,

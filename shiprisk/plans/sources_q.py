@@ -1 +1,185 @@
-"""Registered queries."""
+"""Registered source/sink queries.
+
+Each one writes data that Spark derives from the given tables into a fresh
+folder under the shared checkpoint folder, then reads it back through the
+source under test.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import schemas as SC
+from ..models.assemble import score_assemble
+from ..operators import enrich as E
+from ..operators import quality as Q
+from ..sources import files as FS
+from ..sources import sinks as SK
+from ..sources import testdata as td
+from .catalog import register
+
+
+@register("scan_shipments_csv", ["raw_orders"], """
+SELECT shipment_id, shipping_mode, real_days_text, sched_days_text, quantity_text, price_text,
+       order_date_text, origin_city, destination_city, origin_country, destination_country
+FROM raw_orders""")
+def q_scan_shipments_csv(spark, sf):
+    """Raw orders written as a latin1 CSV with the source header, scanned back."""
+    path = FS.scratch_path(spark, "orders-csv")
+    raw = td.raw_orders(spark, sf)
+    named = raw.select("shipment_id", *[F.col(k).alias(v) for k, v in SC.RAW_ORDER_COLUMNS.items()])
+    named.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return FS.scan_shipments_csv(spark, path)
+
+
+@register("load_dimension", ["holiday_calendar"],
+          "SELECT country_code, holiday_date, holiday_name, risk_weight FROM holiday_calendar")
+def q_load_dimension(spark, sf):
+    """A holiday CSV whose last column is 'is_major' = True, loaded by position."""
+    path = FS.scratch_path(spark, "holidays-csv")
+    h = td.holiday_calendar(spark, sf)
+    h.select("country_code", F.date_format("holiday_date", "yyyy-MM-dd").alias("holiday_date"), "holiday_name",
+             F.lit("True").alias("is_major")).write.option("header", True).csv(path)
+    return FS.load_dimension(spark, "holiday_calendar", path)
+
+
+@register("missing_source_default", ["shipments"], """
+SELECT shipment_id, vendor_name, 0.5 AS vendor_on_time_rate, 2.0 AS vendor_avg_delay_days,
+       0 AS vendor_total_shipments FROM shipments""")
+def q_missing_source_default(spark, sf):
+    """S3: the vendor file is absent -> empty typed table -> lookup defaults for all."""
+    vendors = FS.load_dimension(spark, "vendor_stats", FS.scratch_path(spark, "absent") + "/vendor_stats.csv")
+    sh = td.shipments(spark, sf).select("shipment_id", "vendor_name")
+    out = E.join_vendor(sh, vendors)
+    return out.select("shipment_id", "vendor_name", F.col("vendor_on_time_rate").cast("double"),
+                      F.col("vendor_avg_delay_days").cast("double"), F.col("vendor_total_shipments").cast("int"))
+
+
+def _weather_loads(spark, sf):
+    """Weather rows loaded twice for some cities: an earlier load (seq 0) and a later one (seq 1)."""
+    w = td.weather_historical(spark, sf)
+    k = td.city_ordinal(F.col("origin_city"))
+    early = w.where(k % 3 == 0).withColumn("precipitation_mm", F.col("precipitation_mm") + 1.0)
+    return early.withColumn("load_seq", F.lit(0)).unionByName(w.withColumn("load_seq", F.lit(1)))
+
+
+_LOADS_SQL = """
+SELECT origin_city, departure_date, precipitation_mm + 1.0 AS precipitation_mm, windspeed_max_kmh, snowfall_cm,
+       weather_risk_score, 0 AS load_seq
+FROM weather_historical WHERE CAST(split_part(origin_city, '_', 2) AS INTEGER) % 3 = 0
+UNION ALL
+SELECT origin_city, departure_date, precipitation_mm, windspeed_max_kmh, snowfall_cm, weather_risk_score, 1
+FROM weather_historical"""
+
+
+@register("dedupe_keep_first", ["weather_historical"], f"""
+SELECT origin_city, departure_date, precipitation_mm, windspeed_max_kmh, snowfall_cm, weather_risk_score, load_seq
+FROM ({_LOADS_SQL}) l
+QUALIFY row_number() OVER (PARTITION BY origin_city, departure_date ORDER BY load_seq) = 1""")
+def q_dedupe_keep_first(spark, sf):
+    """Primary-key conflict, first load wins."""
+    return Q.dedupe_keep_first(_weather_loads(spark, sf), ["origin_city", "departure_date"], ["load_seq"])
+
+
+def _risk_shaped_load(spark, sf):
+    """A country-risk-shaped load derived from events (breaks the checks on some rows)."""
+    ev = td.events(spark, sf)
+    return ev.select(
+        F.concat(F.col("event_type"), F.lit("_"), F.col("user_id").cast("string")).alias("country_code"),
+        (F.col("value") / 50.0).alias("lpi_score"),
+        (F.col("user_id") % 6).cast("int").alias("customs_tier"),
+        (F.col("value") / 400.0).alias("geopolitical_risk"),
+        (F.col("value") - 100.0).alias("port_congestion"))
+
+
+_RISK_LOAD_SQL = """
+SELECT concat(event_type, '_', CAST(user_id AS VARCHAR)) AS country_code, value / 50.0 AS lpi_score,
+       CAST(user_id % 6 AS INTEGER) AS customs_tier, value / 400.0 AS geopolitical_risk,
+       value - 100.0 AS port_congestion
+FROM events_ts"""
+
+
+@register("check_constraints", ["events_ts"], f"""
+SELECT count(*) AS row_count,
+       count(*) FILTER (WHERE NOT (lpi_score >= 1.0 AND lpi_score <= 5.0)) AS rule_0,
+       count(*) FILTER (WHERE NOT (customs_tier >= 1 AND customs_tier <= 4)) AS rule_1,
+       count(*) FILTER (WHERE NOT (geopolitical_risk >= 0.0 AND geopolitical_risk <= 1.0)) AS rule_2,
+       count(*) FILTER (WHERE NOT (port_congestion >= 0.0)) AS rule_3,
+       count(*) FILTER (WHERE (lpi_score >= 1.0 AND lpi_score <= 5.0) AND (customs_tier >= 1 AND customs_tier <= 4)
+                         AND (geopolitical_risk >= 0.0 AND geopolitical_risk <= 1.0) AND port_congestion >= 0.0)
+         AS quarantine_good_rows,
+       CASE WHEN count(*) FILTER (WHERE NOT ((lpi_score >= 1.0 AND lpi_score <= 5.0)
+                 AND (customs_tier >= 1 AND customs_tier <= 4)
+                 AND (geopolitical_risk >= 0.0 AND geopolitical_risk <= 1.0) AND port_congestion >= 0.0)) > 0
+            THEN 0 ELSE count(*) END AS strict_good_rows
+FROM ({_RISK_LOAD_SQL}) r""")
+def q_check_constraints(spark, sf):
+    """Per-rule violation counts; rows kept under quarantine and strict modes."""
+    load = _risk_shaped_load(spark, sf)
+    rules = SC.DIMENSIONS["country_risk"][2]
+    counts = Q.violation_counts(load, rules)
+    good_q, _ = Q.check_constraints(load, rules, mode="quarantine")
+    good_s, _ = Q.check_constraints(load, rules, mode="strict")
+    return (counts
+            .crossJoin(good_q.agg(F.count(F.lit(1)).alias("quarantine_good_rows")))
+            .crossJoin(good_s.agg(F.count(F.lit(1)).alias("strict_good_rows"))))
+
+
+@register("idempotent_seed", ["vendor_stats"],
+          "SELECT vendor_name, on_time_rate, avg_delay_days, total_shipments FROM vendor_stats")
+def q_idempotent_seed(spark, sf):
+    """Seeding twice writes once; the table reads back unchanged."""
+    path = FS.scratch_path(spark, "vendor-seed")
+    v = td.vendor_stats(spark, sf)
+    FS.idempotent_seed(spark, v, path)
+    FS.idempotent_seed(spark, v.limit(0), path)  # second seed is a no-op
+    return spark.read.parquet(path)
+
+
+def _assembled(spark, sf):
+    g = td.given_scores(spark, sf).select("shipment_id", "vendor_name", "raw_p", "raw_days", "reason_index")
+    return score_assemble(E.join_vendor(g, td.vendor_stats(spark, sf)))
+
+
+@register("prediction_log_sink")
+def q_prediction_log_sink(spark, sf):
+    """Append scored rows to a month-partitioned log; read back (server time stamps)."""
+    path = FS.scratch_path(spark, "prediction-log")
+    SK.append_prediction_log(_assembled(spark, sf), path)
+    return spark.read.parquet(path).select(*SK.PREDICTION_LOG_COLUMNS, "month")
+
+
+@register("weather_append_sink", ["weather_historical"], """
+SELECT origin_city, departure_date, precipitation_mm, windspeed_max_kmh, snowfall_cm, weather_risk_score
+FROM weather_historical""")
+def q_weather_append_sink(spark, sf):
+    """Two appended batches (the second refetches days already stored) read back once per key."""
+    path = FS.scratch_path(spark, "weather")
+    w = td.weather_historical(spark, sf)
+    k = td.city_ordinal(F.col("origin_city"))
+    SK.append_weather(w.where(k < 20).withColumn("load_seq", F.lit(0)), path)
+    SK.append_weather(w.withColumn("load_seq", F.lit(1)), path)
+    return SK.read_weather(spark, path)
+
+
+def _geo_pairs(spark, sf):
+    sh = td.shipments(spark, sf)
+    pairs = sh.select(F.col("origin_city").alias("city"), F.col("origin_country").alias("country")).distinct()
+    k = td.city_ordinal(F.col("city"))
+    failed = k % 7 == 3
+    return pairs.select("city", "country",
+                        F.when(~failed, (k * 37 % 150) - 70.0).alias("lat"),
+                        F.when(~failed, (k * 83 % 350) - 170.0).alias("lon"))
+
+
+@register("geocode_lookup_io", ["shipments"], """
+SELECT city, country,
+       CASE WHEN k % 7 = 3 THEN NULL ELSE CAST(k * 37 % 150 AS DOUBLE) - 70.0 END AS lat,
+       CASE WHEN k % 7 = 3 THEN NULL ELSE CAST(k * 83 % 350 AS DOUBLE) - 170.0 END AS lon
+FROM (SELECT DISTINCT origin_city AS city, origin_country AS country,
+             CAST(split_part(origin_city, '_', 2) AS INTEGER) AS k FROM shipments) p""")
+def q_geocode_lookup_io(spark, sf):
+    """Geocode rows -> JSON cache text files -> lookup rows again."""
+    path = FS.scratch_path(spark, "geocode-cache")
+    FS.geocode_table_to_cache(_geo_pairs(spark, sf)).write.text(path)
+    return FS.geocode_cache_to_table(spark.read.text(path))

@@ -168,4 +168,7 @@ def with_fixtures(names: list[str], body: str) -> str:
     for n in names:
         visit(n)
     ctes = ",\n".join(f"{n} AS ({FIXTURES[n].strip()})" for n in order)
-    return f"WITH {ctes}\n{body.strip()}"
+    body = body.strip()
+    if body[:5].upper() == "WITH ":  # merge the body's own CTEs into one WITH clause
+        return f"WITH {ctes},\n{body[5:]}"
+    return f"WITH {ctes}\n{body}"

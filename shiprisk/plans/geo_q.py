@@ -1 +1,183 @@
-"""Registered queries."""
+"""Registered geometry and prompt queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import constants as C
+from ..functions import expressions as X
+from ..functions import text as TX
+from ..operators import geo as G
+from ..sources import testdata as td
+from .catalog import register
+
+
+def _pairs(spark, sf):
+    """Distinct (origin, destination) city pairs with both points' coordinates."""
+    sh = td.shipments(spark, sf).select("origin_city", "destination_city").distinct()
+    cc = td.city_coordinates(spark, sf)
+    o = cc.select(F.col("city").alias("origin_city"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"))
+    d = cc.select(F.col("city").alias("destination_city"), F.col("lat").alias("d_lat"), F.col("lon").alias("d_lon"))
+    return sh.join(o, "origin_city").join(d, "destination_city")
+
+
+_PAIRS_SQL = """
+SELECT p.origin_city, p.destination_city, o.lat AS o_lat, o.lon AS o_lon, d.lat AS d_lat, d.lon AS d_lon
+FROM (SELECT DISTINCT origin_city, destination_city FROM shipments) p
+JOIN city_coordinates o ON o.city = p.origin_city
+JOIN city_coordinates d ON d.city = p.destination_city"""
+
+
+def _sql_bounds(lat: str, lon: str, bounds) -> str:
+    ops = {"ge": ">=", "gt": ">", "lt": "<"}
+    return " AND ".join(f"{lat if a == 'lat' else lon} {ops[op]} {float(v)}" for a, op, v in bounds)
+
+
+def sql_region(lat: str, lon: str) -> str:
+    whens = " ".join(f"WHEN {_sql_bounds(lat, lon, b)} THEN '{r}'" for r, b in C.REGION_RULES)
+    return f"(CASE {whens} ELSE '{C.REGION_OTHER}' END)"
+
+
+def _sql_points(names) -> str:
+    pts = [(C.WAYPOINTS[n] if isinstance(n, str) else n) for n in names]
+    return "[" + ", ".join(f"{{'lat': CAST({a} AS DOUBLE), 'lon': CAST({b} AS DOUBLE)}}" for a, b in pts) + "]"
+
+
+def sql_lane_waypoints(s_lat, s_lon, e_lat, e_lon) -> str:
+    sr, er = sql_region(s_lat, s_lon), sql_region(e_lat, e_lon)
+    whens = []
+    for s_regions, e_regions, cond, names in C.LANE_RULES:
+        c = f"{sr} IN ({', '.join(repr(r) for r in s_regions)}) AND {er} IN ({', '.join(repr(r) for r in e_regions)})"
+        if cond:
+            point, axis, op, value = cond
+            col = {("s", "lat"): s_lat, ("s", "lon"): s_lon, ("e", "lat"): e_lat, ("e", "lon"): e_lon}[(point, axis)]
+            c += f" AND {col} {'>' if op == 'gt' else '<'} {value}"
+        whens.append(f"WHEN {c} THEN {_sql_points(names)}")
+    return f"(CASE {' '.join(whens)} ELSE []::STRUCT(lat DOUBLE, lon DOUBLE)[] END)"
+
+
+@register("geodesic_angle", ["city_coordinates", "shipments"], f"""
+SELECT origin_city, destination_city,
+       round(2 * asin(sqrt(pow(sin((radians(d_lat) - radians(o_lat)) / 2), 2)
+             + cos(radians(o_lat)) * cos(radians(d_lat)) * pow(sin((radians(d_lon) - radians(o_lon)) / 2), 2)))
+             * 6371.0088, 6) AS distance_km
+FROM ({_PAIRS_SQL}) p""")
+def q_geodesic_angle(spark, sf):
+    """Great-circle distance per city pair (rounded to 6 places for a total comparison)."""
+    p = _pairs(spark, sf)
+    return p.select("origin_city", "destination_city",
+                    F.round(X.geodesic_km("o_lat", "o_lon", "d_lat", "d_lon"), 6).alias("distance_km"))
+
+
+@register("geo_region", ["city_coordinates", "shipments"], f"""
+SELECT city, lat, lon, {sql_region("lat", "lon")} AS region FROM city_coordinates""")
+def q_geo_region(spark, sf):
+    """Broad region of every city (first matching rule)."""
+    cc = td.city_coordinates(spark, sf)
+    return cc.select("city", "lat", "lon", X.geo_region("lat", "lon").alias("region"))
+
+
+@register("city_coordinates", ["city_coordinates", "city_dictionary", "shipments"], """
+SELECT c.city, COALESCE(e.lat, f.lat) AS lat, COALESCE(e.lon, f.lon) AS lon,
+       COALESCE(e.ordinal, f.ordinal) AS dictionary_ordinal
+FROM (SELECT city FROM city_coordinates) c
+LEFT JOIN city_dictionary e ON e.name = lower(trim(c.city))
+LEFT JOIN (SELECT k.city, arg_min(d.lat, d.ordinal) AS lat, arg_min(d.lon, d.ordinal) AS lon,
+                  min(d.ordinal) AS ordinal
+           FROM (SELECT city FROM city_coordinates) k, city_dictionary d
+           WHERE contains(d.name, lower(trim(k.city))) OR contains(lower(trim(k.city)), d.name)
+           GROUP BY k.city) f ON f.city = c.city""")
+def q_city_coordinates(spark, sf):
+    """Exact dictionary hit, else first entry containing / contained in the name."""
+    cities = td.city_coordinates(spark, sf).select("city")
+    return G.city_coordinates(cities, td.city_dictionary(spark, sf))
+
+
+@register("lane_waypoints", ["city_coordinates", "shipments"], f"""
+SELECT origin_city, destination_city, i - 1 AS idx, w[i].lat AS lat, w[i].lon AS lon, len(w) AS n_waypoints
+FROM (SELECT *, {sql_lane_waypoints("o_lat", "o_lon", "d_lat", "d_lon")} AS w FROM ({_PAIRS_SQL}) p0) p,
+     LATERAL (SELECT unnest(generate_series(1, len(p.w))) AS i) g""")
+def q_lane_waypoints(spark, sf):
+    """Sea-lane waypoints per city pair, one row per waypoint."""
+    p = G.with_lane_waypoints(_pairs(spark, sf), "w")
+    return p.select("origin_city", "destination_city", F.posexplode("w").alias("idx", "pt"),
+                    F.size("w").alias("n_waypoints")).select(
+        "origin_city", "destination_city", "idx", F.col("pt.lat").alias("lat"), F.col("pt.lon").alias("lon"),
+        "n_waypoints")
+
+
+@register("polyline_linear", ["city_coordinates", "shipments"], f"""
+SELECT origin_city, destination_city, leg * 9 + s AS idx,
+       pts[leg + 1].lat + (pts[leg + 2].lat - pts[leg + 1].lat) * (CAST(s AS DOUBLE) / 8.0) AS lat,
+       pts[leg + 1].lon + (pts[leg + 2].lon - pts[leg + 1].lon) * (CAST(s AS DOUBLE) / 8.0) AS lon
+FROM (SELECT origin_city, destination_city,
+             [{{'lat': o_lat, 'lon': o_lon}}] || {sql_lane_waypoints("o_lat", "o_lon", "d_lat", "d_lon")}
+               || [{{'lat': d_lat, 'lon': d_lon}}] AS pts
+      FROM ({_PAIRS_SQL}) p0) p,
+     LATERAL (SELECT unnest(generate_series(0, len(p.pts) - 2)) AS leg) l,
+     LATERAL (SELECT unnest(generate_series(0, 8)) AS s) t""")
+def q_polyline_linear(spark, sf):
+    """Start + sea-lane waypoints + end, 8 steps per leg, one row per point."""
+    p = _pairs(spark, sf)
+    start = F.struct(F.col("o_lat").alias("lat"), F.col("o_lon").alias("lon"))
+    end = F.struct(F.col("d_lat").alias("lat"), F.col("d_lon").alias("lon"))
+    p = G.with_lane_waypoints(p, "w")
+    line = G.polyline_linear(start, F.col("w"), end, C.OCEAN_LEG_STEPS)
+    return p.select("origin_city", "destination_city", F.posexplode(line).alias("idx", "pt")).select(
+        "origin_city", "destination_city", "idx", F.col("pt.lat").alias("lat"), F.col("pt.lon").alias("lon"))
+
+
+def _gc_sql() -> str:
+    la1, lo1, la2, lo2 = "radians(o_lat)", "radians(o_lon)", "radians(d_lat)", "radians(d_lon)"
+    d = (f"(2 * asin(sqrt(pow(sin(({la2} - {la1}) / 2), 2) + cos({la1}) * cos({la2}) "
+         f"* pow(sin(({lo2} - {lo1}) / 2), 2))))")
+    f = "(CAST(i AS DOUBLE) / 80.0)"
+    a = f"(sin((1.0 - {f}) * {d}) / sin({d}))"
+    b = f"(sin({f} * {d}) / sin({d}))"
+    x = f"({a} * cos({la1}) * cos({lo1}) + {b} * cos({la2}) * cos({lo2}))"
+    y = f"({a} * cos({la1}) * sin({lo1}) + {b} * cos({la2}) * sin({lo2}))"
+    z = f"({a} * sin({la1}) + {b} * sin({la2}))"
+    return (f"CASE WHEN {d} = 0 THEN o_lat ELSE round(degrees(atan2({z}, sqrt({x} * {x} + {y} * {y}))), 6) END AS lat, "
+            f"CASE WHEN {d} = 0 THEN o_lon ELSE round(degrees(atan2({y}, {x})), 6) END AS lon")
+
+
+@register("polyline_great_circle", ["city_coordinates", "shipments"], f"""
+SELECT origin_city, destination_city, i AS idx, {_gc_sql()}
+FROM ({_PAIRS_SQL}) p, LATERAL (SELECT unnest(generate_series(0, 80)) AS i) g""")
+def q_polyline_great_circle(spark, sf):
+    """81 great-circle points per pair (rounded to 6 places; trig ulps differ across libraries)."""
+    p = _pairs(spark, sf)
+    line = G.polyline_great_circle("o_lat", "o_lon", "d_lat", "d_lon")
+    return p.select("origin_city", "destination_city", F.posexplode(line).alias("idx", "pt")).select(
+        "origin_city", "destination_city", "idx",
+        F.round("pt.lat", 6).alias("lat"), F.round("pt.lon", 6).alias("lon"))
+
+
+@register("route_geometry")
+def q_route_geometry(spark, sf):
+    """Polyline and route type per distinct (route, countries, carrier)."""
+    r = td.typed_shipments(spark, sf).select("origin_city", "destination_city", "origin_country",
+                                             "destination_country", "carrier_type").distinct()
+    cc = td.city_coordinates(spark, sf)
+    o = cc.select(F.col("city").alias("origin_city"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"))
+    d = cc.select(F.col("city").alias("destination_city"), F.col("lat").alias("d_lat"), F.col("lon").alias("d_lon"))
+    g = G.route_geometry(r.join(o, "origin_city").join(d, "destination_city"))
+    return g.select("origin_city", "destination_city", "origin_country", "destination_country", "carrier_type",
+                    "route_type", F.size("route").alias("n_points"), "route")
+
+
+@register("explain_prompt")
+def q_explain_prompt(spark, sf):
+    """P20: the sanitized explanation prompt per scored shipment (no model call)."""
+    from .ml_q import _assembled
+    from .enrichment import q_enrich_shipments
+    from ..models.assemble import explain_context
+    ctx = explain_context(_assembled(spark, sf), q_enrich_shipments(spark, sf).drop("vendor_name"))
+    req = td.typed_shipments(spark, sf).select(
+        "shipment_id", "vendor_name", "origin_city", "origin_country", "destination_city", "destination_country",
+        "carrier_type", "priority_level", "distance_km", "is_hazmat", "scheduled_transit_days")
+    w = q_enrich_shipments(spark, sf).select("shipment_id", "weather_risk_score")
+    j = ctx.join(req, "shipment_id").join(w, "shipment_id")
+    lang = F.element_at(F.array(*[F.lit(x) for x in C.PROMPT_LANGUAGES + ["Klingon"]]),
+                        (F.abs(F.hash("shipment_id")) % (len(C.PROMPT_LANGUAGES) + 1) + 1).cast("int"))
+    return j.select("shipment_id", lang.alias("language"), TX.explain_prompt(lang).alias("prompt"))

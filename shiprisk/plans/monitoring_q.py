@@ -1 +1,212 @@
-"""Registered queries."""
+"""Registered monitoring queries (T2-T14, batch forms).
+
+Events stand in for the service streams (FIXTURES.md §6): user_id is the
+shipment, event_type the position cell / endpoint / model key, value the
+latency, least(1, value / 200) the predicted probability.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import monitor as MO
+from ..sources import testdata as td
+from .catalog import register
+from .ml_q import _ASSEMBLE_SQL, _assembled
+
+_PROB = "least(1.0, value / 200.0)"
+
+
+def _events(spark, sf):
+    return td.events(spark, sf)
+
+
+@register("stationary_alert", ["events_ts"], """
+WITH l AS (SELECT user_id, event_type, ts, event_id,
+                  CASE WHEN lag(event_type) OVER w IS NULL OR lag(event_type) OVER w <> event_type THEN 1 ELSE 0 END
+                    AS new_run
+           FROM events_ts WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+i AS (SELECT *, CAST(sum(new_run) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT)
+                AS island FROM l)
+SELECT user_id, island, first(event_type) AS event_type, min(ts) AS start_ts, max(ts) AS end_ts,
+       count(*) AS pings, (epoch_us(max(ts)) // 1000000) - (epoch_us(min(ts)) // 1000000) AS stationary_seconds
+FROM i GROUP BY user_id, island
+HAVING (epoch_us(max(ts)) // 1000000) - (epoch_us(min(ts)) // 1000000) >= 7200""")
+def q_stationary_alert(spark, sf):
+    """Runs of pings in one position cell lasting two hours or more."""
+    return MO.stationary_alerts(_events(spark, sf))
+
+
+_REUSE_SQL = """
+SELECT event_id, ts, user_id % 30 AS reuse_user, event_type,
+       lag(ts) OVER w IS NOT NULL AND epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 21600000000 AS cache_hit
+FROM events_ts WINDOW w AS (PARTITION BY user_id % 30, event_type ORDER BY ts, event_id)"""
+
+
+def _reuse(spark, sf):
+    e = _events(spark, sf).select("event_id", "ts", (F.col("user_id") % 30).alias("reuse_user"), "event_type")
+    return MO.prediction_reuse(e, ["reuse_user", "event_type"]).drop("prev_ts")
+
+
+@register("prediction_reuse", ["events_ts"], _REUSE_SQL)
+def q_prediction_reuse(spark, sf):
+    """A request reuses the prediction of the same key made within 6 hours."""
+    return _reuse(spark, sf)
+
+
+@register("cache_hit_rate", ["events_ts"], f"""
+SELECT CAST(ts AS DATE) AS day, count(*) AS requests, count(*) FILTER (WHERE cache_hit) AS hits,
+       count(*) FILTER (WHERE cache_hit) / count(*) AS hit_rate,
+       count(*) FILTER (WHERE cache_hit) / count(*) < 0.4 AS alert
+FROM ({_REUSE_SQL}) r GROUP BY CAST(ts AS DATE)""")
+def q_cache_hit_rate(spark, sf):
+    """Daily share of reused predictions, alert under 40 %."""
+    return MO.cache_hit_rate(_reuse(spark, sf))
+
+
+@register("feature_drift", ["events_ts"], """
+WITH daily AS (SELECT CAST(ts AS DATE) AS day, event_type AS category, count(*) AS n FROM events_ts GROUP BY 1, 2),
+base AS (SELECT category, sum(n) AS base_n FROM daily GROUP BY 1),
+tot AS (SELECT sum(base_n) AS all_n FROM base),
+b AS (SELECT category, greatest(base_n / all_n, 1e-4) AS q FROM base, tot),
+days AS (SELECT day, sum(n) AS day_n FROM daily GROUP BY day),
+grid AS (SELECT d.day, b.category, b.q, COALESCE(x.n, 0) AS n, d.day_n
+         FROM days d CROSS JOIN b LEFT JOIN daily x ON x.day = d.day AND x.category = b.category)
+SELECT day, count(*) FILTER (WHERE n > 0) AS categories,
+       sum((greatest(n / day_n, 1e-4) - q) * ln(greatest(n / day_n, 1e-4) / q)) AS psi
+FROM grid GROUP BY day""")
+def q_feature_drift(spark, sf):
+    """T4: daily PSI of the category mix against the whole-period baseline."""
+    return MO.feature_drift(_events(spark, sf), "event_type")
+
+
+@register("label_drift", ["given_scores"], """
+SELECT strftime(planned_departure_date, '%Y-%m') AS period, avg(raw_p) AS mean_predicted,
+       avg(CAST(delay_flag AS DOUBLE)) AS actual_rate, count(*) AS n
+FROM given_scores GROUP BY 1""")
+def q_label_drift(spark, sf):
+    """T5: mean predicted probability against the actual delay rate per month."""
+    g = td.given_scores(spark, sf)
+    return MO.label_drift(g, F.date_format("planned_departure_date", "yyyy-MM"), "raw_p", "delay_flag")
+
+
+@register("false_negative_rate", ["given_scores"], """
+SELECT planned_departure_date AS day,
+       count(*) FILTER (WHERE delay_flag = 1 AND NOT raw_p >= 0.5) AS false_negatives,
+       count(*) FILTER (WHERE delay_flag = 1) AS late,
+       CASE WHEN count(*) FILTER (WHERE delay_flag = 1) > 0
+            THEN count(*) FILTER (WHERE delay_flag = 1 AND NOT raw_p >= 0.5) / count(*) FILTER (WHERE delay_flag = 1)
+       END AS fn_rate
+FROM given_scores GROUP BY planned_departure_date""")
+def q_false_negative_rate(spark, sf):
+    """Per day, late deliveries predicted on time over all late deliveries."""
+    g = td.given_scores(spark, sf).withColumn("predicted", F.col("raw_p") >= 0.5)
+    return MO.false_negative_rate(g, F.col("planned_departure_date"), "predicted", "delay_flag")
+
+
+@register("latency_percentiles", ["events_ts"], """
+SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start,
+       round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95,
+       round(quantile_cont(value, 0.99), 6) AS p99, count(*) AS n
+FROM events_ts GROUP BY 1""")
+def q_latency_percentiles(spark, sf):
+    """Exact p50/p95/p99 latency per hour (6-place output rounding)."""
+    p = MO.latency_percentiles(_events(spark, sf), "ts", "value")
+    return p.select("window_start", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")], "n")
+
+
+@register("error_rate_windows", ["events_ts"], """
+SELECT time_bucket(INTERVAL '2 minutes', ts) AS window_start, count(*) AS requests,
+       count(*) FILTER (WHERE event_type = 'error') AS errors,
+       count(*) FILTER (WHERE event_type = 'error') / count(*) AS error_rate,
+       count(*) FILTER (WHERE event_type = 'error') / count(*) > 0.01 AS alert
+FROM events_ts GROUP BY 1""")
+def q_error_rate_windows(spark, sf):
+    """Share of error responses per tumbling 2-minute window, alert above 1 %."""
+    return MO.error_rate_windows(_events(spark, sf), "ts", F.col("event_type") == "error")
+
+
+_UNITS = "CAST(least(20000, round(value * 100)) AS BIGINT)"
+
+
+@register("rolling_confidence", ["events_ts"], f"""
+WITH r AS (SELECT event_type, ts, event_id,
+                  row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn,
+                  CAST(sum({_UNITS}) OVER w AS DOUBLE) / count(*) OVER w AS rolling_units,
+                  CAST(sum({_UNITS}) OVER (PARTITION BY event_type) AS DOUBLE)
+                    / count(*) OVER (PARTITION BY event_type) AS key_units
+           FROM events_ts
+           WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))
+SELECT event_type, ts, event_id, rn, rolling_units / 20000.0 AS rolling_mean,
+       rolling_units < key_units * 0.8 AS confidence_drop
+FROM r""")
+def q_rolling_confidence(spark, sf):
+    """Rolling mean of the last 100 probabilities per model key; drop flag.
+
+    The probability least(1, value / 200) is carried as integer units of
+    1/20000 (value in cents, capped), so every sum is exact.
+    """
+    units = F.least(F.lit(20000), F.round(F.col("value") * 100)).cast("long")
+    e = _events(spark, sf).withColumn("p_units", units)
+    r = MO.rolling_confidence(e, "event_type", "ts", "event_id", "p_units")
+    return r.withColumn("rolling_mean", F.col("rolling_mean") / 20000.0)
+
+
+@register("request_rate", ["events_ts"], """
+WITH g AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type AS endpoint, count(*) AS requests
+           FROM events_ts GROUP BY 1, 2)
+SELECT window_start, endpoint, requests,
+       avg(requests) OVER (PARTITION BY endpoint ORDER BY window_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+         AS normal,
+       COALESCE(requests > 1.3 * avg(requests) OVER (PARTITION BY endpoint ORDER BY window_start
+                                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS surge
+FROM g""")
+def q_request_rate(spark, sf):
+    """Requests per hour and endpoint against the endpoint's earlier hours."""
+    return MO.request_rate(_events(spark, sf), "ts", "event_type")
+
+
+@register("monthly_vendor_mode_report", ["given_scores", "vendor_stats", "requests"], f"""
+WITH a AS ({_ASSEMBLE_SQL})
+SELECT strftime(r.planned_departure_date, '%Y-%m') AS month, r.vendor_name, r.carrier_type AS mode,
+       count(*) AS predictions, round(avg(a.adjusted_delay_probability), 9) AS mean_probability,
+       avg(CAST(a.delay_predicted AS DOUBLE)) AS delayed_share
+FROM a JOIN requests r ON r.shipment_id = a.shipment_id
+GROUP BY 1, 2, 3""")
+def q_monthly_vendor_mode_report(spark, sf):
+    """Predictions by month, vendor and carrier mode."""
+    req = td.typed_shipments(spark, sf).select("shipment_id", "vendor_name", "carrier_type", "planned_departure_date")
+    log = _assembled(spark, sf).join(req, "shipment_id")
+    r = MO.monthly_vendor_mode_report(log, F.date_format("planned_departure_date", "yyyy-MM"), "vendor_name",
+                                      "carrier_type", "adjusted_delay_probability", "delay_predicted")
+    return r.withColumn("mean_probability", F.round("mean_probability", 9))
+
+
+@register("shadow_compare", ["shipments"], """
+WITH s AS (SELECT CAST((l_partkey * 37) % 1000 AS DOUBLE) / 999.0 AS a,
+                  (CAST((l_partkey * 37) % 1000 AS DOUBLE) / 999.0 + CAST((l_partkey * 53) % 1000 AS DOUBLE) / 999.0
+                   + CAST((l_suppkey * 71 + l_linenumber) % 1000 AS DOUBLE) / 999.0) / 3.0 AS b
+           FROM shipments)
+SELECT count(*) AS rows, avg(CASE WHEN (a >= 0.5) = (b >= 0.5) THEN 1.0 ELSE 0.0 END) AS agreement,
+       round(avg(abs(a - b)), 9) AS mean_abs_diff, round(corr(a, b), 9) AS correlation
+FROM s""")
+def q_shadow_compare(spark, sf):
+    """Current model (given score) against a shadow model (vote of three) on the same rows."""
+    from .ml_q import q_soft_vote
+    a = td.given_scores(spark, sf).select("shipment_id", "raw_p")
+    b = q_soft_vote(spark, sf).withColumnRenamed("raw_p", "shadow_p")
+    r = MO.shadow_compare(a, b, "shipment_id", "raw_p", "shadow_p")
+    return r.select("rows", "agreement", F.round("mean_abs_diff", 9).alias("mean_abs_diff"),
+                    F.round("correlation", 9).alias("correlation"))
+
+
+@register("p95_alert", ["events_ts"], """
+WITH m AS (SELECT epoch_us(ts) // 60000000 AS minute, quantile_cont(value, 0.95) AS p95 FROM events_ts GROUP BY 1),
+b AS (SELECT minute, p95 FROM m WHERE p95 > 200)
+SELECT make_timestamp(b.minute * 60000000) AS minute_start, round(b.p95, 6) AS p95 FROM b
+WHERE EXISTS (SELECT 1 FROM b b1 WHERE b1.minute = b.minute - 1)""")
+def q_p95_alert(spark, sf):
+    """Minutes whose p95 latency has been over the threshold for the last
+    ``minutes`` minutes (thresholds scaled to the test events: 200, 2 minutes)."""
+    a = MO.p95_alerts(_events(spark, sf), "ts", "value", threshold=200.0, minutes=2)
+    return a.withColumn("p95", F.round("p95", 6))

@@ -129,7 +129,7 @@ FROM (
 """, ["shipments"])
 
 _fx("given_scores", """
-SELECT shipment_id, vendor_name, real_days, scheduled_days,
+SELECT shipment_id, vendor_name, real_days, scheduled_days, planned_departure_date,
        CAST((l_partkey * 37) % 1000 AS DOUBLE) / 999.0 AS raw_p,
        CAST(real_days AS DOUBLE) * 0.9 + 0.03 AS raw_days,
        CAST(l_suppkey % 4 AS INTEGER) AS reason_index,

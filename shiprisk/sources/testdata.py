@@ -177,7 +177,7 @@ def given_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model outputs given as columns (to check the SQL part of scoring and metrics)."""
     sh = shipments(spark, sf_dir)
     return sh.select(
-        "shipment_id", "vendor_name", "real_days", "scheduled_days",
+        "shipment_id", "vendor_name", "real_days", "scheduled_days", "planned_departure_date",
         ((F.col("l_partkey") * 37 % 1000) / 999.0).alias("raw_p"),
         (F.col("real_days") * 0.9 + 0.03).alias("raw_days"),
         (F.col("l_suppkey") % 4).cast("int").alias("reason_index"),

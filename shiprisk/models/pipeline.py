@@ -196,10 +196,15 @@ def fit_delay_model(train_table: DataFrame, params: TrainParams | None = None) -
     the reason classifier with the k-means labels on the delayed test rows.
     """
     p = params or TrainParams()
+    # The labelled table feeds the scaler, both splits, three fits and the
+    # metrics: keep it (memory, spilling to disk) instead of recomputing its joins.
+    train_table = train_table.persist(StorageLevel.MEMORY_AND_DISK)
     split = stratified_split(train_table, test_percent=p.test_percent)
     train = split.where(~F.col("is_test"))
-    stats = A.fit_scaler(train, NUMERIC_FEATURES)
-    stats = stats.persist(StorageLevel.MEMORY_AND_DISK)
+    # 25 rows (one per feature): held as a literal table so the fitted model
+    # carries no lineage back to the training data.
+    fitted_stats = A.fit_scaler(train, NUMERIC_FEATURES)
+    stats = train_table.sparkSession.createDataFrame(fitted_stats.collect(), fitted_stats.schema)
     weighted = A.with_class_weight(prepare(train, stats), "delay_flag", "w")
     weighted = weighted.withColumn("label", F.col("delay_flag").cast("double"))
     weighted = weighted.persist(StorageLevel.MEMORY_AND_DISK)
@@ -231,7 +236,7 @@ def fit_delay_model(train_table: DataFrame, params: TrainParams | None = None) -
 
     # held-out metrics ------------------------------------------------------
     test = split.where(F.col("is_test"))
-    scored = model.raw_scores(test)
+    scored = model.raw_scores(test).select("shipment_id", "raw_p", "delay_flag").persist(StorageLevel.MEMORY_AND_DISK)
     acc = MT.accuracy(scored.withColumn("yhat", (F.col("raw_p") >= C.DELAY_THRESHOLD).cast("int")),
                       "yhat", "delay_flag")
     auc = MT.roc_auc(scored, "raw_p", "delay_flag")
@@ -240,9 +245,11 @@ def fit_delay_model(train_table: DataFrame, params: TrainParams | None = None) -
     err = MT.mae_rmse(d_scored, "raw_days", "delay_days")
     reason_acc = MT.accuracy(d_scored.withColumn("c", F.col("cluster").cast("int")), "reason_index", "c") \
         .withColumnRenamed("accuracy", "reason_accuracy")
-    metrics = acc.crossJoin(auc).crossJoin(err).crossJoin(reason_acc)
-    weighted.unpersist()
-    d_train.unpersist()
+    metrics = acc.crossJoin(auc).crossJoin(err).crossJoin(reason_acc)  # one-row frames
+    metrics = metrics.persist(StorageLevel.MEMORY_AND_DISK)
+    metrics.count()
+    for df in (weighted, d_train, scored, train_table):
+        df.unpersist()
     return model, metrics
 
 

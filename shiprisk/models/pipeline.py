@@ -102,10 +102,19 @@ def scaler_row(stats: DataFrame) -> DataFrame:
 
 
 def standardize(df: DataFrame, stats: DataFrame, features: list[str] = NUMERIC_FEATURES) -> DataFrame:
-    """M4: (x - mean) / std with population statistics; one-row stats side."""
-    j = df.crossJoin(F.broadcast(scaler_row(stats)))  # exactly one row
-    scaled = {f"{f}_scaled": (F.col(f).cast("double") - F.col(f"{f}__mean")) / F.col(f"{f}__std") for f in features}
-    return j.withColumns(scaled).drop(*[c for f in features for c in (f"{f}__mean", f"{f}__std")])
+    """M4: (x - mean) / std with population statistics.
+
+    The statistics are one row per feature (bounded by the feature list, not
+    the data), read once and inlined as literals, as a fitted scaler holds
+    its vectors: the scaling is then plain arithmetic inside codegen.
+    """
+    rows = {r["feature"]: (r["mean"], r["std"]) for r in stats.collect()}
+
+    def lit(v):
+        return F.lit(None).cast("double") if v is None else F.lit(float(v))
+    scaled = {f"{f}_scaled": (F.col(f).cast("double") - lit(rows.get(f, (None, None))[0])) / lit(rows.get(f, (None, None))[1])
+              for f in features}
+    return df.withColumns(scaled)
 
 
 # M5 ---------------------------------------------------------------------

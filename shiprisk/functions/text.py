@@ -44,8 +44,8 @@ def explain_prompt(language: Column) -> Column:
         F.format_string(PROMPT_LINES[0], s("shipment_id"), s("origin_city"), s("origin_country"),
                         s("destination_city"), s("destination_country"), s("vendor_name")),
         F.format_string(PROMPT_LINES[1], s("carrier_type"), F.col("distance_km").cast("string"),
-                        F.col("scheduled_transit_days").cast("string")),
-        F.format_string(PROMPT_LINES[2], F.col("weather_risk_score"), _bool_text(F.col("is_hazmat")),
+                        F.col("planned_transit_days").cast("string")),
+        F.format_string(PROMPT_LINES[2], F.col("weather_risk_score"), _bool_text(F.col("is_hazmat").cast("boolean")),
                         s("priority_level")),
         F.format_string(PROMPT_LINES[3], F.col("vendor_on_time_rate") * 100, s("vendor_tier")),
         F.format_string(PROMPT_LINES[4], F.col("destination_lpi_score"), F.col("destination_customs_tier"),

@@ -152,11 +152,13 @@ def missing_weather_pairs(pairs: DataFrame, done: DataFrame, city: str = "city",
 
 def enrich_shipments(requests: DataFrame, vendors: DataFrame, routes: DataFrame, risk: DataFrame,
                      lanes: DataFrame, holidays: DataFrame, weather: DataFrame,
-                     strict_case: bool = False, sanitize_vendor_key: bool = False) -> DataFrame:
+                     strict_case: bool = False, sanitize_vendor_key: bool = False,
+                     keep: tuple[str, ...] = ()) -> DataFrame:
     """Scoring-path enrichment: requests -> the 27 model features.
 
     Chain of left lookups (vendor, route, country x2, lane, holiday,
     weather) followed by one select that applies the request defaults.
+    ``keep`` columns of the requests are carried through unchanged.
     """
     d = C.SCORING_DEFAULTS
     x = join_vendor(requests, vendors, sanitize_dimension_key=sanitize_vendor_key)
@@ -201,4 +203,4 @@ def enrich_shipments(requests: DataFrame, vendors: DataFrame, routes: DataFrame,
     }
     ids = ["shipment_id", "vendor_name", "origin_city", "destination_city",
            "origin_country", "destination_country", "planned_departure_date"]
-    return x.select(*ids, *[v.alias(k) for k, v in feats.items()])
+    return x.select(*ids, *keep, *[v.alias(k) for k, v in feats.items()])

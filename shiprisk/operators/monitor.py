@@ -177,12 +177,18 @@ def recent_predictions(spark, path: str, as_of: str, days: int = 7) -> DataFrame
 
 
 # T13 ----------------------------------------------------------------------
-def shadow_compare(a: DataFrame, b: DataFrame, key: str, pa: str, pb: str, threshold: float = 0.5) -> DataFrame:
-    j = a.select(key, F.col(pa).alias("_a")).join(b.select(key, F.col(pb).alias("_b")), key)
-    return j.agg(F.count(F.lit(1)).alias("rows"),
-                 F.avg(((F.col("_a") >= threshold) == (F.col("_b") >= threshold)).cast("double")).alias("agreement"),
-                 F.avg(F.abs(F.col("_a") - F.col("_b"))).alias("mean_abs_diff"),
-                 F.corr("_a", "_b").alias("correlation"))
+def shadow_compare(scored: DataFrame, pa: str, pb: str, threshold: float = 0.5) -> DataFrame:
+    """Two models' probabilities on the same rows (one frame holding both):
+    decision agreement, mean absolute difference and correlation.
+
+    Scoring both models in one pass over the rows avoids joining two
+    outputs on an id that may not be unique.
+    """
+    a, b = F.col(pa), F.col(pb)
+    return scored.agg(F.count(F.lit(1)).alias("rows"),
+                      F.avg(((a >= threshold) == (b >= threshold)).cast("double")).alias("agreement"),
+                      F.avg(F.abs(a - b)).alias("mean_abs_diff"),
+                      F.corr(a, b).alias("correlation"))
 
 
 # T14 ----------------------------------------------------------------------

@@ -169,15 +169,15 @@ def q_route_geometry(spark, sf):
 @register("explain_prompt")
 def q_explain_prompt(spark, sf):
     """P20: the sanitized explanation prompt per scored shipment (no model call)."""
-    from .ml_q import _assembled
-    from .enrichment import q_enrich_shipments
-    from ..models.assemble import explain_context
-    ctx = explain_context(_assembled(spark, sf), q_enrich_shipments(spark, sf).drop("vendor_name"))
-    req = td.typed_shipments(spark, sf).select(
-        "shipment_id", "vendor_name", "origin_city", "origin_country", "destination_city", "destination_country",
-        "carrier_type", "priority_level", "distance_km", "is_hazmat", "scheduled_transit_days")
-    w = q_enrich_shipments(spark, sf).select("shipment_id", "weather_risk_score")
-    j = ctx.join(req, "shipment_id").join(w, "shipment_id")
+    from ..models.assemble import CONTEXT_COLUMNS, score_assemble
+    from ..operators import enrich as E
+    from .enrichment import _dims
+    feats = E.enrich_shipments(td.typed_shipments(spark, sf), keep=("raw_p", "raw_days", "reason_index"),
+                               **_dims(spark, sf))
+    shown = ("vendor_name", "origin_city", "origin_country", "destination_city", "destination_country",
+             "carrier_type", "priority_level", "distance_km", "is_hazmat", "planned_transit_days",
+             "weather_risk_score") + CONTEXT_COLUMNS
+    rec = score_assemble(feats, keep=shown)
     lang = F.element_at(F.array(*[F.lit(x) for x in C.PROMPT_LANGUAGES + ["Klingon"]]),
                         (F.abs(F.hash("shipment_id")) % (len(C.PROMPT_LANGUAGES) + 1) + 1).cast("int"))
-    return j.select("shipment_id", lang.alias("language"), TX.explain_prompt(lang).alias("prompt"))
+    return rec.select("shipment_id", lang.alias("language"), TX.explain_prompt(lang).alias("prompt"))

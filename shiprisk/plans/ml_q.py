@@ -121,20 +121,25 @@ def q_reason_labels(spark, sf):
     return g.select("shipment_id", "reason_index", MP.reason_labels("reason_index").alias("delay_reason"))
 
 
-_ASSEMBLE_SQL = f"""
-SELECT g.shipment_id, g.raw_p >= 0.5 AS delay_predicted, g.raw_p AS delay_probability,
+def assemble_select(a: str = "g") -> str:
+    """SQL select list of the result record from raw outputs on alias ``a`` and vendor alias v."""
+    rate = "COALESCE(v.on_time_rate, 0.5)"
+    return f"""{a}.shipment_id, {a}.raw_p >= 0.5 AS delay_predicted, {a}.raw_p AS delay_probability,
        greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE),
-         CASE WHEN COALESCE(v.on_time_rate, 0.5) >= 0.65 THEN g.raw_p + -0.1
-              WHEN COALESCE(v.on_time_rate, 0.5) >= 0.50
-                THEN g.raw_p + (COALESCE(v.on_time_rate, 0.5) - 0.5) / (CAST(0.65 AS DOUBLE) - CAST(0.5 AS DOUBLE)) * -0.1
-              ELSE g.raw_p + 0.15 END)) AS adjusted_delay_probability,
-       CASE WHEN g.raw_p >= 0.5 THEN greatest(CAST(0 AS DOUBLE), {X.sql_round_half_even_exact('g.raw_days', 1)})
+         CASE WHEN {rate} >= 0.65 THEN {a}.raw_p + -0.1
+              WHEN {rate} >= 0.50
+                THEN {a}.raw_p + ({rate} - 0.5) / (CAST(0.65 AS DOUBLE) - CAST(0.5 AS DOUBLE)) * -0.1
+              ELSE {a}.raw_p + 0.15 END)) AS adjusted_delay_probability,
+       CASE WHEN {a}.raw_p >= 0.5 THEN greatest(CAST(0 AS DOUBLE), {X.sql_round_half_even_exact(f'{a}.raw_days', 1)})
             ELSE CAST(0 AS DOUBLE) END AS estimated_delay_days,
-       CASE WHEN g.raw_p >= 0.5 THEN ['WEATHER', 'VENDOR', 'ROUTE', 'CUSTOMS'][g.reason_index + 1] ELSE '' END
+       CASE WHEN {a}.raw_p >= 0.5 THEN ['WEATHER', 'VENDOR', 'ROUTE', 'CUSTOMS'][{a}.reason_index + 1] ELSE '' END
          AS delay_reason,
-       CASE WHEN COALESCE(v.on_time_rate, 0.5) >= 0.65 THEN 'EXCELLENT'
-            WHEN COALESCE(v.on_time_rate, 0.5) >= 0.50 THEN 'AVERAGE' ELSE 'POOR' END AS vendor_tier,
-       COALESCE(v.on_time_rate, 0.5) AS vendor_on_time_rate
+       CASE WHEN {rate} >= 0.65 THEN 'EXCELLENT' WHEN {rate} >= 0.50 THEN 'AVERAGE' ELSE 'POOR' END AS vendor_tier,
+       {rate} AS vendor_on_time_rate"""
+
+
+_ASSEMBLE_SQL = f"""
+SELECT {assemble_select("g")}
 FROM given_scores g LEFT JOIN vendor_stats v ON v.vendor_name = g.vendor_name"""
 
 
@@ -149,24 +154,23 @@ def q_score_assemble(spark, sf):
     return _assembled(spark, sf)
 
 
-@register("explain_context", ["given_scores", "vendor_stats", "requests", "route_stats", "country_risk",
-                              "trade_lanes", "holiday_calendar", "weather_historical"], f"""
-WITH a AS ({_ASSEMBLE_SQL}),
-f AS (SELECT r.shipment_id, COALESCE(cd.lpi_score, 3.0) AS destination_lpi_score,
-             CAST(COALESCE(cd.customs_tier, 2) AS INTEGER) AS destination_customs_tier,
-             COALESCE(cd.geopolitical_risk, 0.2) AS destination_geopolitical_risk,
-             COALESCE(l.avg_customs_days, 2.5) AS lane_avg_customs_days
-      FROM requests r
-      LEFT JOIN country_risk cd ON upper(trim(cd.country_code)) = upper(trim(upper(r.destination_country)))
-      LEFT JOIN trade_lanes l ON upper(trim(l.origin_country)) = upper(trim(upper(r.origin_country)))
-                             AND upper(trim(l.destination_country)) = upper(trim(upper(r.destination_country))))
-SELECT a.*, f.destination_lpi_score, f.destination_customs_tier, f.destination_geopolitical_risk,
-       f.lane_avg_customs_days
-FROM a LEFT JOIN f ON f.shipment_id = a.shipment_id""")
+@register("explain_context", ["requests", "vendor_stats", "country_risk", "trade_lanes"], f"""
+SELECT {assemble_select("r")},
+       COALESCE(cd.lpi_score, 3.0) AS destination_lpi_score,
+       CAST(COALESCE(cd.customs_tier, 2) AS INTEGER) AS destination_customs_tier,
+       COALESCE(cd.geopolitical_risk, 0.2) AS destination_geopolitical_risk,
+       COALESCE(l.avg_customs_days, 2.5) AS lane_avg_customs_days
+FROM requests r
+LEFT JOIN vendor_stats v ON v.vendor_name = r.vendor_name
+LEFT JOIN country_risk cd ON upper(trim(cd.country_code)) = upper(trim(upper(r.destination_country)))
+LEFT JOIN trade_lanes l ON upper(trim(l.origin_country)) = upper(trim(upper(r.origin_country)))
+                       AND upper(trim(l.destination_country)) = upper(trim(upper(r.destination_country)))""")
 def q_explain_context(spark, sf):
-    """Result record + destination risk and lane figures."""
-    from .enrichment import q_enrich_shipments
-    return explain_context(_assembled(spark, sf), q_enrich_shipments(spark, sf))
+    """Result record + destination risk and lane figures, from the same enriched row."""
+    from .enrichment import _dims
+    feats = E.enrich_shipments(td.typed_shipments(spark, sf), keep=("raw_p", "raw_days", "reason_index"),
+                               **_dims(spark, sf))
+    return explain_context(feats)
 
 
 # MLlib fitting and scoring (rows-only) ----------------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import monitor as MO
 from ..sources import testdata as td
 from .catalog import register
-from .ml_q import _ASSEMBLE_SQL, _assembled
+from .ml_q import assemble_select
 
 _PROB = "least(1.0, value / 200.0)"
 
@@ -166,17 +166,21 @@ def q_request_rate(spark, sf):
     return MO.request_rate(_events(spark, sf), "ts", "event_type")
 
 
-@register("monthly_vendor_mode_report", ["given_scores", "vendor_stats", "requests"], f"""
-WITH a AS ({_ASSEMBLE_SQL})
-SELECT strftime(r.planned_departure_date, '%Y-%m') AS month, r.vendor_name, r.carrier_type AS mode,
-       count(*) AS predictions, round(avg(a.adjusted_delay_probability), 9) AS mean_probability,
-       avg(CAST(a.delay_predicted AS DOUBLE)) AS delayed_share
-FROM a JOIN requests r ON r.shipment_id = a.shipment_id
-GROUP BY 1, 2, 3""")
+@register("monthly_vendor_mode_report", ["requests", "vendor_stats"], f"""
+WITH a AS (SELECT {assemble_select("r")}, r.vendor_name, r.carrier_type, r.planned_departure_date
+           FROM requests r LEFT JOIN vendor_stats v ON v.vendor_name = r.vendor_name)
+SELECT strftime(planned_departure_date, '%Y-%m') AS month, vendor_name, carrier_type AS mode,
+       count(*) AS predictions, round(avg(adjusted_delay_probability), 9) AS mean_probability,
+       avg(CAST(delay_predicted AS DOUBLE)) AS delayed_share
+FROM a GROUP BY 1, 2, 3""")
 def q_monthly_vendor_mode_report(spark, sf):
     """Predictions by month, vendor and carrier mode."""
-    req = td.typed_shipments(spark, sf).select("shipment_id", "vendor_name", "carrier_type", "planned_departure_date")
-    log = _assembled(spark, sf).join(req, "shipment_id")
+    from ..models.assemble import score_assemble
+    from ..operators import enrich as E
+    req = td.typed_shipments(spark, sf).select("shipment_id", "vendor_name", "carrier_type",
+                                               "planned_departure_date", "raw_p", "raw_days", "reason_index")
+    log = score_assemble(E.join_vendor(req, td.vendor_stats(spark, sf)),
+                         keep=("vendor_name", "carrier_type", "planned_departure_date"))
     r = MO.monthly_vendor_mode_report(log, F.date_format("planned_departure_date", "yyyy-MM"), "vendor_name",
                                       "carrier_type", "adjusted_delay_probability", "delay_predicted")
     return r.withColumn("mean_probability", F.round("mean_probability", 9))
@@ -192,10 +196,13 @@ SELECT count(*) AS rows, avg(CASE WHEN (a >= 0.5) = (b >= 0.5) THEN 1.0 ELSE 0.0
 FROM s""")
 def q_shadow_compare(spark, sf):
     """Current model (given score) against a shadow model (vote of three) on the same rows."""
-    from .ml_q import q_soft_vote
-    a = td.given_scores(spark, sf).select("shipment_id", "raw_p")
-    b = q_soft_vote(spark, sf).withColumnRenamed("raw_p", "shadow_p")
-    r = MO.shadow_compare(a, b, "shipment_id", "raw_p", "shadow_p")
+    from ..models.pipeline import soft_vote
+    sh = td.shipments(spark, sf)
+    p1 = (F.col("l_partkey") * 37 % 1000) / 999.0
+    p2 = (F.col("l_partkey") * 53 % 1000) / 999.0
+    p3 = ((F.col("l_suppkey") * 71 + F.col("l_linenumber")) % 1000) / 999.0
+    both = sh.select(p1.alias("raw_p"), soft_vote(p1, p2, p3).alias("shadow_p"))
+    r = MO.shadow_compare(both, "raw_p", "shadow_p")
     return r.select("rows", "agreement", F.round("mean_abs_diff", 9).alias("mean_abs_diff"),
                     F.round("correlation", 9).alias("correlation"))
 

@@ -56,7 +56,10 @@ SELECT shipment_id, vendor_name, origin_city, origin_country, destination_city,
        CASE l_suppkey % 4 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'HIGH'
             ELSE 'CRITICAL' END AS priority_level,
        (l_suppkey % 3 = 0) AS temperature_sensitive,
-       l_partkey, l_suppkey, l_linenumber
+       l_partkey, l_suppkey, l_linenumber,
+       CAST((l_partkey * 37) % 1000 AS DOUBLE) / 999.0 AS raw_p,
+       CAST(real_days AS DOUBLE) * 0.9 + 0.03 AS raw_days,
+       CAST(l_suppkey % 4 AS INTEGER) AS reason_index
 FROM shipments
 """, ["shipments"])
 

@@ -116,7 +116,7 @@ def typed_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_partkey") % 11 == 0).alias("is_hazmat"),
         prio.alias("priority_level"),
         (F.col("l_suppkey") % 3 == 0).alias("temperature_sensitive"),
-        "l_partkey", "l_suppkey", "l_linenumber",
+        "l_partkey", "l_suppkey", "l_linenumber", *_given_score_columns(),
     )
 
 
@@ -212,14 +212,19 @@ def build_weather_historical(spark: SparkSession, sf_dir: str) -> DataFrame:
                           weather_risk_score("precipitation_mm", "windspeed_max_kmh", "snowfall_cm"))
 
 
+def _given_score_columns():
+    """Model outputs given as columns of a shipment row: raw P(delay), raw days, reason index."""
+    return [((F.col("l_partkey") * 37 % 1000) / 999.0).alias("raw_p"),
+            (F.col("real_days") * 0.9 + 0.03).alias("raw_days"),
+            (F.col("l_suppkey") % 4).cast("int").alias("reason_index")]
+
+
 def given_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model outputs given as columns (to check the SQL part of scoring and metrics)."""
     sh = shipments(spark, sf_dir)
     return sh.select(
         "shipment_id", "vendor_name", "real_days", "scheduled_days", "planned_departure_date",
-        ((F.col("l_partkey") * 37 % 1000) / 999.0).alias("raw_p"),
-        (F.col("real_days") * 0.9 + 0.03).alias("raw_days"),
-        (F.col("l_suppkey") % 4).cast("int").alias("reason_index"),
+        *_given_score_columns(),
         (F.col("real_days") > F.col("scheduled_days")).cast("int").alias("delay_flag"),
         (F.greatest(F.lit(0).cast("long"), F.col("real_days") - F.col("scheduled_days"))).cast("double").alias("delay_days"),
     )

@@ -186,6 +186,36 @@ def q_monthly_vendor_mode_report(spark, sf):
     return r.withColumn("mean_probability", F.round("mean_probability", 9))
 
 
+RECENT_AS_OF = "1998-06-30"
+
+
+@register("recent_predictions", ["requests", "vendor_stats"], f"""
+WITH a AS (SELECT {assemble_select("r")}, CAST(r.planned_departure_date AS TIMESTAMP) AS prediction_timestamp
+           FROM requests r LEFT JOIN vendor_stats v ON v.vendor_name = r.vendor_name)
+SELECT shipment_id, delay_predicted, adjusted_delay_probability AS delay_probability, estimated_delay_days,
+       delay_reason, vendor_tier, prediction_timestamp, strftime(prediction_timestamp, '%Y-%m') AS month
+FROM a
+WHERE prediction_timestamp >= CAST(DATE '{RECENT_AS_OF}' - INTERVAL 7 DAY AS TIMESTAMP)
+  AND prediction_timestamp < CAST(DATE '{RECENT_AS_OF}' + INTERVAL 1 DAY AS TIMESTAMP)""")
+def q_recent_predictions(spark, sf):
+    """T12 (time filter): last 7 days of a month-partitioned prediction log.
+
+    The log is written with the departure time as prediction time (a
+    historical backfill), so the answer is reproducible; the read prunes
+    month partitions and pushes the time filter to the parquet scan.
+    """
+    from ..models.assemble import score_assemble
+    from ..operators import enrich as E
+    from ..sources import files as FS
+    from ..sources import sinks as SK
+    req = td.typed_shipments(spark, sf).select("shipment_id", "vendor_name", "planned_departure_date",
+                                               "raw_p", "raw_days", "reason_index")
+    rec = score_assemble(E.join_vendor(req, td.vendor_stats(spark, sf)), keep=("planned_departure_date",))
+    path = FS.scratch_path(spark, "history-log")
+    SK.append_prediction_log(rec, path, ts=F.col("planned_departure_date").cast("timestamp"))
+    return MO.recent_predictions(spark, path, RECENT_AS_OF, days=7)
+
+
 @register("shadow_compare", ["shipments"], """
 WITH s AS (SELECT CAST((l_partkey * 37) % 1000 AS DOUBLE) / 999.0 AS a,
                   (CAST((l_partkey * 37) % 1000 AS DOUBLE) / 999.0 + CAST((l_partkey * 53) % 1000 AS DOUBLE) / 999.0

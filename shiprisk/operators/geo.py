@@ -79,12 +79,15 @@ def lane_waypoints(s_lat, s_lon, e_lat, e_lon, s_reg=None, e_reg=None) -> Column
     s_lat, s_lon, e_lat, e_lon = (X._c(c) for c in (s_lat, s_lon, e_lat, e_lon))
     s_reg = X._c(s_reg) if s_reg is not None else X.geo_region(s_lat, s_lon)
     e_reg = X._c(e_reg) if e_reg is not None else X.geo_region(e_lat, e_lon)
-    expr = None
-    for s_regions, e_regions, cond, names in C.LANE_RULES:
+    # The rule chain yields only the rule number; the waypoint arrays live in
+    # one constant table indexed by it (keeps the generated code small).
+    rule = None
+    for i, (s_regions, e_regions, cond, _names) in enumerate(C.LANE_RULES, start=1):
         hit = s_reg.isin(*s_regions) & e_reg.isin(*e_regions) & _side(cond, s_lat, s_lon, e_lat, e_lon)
-        arr = _waypoint_array(names)
-        expr = F.when(hit, arr) if expr is None else expr.when(hit, arr)
-    return expr.otherwise(F.array().cast(f"array<{POINT}>"))
+        rule = F.when(hit, F.lit(i - 1)) if rule is None else rule.when(hit, F.lit(i - 1))
+    table = F.array(*[_waypoint_array(r[3]) for r in C.LANE_RULES])
+    empty = F.array().cast(f"array<{POINT}>")
+    return F.coalesce(F.get(table, rule), empty)  # no rule -> null index -> []
 
 
 # N2 -----------------------------------------------------------------------

@@ -100,8 +100,10 @@ FROM (SELECT *, {sql_lane_waypoints("o_lat", "o_lon", "d_lat", "d_lon")} AS w FR
 def q_lane_waypoints(spark, sf):
     """Sea-lane waypoints per city pair, one row per waypoint."""
     p = G.with_lane_waypoints(_pairs(spark, sf), "w")
-    return p.select("origin_city", "destination_city", F.posexplode("w").alias("idx", "pt"),
-                    F.size("w").alias("n_waypoints")).select(
+    # explode_outer + filter: a plain explode makes the optimizer infer size(w) > 0 and
+    # push the whole waypoint expression into the join condition a second time
+    return p.select("origin_city", "destination_city", F.posexplode_outer("w").alias("idx", "pt"),
+                    F.size("w").alias("n_waypoints")).where(F.col("idx").isNotNull()).select(
         "origin_city", "destination_city", "idx", F.col("pt.lat").alias("lat"), F.col("pt.lon").alias("lon"),
         "n_waypoints")
 
@@ -123,7 +125,8 @@ def q_polyline_linear(spark, sf):
     end = F.struct(F.col("d_lat").alias("lat"), F.col("d_lon").alias("lon"))
     p = G.with_lane_waypoints(p, "w")
     line = G.polyline_linear(start, F.col("w"), end, C.OCEAN_LEG_STEPS)
-    return p.select("origin_city", "destination_city", F.posexplode(line).alias("idx", "pt")).select(
+    return p.select("origin_city", "destination_city", F.posexplode_outer(line).alias("idx", "pt")).where(
+        F.col("idx").isNotNull()).select(
         "origin_city", "destination_city", "idx", F.col("pt.lat").alias("lat"), F.col("pt.lon").alias("lon"))
 
 
@@ -148,7 +151,8 @@ def q_polyline_great_circle(spark, sf):
     """81 great-circle points per pair (rounded to 6 places; trig ulps differ across libraries)."""
     p = _pairs(spark, sf)
     line = G.polyline_great_circle("o_lat", "o_lon", "d_lat", "d_lon")
-    return p.select("origin_city", "destination_city", F.posexplode(line).alias("idx", "pt")).select(
+    return p.select("origin_city", "destination_city", F.posexplode_outer(line).alias("idx", "pt")).where(
+        F.col("idx").isNotNull()).select(
         "origin_city", "destination_city", "idx",
         F.round("pt.lat", 6).alias("lat"), F.round("pt.lon", 6).alias("lon"))
 

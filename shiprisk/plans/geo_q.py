@@ -94,7 +94,8 @@ def q_city_coordinates(spark, sf):
 
 
 @register("lane_waypoints", ["city_coordinates", "shipments"], f"""
-SELECT origin_city, destination_city, i - 1 AS idx, w[i].lat AS lat, w[i].lon AS lon, len(w) AS n_waypoints
+SELECT origin_city, destination_city, CAST(i - 1 AS INTEGER) AS idx, w[i].lat AS lat, w[i].lon AS lon,
+       CAST(len(w) AS INTEGER) AS n_waypoints
 FROM (SELECT *, {sql_lane_waypoints("o_lat", "o_lon", "d_lat", "d_lon")} AS w FROM ({_PAIRS_SQL}) p0) p,
      LATERAL (SELECT unnest(generate_series(1, len(p.w))) AS i) g""")
 def q_lane_waypoints(spark, sf):
@@ -109,7 +110,7 @@ def q_lane_waypoints(spark, sf):
 
 
 @register("polyline_linear", ["city_coordinates", "shipments"], f"""
-SELECT origin_city, destination_city, leg * 9 + s AS idx,
+SELECT origin_city, destination_city, CAST(leg * 9 + s AS INTEGER) AS idx,
        pts[leg + 1].lat + (pts[leg + 2].lat - pts[leg + 1].lat) * (CAST(s AS DOUBLE) / 8.0) AS lat,
        pts[leg + 1].lon + (pts[leg + 2].lon - pts[leg + 1].lon) * (CAST(s AS DOUBLE) / 8.0) AS lon
 FROM (SELECT origin_city, destination_city,

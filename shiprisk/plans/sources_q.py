@@ -44,7 +44,7 @@ def q_load_dimension(spark, sf):
 
 
 @register("missing_source_default", ["shipments"], """
-SELECT shipment_id, vendor_name, 0.5 AS vendor_on_time_rate, 2.0 AS vendor_avg_delay_days,
+SELECT shipment_id, vendor_name, CAST(0.5 AS DOUBLE) AS vendor_on_time_rate, CAST(2.0 AS DOUBLE) AS vendor_avg_delay_days,
        0 AS vendor_total_shipments FROM shipments""")
 def q_missing_source_default(spark, sf):
     """S3: the vendor file is absent -> empty typed table -> lookup defaults for all."""

@@ -50,6 +50,37 @@ def _norm(v, digits):
     return v
 
 
+_SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                  "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP",
+                  "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
+def spark_type_as_duck(t: str) -> str:
+    if t.startswith("array<") and t.endswith(">"):
+        return spark_type_as_duck(t[6:-1]) + "[]"
+    if t.startswith("struct<"):
+        return "STRUCT"
+    return _SPARK_TO_DUCK.get(t, t.upper())
+
+
+def duck_type(t: str) -> str:
+    t = str(t)
+    if t.startswith("STRUCT"):
+        return "STRUCT"
+    return t.replace("TIMESTAMP WITH TIME ZONE", "TIMESTAMP")
+
+
+def type_mismatches(sdf, rel) -> list:
+    """(column, spark type, duckdb type) where the two schemas differ."""
+    duck = {c: duck_type(t) for c, t in zip(rel.columns, rel.types)}
+    out = []
+    for f in sdf.schema.fields:
+        st = spark_type_as_duck(f.dataType.simpleString())
+        if f.name in duck and duck[f.name] != st:
+            out.append((f.name, st, duck[f.name]))
+    return out
+
+
 def _rows(pdf, cols, digits):
     out = Counter()
     for rec in pdf[cols].itertuples(index=False, name=None):
@@ -86,7 +117,11 @@ def main() -> int:
             print(f"rows-only  {n}: spark rows={len(sp)} cols={list(sp.columns)} ({ts:.1f}s)")
             continue
         try:
-            dp = con.execute(sql).df()
+            rel = con.sql(sql)
+            mism = type_mismatches(sdf, rel)
+            if mism:
+                print(f"TYPES      {n}: {mism}")
+            dp = rel.df()
         except Exception as e:  # noqa: BLE001
             print(f"FAIL-SQL   {n}: {type(e).__name__}: {str(e)[:400]}")
             bad += 1

@@ -139,3 +139,28 @@ def test_stream_window_drops_late_rows(spark):
     assert got[base] == (2, 1)                    # the late error is not counted
     assert got[base + dt.timedelta(minutes=30)] == (2, 0)
     assert base + dt.timedelta(minutes=60) not in got   # still open when the input ends
+
+
+def test_stationary_stream_timer_alerts_on_silence(spark):
+    """A shipment pings once and goes quiet; another shipment's later pings move the
+    watermark. The event-time timer alerts at start + 2 h (silence mode only)."""
+    from shiprisk.streaming import jobs as SJ
+    base = dt.datetime(2024, 1, 1, 0, 0, 0)
+
+    def ev(i, user, minutes, cell):
+        return (i, base + dt.timedelta(minutes=minutes), user, cell, 1.0, "{}")
+
+    results = {}
+    for mode in (False, True):
+        folder = tempfile.mkdtemp(prefix="shiprisk-timer-")
+        os.makedirs(os.path.join(folder, "in"))
+        stream = (spark.readStream.schema(SJ.EVENTS_SCHEMA).option("maxFilesPerTrigger", 1)
+                  .option("recursiveFileLookup", "true").parquet(os.path.join(folder, "in"))
+                  .withColumn("ts", F.col("ts").cast("timestamp")))
+        out = os.path.join(folder, "out")
+        for name, rows in (("a", [ev(1, 1, 0, "A")]), ("b", [ev(2, 2, 240, "B")]), ("c", [ev(3, 2, 250, "B")])):
+            spark.createDataFrame(rows, SJ.EVENTS_SCHEMA).coalesce(1).write.parquet(os.path.join(folder, "in", name))
+            SJ.run_to_parquet(SJ.stationary_alert_stream(stream, on_silence=mode), out, os.path.join(folder, "ckpt"))
+        results[mode] = [(r.user_id, r.event_type, r.stationary_seconds) for r in spark.read.parquet(out).collect()]
+    assert results[False] == []
+    assert results[True] == [(1, "A", 7200)]

@@ -101,16 +101,14 @@ def geocode_cache_to_table(cache_text: DataFrame, col: str = "value") -> DataFra
         F.col("coords").getItem(1).alias("lon"))
 
 
-def geocode_table_to_cache(table: DataFrame, shards: int | None = None) -> DataFrame:
-    """Lookup rows -> JSON cache text, one JSON object per shard.
+def geocode_table_to_cache(table: DataFrame) -> DataFrame:
+    """Lookup rows -> JSON cache text, one ``{"city|country": [lat, lon] | null}``
+    object per line.
 
-    Rows are hashed into ``shards`` groups so no single task holds the
-    whole cache; a reader merges the shards (S9 reads any number of them).
+    No grouping: every row becomes its own line, so no task ever holds more
+    than its input split; the reader explodes any number of objects, and
+    also reads a single-object file as written by a one-process tool.
     """
-    n = shards or table.sparkSession.sparkContext.defaultParallelism
-    entry = F.struct(F.concat_ws("|", "city", "country").alias("k"),
-                     F.when(F.col("lat").isNull(), F.lit(None).cast("array<double>"))
-                      .otherwise(F.array("lat", "lon")).alias("v"))
-    by_shard = table.groupBy((F.abs(F.hash("city", "country")) % n).alias("shard")).agg(
-        F.collect_list(entry).alias("entries"))
-    return by_shard.select(F.to_json(F.map_from_entries("entries")).alias("value"))
+    coords = F.when(F.col("lat").isNull(), F.lit(None).cast("array<double>")).otherwise(F.array("lat", "lon"))
+    entry = F.map_from_arrays(F.array(F.concat_ws("|", "city", "country")), F.array(coords))
+    return table.select(F.to_json(entry).alias("value"))

@@ -73,7 +73,7 @@ def test_upper_cased_country_misses_title_case_table_in_strict_mode(spark):
 def test_geocode_cache_round_trip(spark):
     rows = spark.createDataFrame([("Paris", "FR", 48.85, 2.35), ("Atlantis", "XX", None, None)],
                                  "city string, country string, lat double, lon double")
-    text = FS.geocode_table_to_cache(rows, shards=2)
+    text = FS.geocode_table_to_cache(rows)
     back = {r.city: (r.country, r.lat, r.lon) for r in FS.geocode_cache_to_table(text).collect()}
     assert back == {"Paris": ("FR", 48.85, 2.35), "Atlantis": ("XX", None, None)}
 

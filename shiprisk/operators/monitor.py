@@ -9,15 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import sequence as S
 
 HOUR = 3600
 
 
+def _step(df: DataFrame, materialize: bool) -> DataFrame:
+    """Cut the lineage between the steps of a multi-level ordered computation."""
+    return cut_lineage(df) if materialize else df
+
+
 # T2 -----------------------------------------------------------------------
 def stationary_alerts(pings: DataFrame, key: str = "user_id", cell: str = "event_type", ts: str = "ts",
                       tie: str = "event_id", min_seconds: int = 2 * HOUR,
-                      bucket_seconds: int = 6 * HOUR) -> DataFrame:
+                      bucket_seconds: int = 6 * HOUR, materialize: bool = True) -> DataFrame:
     """Runs of consecutive pings in the same position cell lasting >= ``min_seconds``.
 
     Gaps and islands, skew-safe: row numbers per shipment (two-level), the
@@ -26,9 +32,13 @@ def stationary_alerts(pings: DataFrame, key: str = "user_id", cell: str = "event
     ping of the run (ours).
     """
     p = pings.select(key, cell, ts, tie)
-    p = S.keyed_row_number(p, [key], [ts, tie], ts, bucket_seconds)
+    # Each step reads its input twice (windows + carry-in summary, or both sides
+    # of the lag join); materializing between steps in the shared checkpoint
+    # folder keeps the input from being rescanned at every level.
+    p = _step(S.keyed_row_number(p, [key], [ts, tie], ts, bucket_seconds), materialize)
     p = S.keyed_lag(p, [key], "rn", [cell])
     p = p.withColumn("_new", (F.col(f"prev_{cell}").isNull() | (F.col(f"prev_{cell}") != F.col(cell))).cast("long"))
+    p = _step(p, materialize)
     p = S.keyed_running_sum(p, [key], [ts, tie], ["_new"], ts, bucket_seconds, prefix="island_")
     runs = p.groupBy(key, F.col("island__new").alias("island")).agg(
         F.first(cell).alias(cell), F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"),
@@ -39,11 +49,12 @@ def stationary_alerts(pings: DataFrame, key: str = "user_id", cell: str = "event
 
 # T3 / T11 -------------------------------------------------------------------
 def prediction_reuse(requests: DataFrame, keys: list[str], ts: str = "ts", tie: str = "event_id",
-                     ttl_seconds: int = 6 * HOUR, bucket_seconds: int = 6 * HOUR) -> DataFrame:
+                     ttl_seconds: int = 6 * HOUR, bucket_seconds: int = 6 * HOUR,
+                     materialize: bool = True) -> DataFrame:
     """Per request: ``cache_hit`` when the previous request with the same reuse
     key came at most ``ttl_seconds`` earlier (sliding reuse; ours).
     """
-    r = S.keyed_row_number(requests, keys, [ts, tie], ts, bucket_seconds)
+    r = _step(S.keyed_row_number(requests, keys, [ts, tie], ts, bucket_seconds), materialize)
     r = S.keyed_lag(r, keys, "rn", [ts])
     gap = F.unix_micros(F.col(ts)) - F.unix_micros(F.col(f"prev_{ts}"))
     hit = F.col(f"prev_{ts}").isNotNull() & (gap <= F.lit(ttl_seconds * 1_000_000))
@@ -126,7 +137,8 @@ def error_rate_windows(df: DataFrame, ts: str, is_error, width: str = "2 minutes
 
 # T9 -----------------------------------------------------------------------
 def rolling_confidence(df: DataFrame, key: str, ts: str, tie: str, prob: str, rows: int = 100,
-                       drop_ratio: float = 0.8, bucket_seconds: int = 6 * HOUR) -> DataFrame:
+                       drop_ratio: float = 0.8, bucket_seconds: int = 6 * HOUR,
+                       materialize: bool = True) -> DataFrame:
     """Rolling mean of the last ``rows`` probabilities per key, skew-safe.
 
     mean = (prefix(r) - prefix(r - rows)) / min(r, rows), with prefix sums
@@ -134,8 +146,8 @@ def rolling_confidence(df: DataFrame, key: str, ts: str, tie: str, prob: str, ro
     rolling mean falls under ``drop_ratio`` x the key's overall mean (ours).
     """
     x = df.select(key, ts, tie, F.col(prob).cast("double").alias("_p"))
-    x = S.keyed_row_number(x, [key], [ts, tie], ts, bucket_seconds)
-    x = S.keyed_running_sum(x, [key], [ts, tie], ["_p"], ts, bucket_seconds)
+    x = _step(S.keyed_row_number(x, [key], [ts, tie], ts, bucket_seconds), materialize)
+    x = _step(S.keyed_running_sum(x, [key], [ts, tie], ["_p"], ts, bucket_seconds), materialize)
     x = S.keyed_lag(x, [key], "rn", ["cum__p"], offset=rows, prefix="back_")
     n = F.least(F.col("rn"), F.lit(rows))
     mean = (F.col("cum__p") - F.coalesce(F.col("back_cum__p"), F.lit(0.0))) / n

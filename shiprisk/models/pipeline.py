@@ -207,7 +207,9 @@ def fit_delay_model(train_table: DataFrame, params: TrainParams | None = None) -
     p = params or TrainParams()
     # The labelled table feeds the scaler, both splits, three fits and the
     # metrics: keep it (memory, spilling to disk) instead of recomputing its joins.
-    train_table = train_table.persist(StorageLevel.MEMORY_AND_DISK)
+    # Only the id, labels and the 27 inputs are kept (narrow rows cache and scan cheaper).
+    train_table = train_table.select("shipment_id", "delay_flag", "delay_days", *NUMERIC_FEATURES,
+                                     *CATEGORICAL_FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
     split = stratified_split(train_table, test_percent=p.test_percent)
     train = split.where(~F.col("is_test"))
     # 25 rows (one per feature): held as a literal table so the fitted model
@@ -215,7 +217,7 @@ def fit_delay_model(train_table: DataFrame, params: TrainParams | None = None) -
     fitted_stats = A.fit_scaler(train, NUMERIC_FEATURES)
     stats = train_table.sparkSession.createDataFrame(fitted_stats.collect(), fitted_stats.schema)
     weighted = A.with_class_weight(prepare(train, stats), "delay_flag", "w")
-    weighted = weighted.withColumn("label", F.col("delay_flag").cast("double"))
+    weighted = weighted.select("features", F.col("delay_flag").cast("double").alias("label"), "w")
     weighted = weighted.persist(StorageLevel.MEMORY_AND_DISK)
 
     rf = _named(RandomForestClassifier(numTrees=p.rf_trees, maxDepth=p.rf_depth, minInstancesPerNode=p.rf_min_leaf,
@@ -227,7 +229,7 @@ def fit_delay_model(train_table: DataFrame, params: TrainParams | None = None) -
 
     # Stage 2 and 3 train on the delayed rows with their own split (M2).
     delayed = random_split(Q.delayed_subset(train_table), test_percent=p.test_percent)
-    d_train = prepare(delayed.where(~F.col("is_test")), stats).withColumn("label", F.col("delay_days"))
+    d_train = prepare(delayed.where(~F.col("is_test")), stats).select("features", F.col("delay_days").alias("label"))
     d_train = d_train.persist(StorageLevel.MEMORY_AND_DISK)
     reg = GBTRegressor(maxIter=p.reg_iter, stepSize=p.reg_lr, maxDepth=p.reg_depth, seed=p.seed,
                        predictionCol="pred_days").fit(d_train)
@@ -250,14 +252,15 @@ def fit_delay_model(train_table: DataFrame, params: TrainParams | None = None) -
                       "yhat", "delay_flag")
     auc = MT.roc_auc(scored, "raw_p", "delay_flag")
     d_test = delayed.where(F.col("is_test"))
-    d_scored = best.transform(model.raw_scores(d_test))
+    d_scored = best.transform(model.raw_scores(d_test)).select("raw_days", "delay_days", "reason_index", "cluster")
+    d_scored = d_scored.persist(StorageLevel.MEMORY_AND_DISK)
     err = MT.mae_rmse(d_scored, "raw_days", "delay_days")
     reason_acc = MT.accuracy(d_scored.withColumn("c", F.col("cluster").cast("int")), "reason_index", "c") \
         .withColumnRenamed("accuracy", "reason_accuracy")
     metrics = acc.crossJoin(auc).crossJoin(err).crossJoin(reason_acc)  # one-row frames
     metrics = metrics.persist(StorageLevel.MEMORY_AND_DISK)
     metrics.count()
-    for df in (weighted, d_train, scored, train_table):
+    for df in (weighted, d_train, scored, d_scored, train_table):
         df.unpersist()
     return model, metrics
 

@@ -180,11 +180,13 @@ class DelayModel:
     def raw_scores(self, features: DataFrame) -> DataFrame:
         """Per row: raw_p (soft vote), raw_days (regressor), reason_index (classifier)."""
         x = prepare(features, self.stats)
-        x = self.rf.transform(x)
-        x = self.gbt_a.transform(x)
-        x = self.gbt_b.transform(x)
+        # only the needed output of each model: P(delay) from the voters, the
+        # class from the reason model (each extra output is another vector UDF)
+        for m in (self.rf, self.gbt_a, self.gbt_b):
+            x = m.copy({m.rawPredictionCol: "", m.predictionCol: ""}).transform(x)
         x = self.regressor.transform(x)
-        x = self.reason.transform(x)
+        r = self.reason
+        x = r.copy({r.rawPredictionCol: "", r.probabilityCol: ""}).transform(x)
         return x.withColumns({
             "raw_p": soft_vote(p_one("p_rf"), p_one("p_gbt_a"), p_one("p_gbt_b")),
             "raw_days": F.col("pred_days"),

@@ -131,3 +131,20 @@ def test_cross_border_null_text(spark):
     got = one(spark, X.cross_border_flag("a", "b"), rows, "a string, b string")
     assert got == [0, 0, 1, 1]
     assert one(spark, F.lit(1), [(1,)], "x int") == [1]
+
+
+def test_score_assemble_boundaries(spark):
+    from shiprisk.models.assemble import score_assemble
+    rows = [("a", 0.5, 0.35, 1, 0.9), ("b", 0.4999, 3.0, 2, 0.9), ("c", 0.9, -1.0, 3, 0.55),
+            ("d", 0.7, 2.25, 0, 0.3), ("e", 1.0, 0.05, 0, 0.5)]
+    df = spark.createDataFrame(rows, "shipment_id string, raw_p double, raw_days double, reason_index int, "
+                                     "vendor_on_time_rate double")
+    got = {r.shipment_id: r for r in score_assemble(df).collect()}
+    assert (got["a"].delay_predicted, got["a"].estimated_delay_days, got["a"].delay_reason) == (True, 0.3, "VENDOR")
+    assert (got["b"].delay_predicted, got["b"].estimated_delay_days, got["b"].delay_reason) == (False, 0.0, "")
+    assert got["c"].estimated_delay_days == 0.0 and got["c"].delay_reason == "CUSTOMS"
+    assert got["d"].estimated_delay_days == round(2.25, 1) and got["d"].vendor_tier == "POOR"
+    assert got["d"].adjusted_delay_probability == min(1.0, 0.7 + 0.15)
+    assert got["e"].adjusted_delay_probability == 1.0 and got["e"].vendor_tier == "AVERAGE"
+    assert got["e"].estimated_delay_days == round(0.05, 1)
+    assert got["a"].vendor_tier == "EXCELLENT" and got["a"].adjusted_delay_probability == 0.5 - 0.10

@@ -91,11 +91,17 @@ def _rows(pdf, cols, digits):
 def main() -> int:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
+    ap.add_argument("--plain-session", action="store_true", help="a default SparkSession, as a driver may pass")
     ap.add_argument("names", nargs="*")
     a = ap.parse_args()
     catalog.load_all()
     names = a.names or sorted(catalog.QUERIES)
-    spark = build_session()
+    if a.plain_session:
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = build_session()
     con = duckdb.connect()
     for t in TABLES:
         p = f"{a.sf}/{t}.parquet"

@@ -139,17 +139,20 @@ def q_weather_risk_score(spark, sf):
                          X.weather_risk_score("precipitation_mm", "windspeed_max_kmh", "snowfall_cm"))
 
 
-@register("country_risk_score", ["country_risk"], """
-SELECT country_code,
-       (5.0 - lpi_score) * 2 + customs_tier * 1.5 + geopolitical_risk * 5.0 + port_congestion * 0.5 AS risk_score,
-       CASE WHEN (5.0 - lpi_score) * 2 + customs_tier * 1.5 + geopolitical_risk * 5.0 + port_congestion * 0.5 > 15 THEN 'HIGH'
-            WHEN (5.0 - lpi_score) * 2 + customs_tier * 1.5 + geopolitical_risk * 5.0 + port_congestion * 0.5 > 8 THEN 'MEDIUM'
-            ELSE 'LOW' END AS risk_category
-FROM country_risk""")
+_SCORE = "(5.0 - c.lpi_score) * 2 + c.customs_tier * 1.5 + c.geopolitical_risk * 5.0 + c.port_congestion * 0.5"
+
+
+@register("country_risk_score", ["shipments", "country_risk"], f"""
+SELECT s.shipment_id, s.destination_country, {_SCORE} AS risk_score,
+       CASE WHEN {_SCORE} > 15 THEN 'HIGH' WHEN {_SCORE} > 8 THEN 'MEDIUM' ELSE 'LOW' END AS risk_category
+FROM shipments s JOIN country_risk c ON c.country_code = s.destination_country""")
 def q_country_risk_score(spark, sf):
-    cr = td.country_risk(spark, sf)
+    """Risk score and class of every shipment's destination country (known countries)."""
+    sh = td.shipments(spark, sf).select("shipment_id", "destination_country")
+    cr = td.country_risk(spark, sf).withColumnRenamed("country_code", "destination_country")
     s = X.country_risk_score("lpi_score", "customs_tier", "geopolitical_risk", "port_congestion")
-    return cr.select("country_code", s.alias("risk_score"), X.country_risk_category(s).alias("risk_category"))
+    return sh.join(cr, "destination_country").select(
+        "shipment_id", "destination_country", s.alias("risk_score"), X.country_risk_category(s).alias("risk_category"))
 
 
 _TIER_SQL = """

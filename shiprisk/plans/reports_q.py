@@ -172,31 +172,35 @@ def q_delayed_subset(spark, sf):
     return Q.delayed_subset(training_table(spark, sf)).select("shipment_id", "delay_days")
 
 
-@register("point_lookup", ["country_risk"], """
-SELECT lpi_score, customs_tier, geopolitical_risk, port_congestion FROM country_risk
-WHERE country_code = 'NATION_3'""")
+@register("point_lookup", ["vendor_stats"], """
+SELECT on_time_rate, avg_delay_days, total_shipments FROM vendor_stats
+WHERE vendor_name = 'Supplier#000000003'""")
 def q_point_lookup(spark, sf):
-    """equality lookup, first row or none."""
-    return Q.point_lookup(td.country_risk(spark, sf), {"country_code": "NATION_3"}).select(
-        "lpi_score", "customs_tier", "geopolitical_risk", "port_congestion")
-
-
-@register("first_row", ["country_risk", "holiday_calendar", "trade_lanes"], """
-SELECT 'country NATION_3' AS probe, EXISTS (SELECT 1 FROM country_risk WHERE country_code = 'NATION_3') AS found
-UNION ALL SELECT 'country NATION_4', EXISTS (SELECT 1 FROM country_risk WHERE country_code = 'NATION_4')
-UNION ALL SELECT 'holiday NATION_1 1995-01-11',
-  EXISTS (SELECT 1 FROM holiday_calendar WHERE country_code = 'NATION_1' AND holiday_date = DATE '1995-01-11')
-UNION ALL SELECT 'lane NATION_1 NATION_2',
-  EXISTS (SELECT 1 FROM trade_lanes WHERE origin_country = 'NATION_1' AND destination_country = 'NATION_2')""")
+    """equality lookup in the vendor table (built from all shipments), first row or none."""
+    return Q.point_lookup(td.vendor_stats(spark, sf), {"vendor_name": "Supplier#000000003"}).select(
+        "on_time_rate", "avg_delay_days", "total_shipments")
+
+
+@register("first_row", ["vendor_stats", "route_stats", "weather_historical"], """
+SELECT 'vendor Supplier#000000003' AS probe,
+       EXISTS (SELECT 1 FROM vendor_stats WHERE vendor_name = 'Supplier#000000003') AS found
+UNION ALL SELECT 'vendor Supplier#000000007',
+       EXISTS (SELECT 1 FROM vendor_stats WHERE vendor_name = 'Supplier#000000007')
+UNION ALL SELECT 'route CITY_3 CITY_5',
+       EXISTS (SELECT 1 FROM route_stats WHERE origin = 'CITY_3' AND destination = 'CITY_5')
+UNION ALL SELECT 'route CITY_35 CITY_5',
+       EXISTS (SELECT 1 FROM route_stats WHERE origin = 'CITY_35' AND destination = 'CITY_5')
+UNION ALL SELECT 'weather CITY_3 day 13',
+       EXISTS (SELECT 1 FROM weather_historical WHERE origin_city = 'CITY_3' AND departure_date LIKE '%-13')""")
 def q_first_row(spark, sf):
-    """L1: LIMIT 1 existence probes (each reads at most one matching row)."""
+    """L1: LIMIT 1 existence probes on tables built from the shipments (each reads at most one match)."""
+    w = td.weather_historical(spark, sf)
     probes = [
-        ("country NATION_3", td.country_risk(spark, sf), {"country_code": "NATION_3"}),
-        ("country NATION_4", td.country_risk(spark, sf), {"country_code": "NATION_4"}),
-        ("holiday NATION_1 1995-01-11", td.holiday_calendar(spark, sf),
-         {"country_code": "NATION_1", "holiday_date": F.to_date(F.lit("1995-01-11"))}),
-        ("lane NATION_1 NATION_2", td.trade_lanes(spark, sf),
-         {"origin_country": "NATION_1", "destination_country": "NATION_2"}),
+        ("vendor Supplier#000000003", td.vendor_stats(spark, sf), {"vendor_name": "Supplier#000000003"}),
+        ("vendor Supplier#000000007", td.vendor_stats(spark, sf), {"vendor_name": "Supplier#000000007"}),
+        ("route CITY_3 CITY_5", td.route_stats(spark, sf), {"origin": "CITY_3", "destination": "CITY_5"}),
+        ("route CITY_35 CITY_5", td.route_stats(spark, sf), {"origin": "CITY_35", "destination": "CITY_5"}),
+        ("weather CITY_3 day 13", w.where(F.col("departure_date").endswith("-13")), {"origin_city": "CITY_3"}),
     ]
     parts = []
     for name, dim, where in probes:

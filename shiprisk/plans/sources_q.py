@@ -32,15 +32,16 @@ def q_scan_shipments_csv(spark, sf):
     return FS.scan_shipments_csv(spark, path)
 
 
-@register("load_dimension", ["holiday_calendar"],
-          "SELECT country_code, holiday_date, holiday_name, risk_weight FROM holiday_calendar")
+@register("load_dimension", ["weather_historical"], """
+SELECT origin_city, departure_date, precipitation_mm, windspeed_max_kmh, snowfall_cm, weather_risk_score
+FROM weather_historical""")
 def q_load_dimension(spark, sf):
-    """A holiday CSV whose last column is 'is_major' = True, loaded by position."""
-    path = FS.scratch_path(spark, "holidays-csv")
-    h = td.holiday_calendar(spark, sf)
-    h.select("country_code", F.date_format("holiday_date", "yyyy-MM-dd").alias("holiday_date"), "holiday_name",
-             F.lit("True").alias("is_major")).write.option("header", True).csv(path)
-    return FS.load_dimension(spark, "holiday_calendar", path)
+    """A weather CSV whose header names differ from the table's, loaded by position
+    (text to typed columns with try_cast; the boolean-to-weight case is in the tests)."""
+    path = FS.scratch_path(spark, "weather-csv")
+    w = td.weather_historical(spark, sf)
+    w.toDF("city", "day", "precip", "wind", "snow", "risk").write.option("header", True).csv(path)
+    return FS.load_dimension(spark, "weather_historical", path)
 
 
 @register("missing_source_default", ["shipments"], """

@@ -73,11 +73,12 @@ days AS (SELECT day, sum(n) AS day_n FROM daily GROUP BY day),
 grid AS (SELECT d.day, b.category, b.q, COALESCE(x.n, 0) AS n, d.day_n
          FROM days d CROSS JOIN b LEFT JOIN daily x ON x.day = d.day AND x.category = b.category)
 SELECT day, count(*) FILTER (WHERE n > 0) AS categories,
-       sum((greatest(n / day_n, 1e-4) - q) * ln(greatest(n / day_n, 1e-4) / q)) AS psi
+       round(sum((greatest(n / day_n, 1e-4) - q) * ln(greatest(n / day_n, 1e-4) / q)), 9) AS psi
 FROM grid GROUP BY day""")
 def q_feature_drift(spark, sf):
-    """T4: daily PSI of the category mix against the whole-period baseline."""
-    return MO.feature_drift(_events(spark, sf), "event_type")
+    """T4: daily PSI of the category mix against the whole-period baseline (9 places)."""
+    d = MO.feature_drift(_events(spark, sf), "event_type")
+    return d.withColumn("psi", F.round("psi", 9))
 
 
 @register("label_drift", ["given_scores"], """

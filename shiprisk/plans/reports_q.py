@@ -40,14 +40,18 @@ def q_table_counts(spark, sf):
 
 _SCALER_SQL = " UNION ALL ".join(
     f"SELECT '{f}' AS feature, avg(CAST({f} AS DOUBLE)) AS mean, "
-    f"CASE WHEN min({f}) = max({f}) THEN 1.0 ELSE stddev_pop(CAST({f} AS DOUBLE)) END AS std FROM train"
+    f"CASE WHEN min({f}) = max({f}) THEN CAST(1 AS DOUBLE) ELSE stddev_pop(CAST({f} AS DOUBLE)) END AS std FROM train"
     for f in NUMERIC_FEATURES)
 
 
-@register("fit_scaler", _TRAIN_FIX, f"WITH train AS ({_TRAIN_SQL}) {_SCALER_SQL}")
+@register("fit_scaler", _TRAIN_FIX,
+          f"WITH train AS ({_TRAIN_SQL}), s AS ({_SCALER_SQL}) SELECT feature, round(mean, 6) AS mean, "
+          f"round(std, 6) AS std FROM s")
 def q_fit_scaler(spark, sf):
-    """A4: mean and population std per numeric feature (constant -> 1)."""
-    return A.fit_scaler(training_table(spark, sf), NUMERIC_FEATURES)
+    """A4: mean and population std per numeric feature (constant -> 1); output to 6 places
+    (the last bits of a float sum depend on the summation order)."""
+    st = A.fit_scaler(training_table(spark, sf), NUMERIC_FEATURES)
+    return st.select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
 @register("class_weights", _TRAIN_FIX, f"""

@@ -164,3 +164,30 @@ def test_stationary_stream_timer_alerts_on_silence(spark):
         results[mode] = [(r.user_id, r.event_type, r.stationary_seconds) for r in spark.read.parquet(out).collect()]
     assert results[False] == []
     assert results[True] == [(1, "A", 7200)]
+
+
+def test_stream_surge_carries_state_across_epochs(spark, sf):
+    """Events in three time-ordered files -> three micro-batches; the flags equal the
+    batch form on the windows the watermark has closed."""
+    from shiprisk.operators import monitor as MO
+    from shiprisk.sources import testdata as td
+    from shiprisk.streaming import jobs as SJ
+    folder = tempfile.mkdtemp(prefix="shiprisk-surge-")
+    ev = td.table(spark, sf, "events")
+    day = F.dayofmonth("ts")
+    for i, (lo, hi) in enumerate(((1, 10), (11, 20), (21, 31))):
+        ev.where((day >= lo) & (day <= hi)).coalesce(1).write.parquet(os.path.join(folder, "in", f"part{i}"))
+    stream = (spark.readStream.schema(SJ.EVENTS_SCHEMA).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(os.path.join(folder, "in"))
+              .withColumn("ts", F.col("ts").cast("timestamp")))
+    out = os.path.join(folder, "out")
+    SJ.request_surge_stream(stream, os.path.join(folder, "state"), out, os.path.join(folder, "ckpt"))
+    got = spark.read.parquet(out)
+    assert got.select("epoch").distinct().count() >= 2
+    batch = MO.request_rate(td.events(spark, sf), "ts", "event_type")
+    max_ts = td.events(spark, sf).agg(F.max("ts")).first()[0]
+    closed = batch.where(F.col("window_start") + F.expr("INTERVAL 70 MINUTES") <= F.lit(max_ts))
+    key = ["window_start", "endpoint"]
+    a = {tuple(r[:2]): (r.requests, r.normal, r.surge) for r in got.select(*key, "requests", "normal", "surge").collect()}
+    b = {tuple(r[:2]): (r.requests, r.normal, r.surge) for r in closed.select(*key, "requests", "normal", "surge").collect()}
+    assert a == b

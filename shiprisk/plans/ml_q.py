@@ -46,6 +46,16 @@ def q_stratified_split(spark, sf):
     return MP.stratified_split(td.given_scores(spark, sf).select("shipment_id", "delay_flag"))
 
 
+@register("stratified_split_exact", ["given_scores"], """
+SELECT shipment_id, delay_flag,
+       row_number() OVER (PARTITION BY delay_flag ORDER BY md5(shipment_id), shipment_id)
+         <= ceil(count(*) OVER (PARTITION BY delay_flag) * 20 / 100.0) AS is_test
+FROM given_scores""")
+def q_stratified_split_exact(spark, sf):
+    """M1 exact mode: exactly 20 % (rounded up) of each label as test rows."""
+    return MP.stratified_split_exact(td.given_scores(spark, sf).select("shipment_id", "delay_flag"))
+
+
 @register("random_split", ["given_scores"], f"""
 SELECT shipment_id, {_hash_sql("'reg:' || shipment_id")} < 20 AS is_test FROM given_scores
 WHERE delay_flag = 1 AND delay_days IS NOT NULL AND delay_days > 0""")

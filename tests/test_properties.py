@@ -147,3 +147,21 @@ def test_keyed_helpers_match_naive_windows(spark):
                     F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("c"),
                     F.lag("cell").over(w).alias("p")).collect()
     assert got == {x.event_id: (x.rn, x.c, x.p) for x in ref}
+
+
+def test_exact_stratified_split_multi_level(spark, sf):
+    """Force several refinement levels (tiny exact-rank threshold) and compare with a
+    naive per-label ranking."""
+    import math
+    from shiprisk.models.pipeline import stratified_split_exact
+    g = td.given_scores(spark, sf).select("shipment_id", "delay_flag").dropDuplicates(["shipment_id"])
+    got = {r.shipment_id: r.is_test for r in stratified_split_exact(g, small=40).collect()}
+    w = Window.partitionBy("delay_flag").orderBy(F.md5("shipment_id"), "shipment_id")
+    n = {r[0]: r[1] for r in g.groupBy("delay_flag").count().collect()}
+    ref = g.withColumn("rn", F.row_number().over(w)).collect()
+    want = {r.shipment_id: r.rn <= math.ceil(n[r.delay_flag] * 0.2) for r in ref}
+    assert got == want
+    counts = {}
+    for r in ref:
+        counts[r.delay_flag] = counts.get(r.delay_flag, 0) + int(got[r.shipment_id])
+    assert counts == {k: math.ceil(v * 0.2) for k, v in n.items()}

@@ -146,7 +146,7 @@ def _gc_sql() -> str:
 
 
 @register("polyline_great_circle", ["city_coordinates", "shipments"], f"""
-SELECT origin_city, destination_city, i AS idx, {_gc_sql()}
+SELECT origin_city, destination_city, CAST(i AS INTEGER) AS idx, {_gc_sql()}
 FROM ({_PAIRS_SQL}) p, LATERAL (SELECT unnest(generate_series(0, 80)) AS i) g""")
 def q_polyline_great_circle(spark, sf):
     """81 great-circle points per pair (rounded to 6 places; trig ulps differ across libraries)."""

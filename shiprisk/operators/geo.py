@@ -147,33 +147,49 @@ def route_geometry(df: DataFrame, carrier: str = "carrier_type") -> DataFrame:
     legs (12 steps), 'air' for Air else 'road'; other road -> sea lanes
     (8 steps) labelled 'ocean'; Ocean -> sea lanes; Air across borders ->
     great circle; same-country Ocean -> no route.
+
+    The geometry depends only on the two points and the branch, so it is
+    built once per distinct (points, branch) and joined back: rows that
+    differ only in countries or carrier share one polyline computation.
     """
     c = F.col(carrier)
     is_road = c.isin("FTL", "LTL", "Intermodal")
     is_ocean, is_air = c == "Ocean", c == "Air"
     same = F.upper("origin_country") == F.upper("destination_country")
+    road_branch = is_road | same
+    branch = (F.when(road_branch & same & ~is_ocean, "direct")
+               .when(road_branch & ~is_ocean, "sea")
+               .when(road_branch, "none")
+               .when(is_ocean, "sea")
+               .when(is_air, "arc")
+               .otherwise("none"))
+    rtype = (F.when(road_branch & same & ~is_ocean, F.when(is_air, "air").otherwise("road"))
+              .when(road_branch & ~is_ocean, "ocean")
+              .when(road_branch, "")
+              .when(is_ocean, "ocean")
+              .when(is_air, "air")
+              .otherwise(""))
+    keys = ["o_lat", "o_lon", "d_lat", "d_lon", "_branch"]
+    tagged = df.withColumns({"_branch": branch, "route_type": rtype})
+    shapes = polylines_for(tagged.select(*keys).distinct())
+    cond = [F.col(k).eqNullSafe(F.col(f"_s{k}")) for k in keys]
+    j = tagged.join(shapes.select(*[F.col(k).alias(f"_s{k}") for k in keys], "route"), cond, "left")
+    return j.select(*df.columns, "route", "route_type")
+
+
+def polylines_for(shapes: DataFrame) -> DataFrame:
+    """``route`` for distinct (o_lat, o_lon, d_lat, d_lon, _branch) rows."""
     start = F.struct(F.col("o_lat").alias("lat"), F.col("o_lon").alias("lon"))
     end = F.struct(F.col("d_lat").alias("lat"), F.col("d_lon").alias("lon"))
     empty = F.array().cast(f"array<{POINT}>")
     # one projection per building block, so no expression is repeated inside another
-    df = with_lane_waypoints(df, "_waypoints").withColumns({
+    x = with_lane_waypoints(shapes, "_waypoints").withColumns({
         "_sea_pts": F.concat(F.array(start), F.col("_waypoints"), F.array(end)),
         "_direct_pts": F.array(start, end),
         "_angle": X.central_angle("o_lat", "o_lon", "d_lat", "d_lon")})
-    sea = polyline_points(F.col("_sea_pts"), C.OCEAN_LEG_STEPS)
-    direct = polyline_points(F.col("_direct_pts"), C.DOMESTIC_LEG_STEPS)
-    arc = polyline_great_circle("o_lat", "o_lon", "d_lat", "d_lon", angle="_angle")
-    road_branch = is_road | same
-    route = (F.when(road_branch & same & ~is_ocean, direct)
-              .when(road_branch & ~is_ocean, sea)
-              .when(road_branch, empty)
-              .when(is_ocean, sea)
-              .when(is_air, arc)
+    b = F.col("_branch")
+    route = (F.when(b == "direct", polyline_points(F.col("_direct_pts"), C.DOMESTIC_LEG_STEPS))
+              .when(b == "sea", polyline_points(F.col("_sea_pts"), C.OCEAN_LEG_STEPS))
+              .when(b == "arc", polyline_great_circle("o_lat", "o_lon", "d_lat", "d_lon", angle="_angle"))
               .otherwise(empty))
-    rtype = (F.when(road_branch & same & ~is_ocean, F.when(is_air, "air").otherwise("road"))
-              .when(road_branch & ~is_ocean, "ocean")
-              .when(road_branch, "")
-              .when(is_ocean, "ocean")
-              .when(is_air, "air")
-              .otherwise(""))
-    return df.withColumns({"route": route, "route_type": rtype}).drop("_waypoints", "_sea_pts", "_direct_pts", "_angle")
+    return x.withColumn("route", route).drop("_waypoints", "_sea_pts", "_direct_pts", "_angle")

@@ -169,6 +169,9 @@ REGION_OTHER = "other"
 
 # Sea-lane rules, first match wins:
 # (origin regions, destination regions, side condition, waypoint names).
+# The behaviour reproduced also lists the Australia -> East/South-East Asia
+# pair a second time with reversed waypoints; the first listing always
+# matches first, so that duplicate can never apply and is not repeated here.
 # A side condition is (point, axis, op, value) on the origin ("s") or
 # destination ("e") point, or None. Bare [lat, lon] points are given inline.
 _EA = ("east_asia", "sea")

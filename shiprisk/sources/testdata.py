@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _STAGED: dict = {}
 
 
-def staged(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+def staged(spark: SparkSession, sf_dir: str, name: str, build, spread: bool = False) -> DataFrame:
     """``build()`` written once per session as parquet in the shared folder, then read back.
 
     The derived inputs (the joined shipments, the stats tables built from
@@ -48,14 +48,23 @@ def staged(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
         base = ensure_checkpoint_dir(spark).rstrip("/")
         tag = hashlib.md5(sf_dir.encode()).hexdigest()[:10]
         path = f"{base}/shiprisk-staged/{spark.sparkContext.applicationId}/{tag}/{name}"
-        build().write.mode("overwrite").parquet(path)
+        df = build()
+        # Parallelism floor (fact tables, ``spread``): inputs that are a single row group give a plan of
+        # one or two tasks, and every later read of the staged table would be
+        # just as narrow. Only then spread the rows over the default
+        # parallelism; a plan that is already wider (any real scale) is
+        # written as it is, with no extra shuffle.
+        floor = spark.sparkContext.defaultParallelism
+        if spread and df.rdd.getNumPartitions() < floor:
+            df = df.repartition(floor)
+        df.write.mode("overwrite").parquet(path)
         _STAGED[key] = path
     return spark.read.parquet(_STAGED[key])
 
 
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per lineitem: the shipments view (unique shipment_id), staged."""
-    return staged(spark, sf_dir, "shipments", lambda: build_shipments(spark, sf_dir))
+    return staged(spark, sf_dir, "shipments", lambda: build_shipments(spark, sf_dir), spread=True)
 
 
 def build_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:

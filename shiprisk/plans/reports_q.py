@@ -87,12 +87,13 @@ _ROUND1 = X.sql_round_half_even_exact("raw_days", 1)
 
 
 @register("mae_rmse", ["given_scores"], f"""
-SELECT avg(abs(greatest(0.0, {_ROUND1}) - delay_days)) AS mae,
-       sqrt(avg((greatest(0.0, {_ROUND1}) - delay_days) * (greatest(0.0, {_ROUND1}) - delay_days))) AS rmse
+SELECT round(avg(abs(greatest(0.0, {_ROUND1}) - delay_days)), 9) AS mae,
+       round(sqrt(avg((greatest(0.0, {_ROUND1}) - delay_days) * (greatest(0.0, {_ROUND1}) - delay_days))), 9) AS rmse
 FROM given_scores WHERE delay_flag = 1 AND delay_days IS NOT NULL AND delay_days > 0""")
 def q_mae_rmse(spark, sf):
     """On the delayed subset (F2), max(0, round(pred, 1)) against true days."""
-    return M.mae_rmse(Q.delayed_subset(td.given_scores(spark, sf)), "raw_days", "delay_days")
+    m = M.mae_rmse(Q.delayed_subset(td.given_scores(spark, sf)), "raw_days", "delay_days")
+    return m.select(F.round("mae", 9).alias("mae"), F.round("rmse", 9).alias("rmse"))  # float sum order varies
 
 
 @register("build_vendor_stats", ["shipments"], """

@@ -165,3 +165,11 @@ def test_exact_stratified_split_multi_level(spark, sf):
     for r in ref:
         counts[r.delay_flag] = counts.get(r.delay_flag, 0) + int(got[r.shipment_id])
     assert counts == {k: math.ceil(v * 0.2) for k, v in n.items()}
+
+
+def test_staged_fact_table_is_spread_and_stats_are_not(spark, sf):
+    """The staged shipments view is written at least as wide as the default parallelism
+    (the test inputs are single row groups); small stats tables are written as they are."""
+    sh = td.shipments(spark, sf)
+    assert sh.rdd.getNumPartitions() >= min(spark.sparkContext.defaultParallelism, sh.count())
+    assert td.vendor_stats(spark, sf).inputFiles() and len(td.vendor_stats(spark, sf).inputFiles()) <= 2

@@ -141,9 +141,13 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of each component; of rows with equal ids one."""
-    kept = near_duplicates(docs, max_bits, shingle).where("doc_id = component_id or component_id is null") \
-        .select(F.col("doc_id").alias("kept_id"), "fp").distinct()
-    rest = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return rest.dropDuplicates(["doc_id"])
+def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of ``docs`` with the smallest id of each component; rows with a null id stay, of rows with equal ids one."""
+    found = near_duplicates(docs, max_bits, shingle, id_col=id_col, text_col=text_col)
+    gone = stage(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
+    kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    repeated = stage(docs.groupBy(id_col).count().where(f"count > 1 and `{id_col}` is not null").select(id_col), "repeated")
+    if repeated.isEmpty():
+        return kept
+    return kept.join(repeated, id_col, "left_anti").select(docs.columns) \
+        .union(kept.join(repeated, id_col, "left_semi").select(docs.columns).dropDuplicates([id_col]))

@@ -30,47 +30,24 @@ def byte_characters() -> list[str]:
     return [chr(b if b in own else next(moved)) for b in range(256)]
 
 
-class WordEncoder:
-    """``encode_many(texts)`` gives each text's ids as little-endian uint32 bytes."""
+class WordMemo:
+    """Encodes texts word by word. Subclasses give ``whole(text)`` and ``stem(word of Latin letters)``, as bytes."""
 
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        parts = json.loads(self.tokenizer.to_str())
-        pre = parts["pre_tokenizer"] or {}
-        self.byte_level = (parts["normalizer"] is None and pre.get("type") == "ByteLevel"
-                           and pre.get("use_regex") is True and pre.get("add_prefix_space") is False)
-        self.alphabet = byte_characters()
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.space_led = np.zeros(max(vocab.values()) + 1, bool)
-        for token, i in vocab.items():
-            self.space_led[i] = token.startswith("Ġ")  # the byte-level alphabet's space
-        self.packed = [i.to_bytes(4, "little") for i in range(len(self.space_led))]
+    def __init__(self, space_led: dict[int, bool], special: list[str], splittable: bool):
+        self.space_led = np.zeros(max(space_led) + 1, bool)
+        self.space_led[[i for i, led in space_led.items() if led]] = True
+        self.special, self.splittable = special, splittable
         self.words: dict[str, bytes] = {}
         self.firsts: dict[str, bytes] = {}
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _stem(self, word: str) -> bytes:
-        """Ids of a space-led word of Latin letters, which is one pre-token."""
-        ids = self.words.get(word)
-        if ids is None:
-            mapped = "Ġ" + (word if word.isascii() else "".join(map(self.alphabet.__getitem__, word.encode())))
-            ids = self.words[word] = b"".join([self.packed[t.id] for t in self.tokenizer.model.tokenize(mapped)])
-        return ids
-
     def _learn(self, words: set[str]) -> None:
         plain = []
         for w in words:
             stem = w[:-1] if w[-1:] in _MARKS else w
-            if stem.isalpha() and (stem.isascii() or max(stem) < _LATIN_END):
-                ids = self._stem(stem)
+            if stem.isalpha() and (stem.isascii() or max(stem) < _LATIN_END):  # one pre-token, and perhaps a mark
+                ids = self.words.get(stem)
+                if ids is None:
+                    ids = self.words[stem] = self.stem(stem)
                 if stem is not w:
                     mark = self.firsts.get(w[-1])
                     if mark is None:
@@ -92,21 +69,20 @@ class WordEncoder:
                 self.words[w] = data[s:e]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        split = []
-        for text in texts:
-            if not self.byte_level or _NOT_SPLITTABLE.search(text) or any(s in text for s in self.special):
-                split.append(None)
-            else:
-                split.append(text.split(" "))
+        """Each text's ids as little-endian uint32."""
         out = []
         for lo in range(0, len(texts), 256):
-            new = {w for p in split[lo:lo + 256] if p for w in p[1:]} - self.words.keys()
+            some = texts[lo:lo + 256]
+            split = [t.split(" ") if self.splittable and not _NOT_SPLITTABLE.search(t) and not any(s in t for s in self.special)
+                     else None for t in some]
+            new = {w for p in split if p for w in p[1:]} - self.words.keys()
             if len(self.words) + len(new) > MAX_WORDS:
                 self.words.clear()
+                new = {w for p in split if p for w in p[1:]}
+            if len(self.firsts) > MAX_WORDS // 10:
                 self.firsts.clear()
-                new = {w for p in split[lo:lo + 256] if p for w in p[1:]}
             self._learn(new)
-            for text, p in zip(texts[lo:lo + 256], split[lo:lo + 256]):
+            for text, p in zip(some, split):
                 if p is None:
                     out.append(self.whole(text))
                     continue
@@ -114,10 +90,37 @@ class WordEncoder:
                 if first is None:
                     first = self.firsts[p[0]] = self.whole(p[0])
                 out.append(first + b"".join(map(self.words.__getitem__, p[1:])))
-            split[lo:lo + 256] = [None] * len(split[lo:lo + 256])
         return out
 
 
+class WordEncoder(WordMemo):
+    """Ids by the ``tokenizers`` library."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        parts = json.loads(self.tokenizer.to_str())
+        pre = parts["pre_tokenizer"] or {}
+        byte_level = (parts["normalizer"] is None and pre.get("type") == "ByteLevel"
+                      and pre.get("use_regex") is True and pre.get("add_prefix_space") is False)
+        self.alphabet = byte_characters()
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.packed = [i.to_bytes(4, "little") for i in range(max(vocab.values()) + 1)]
+        super().__init__({i: t.startswith("Ġ") for t, i in vocab.items()},  # the byte-level alphabet's space
+                         [t.content for t in self.tokenizer.get_added_tokens_decoder().values()], byte_level)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def stem(self, word: str) -> bytes:
+        mapped = "Ġ" + (word if word.isascii() else "".join(map(self.alphabet.__getitem__, word.encode())))
+        return b"".join([self.packed[t.id] for t in self.tokenizer.model.tokenize(mapped)])
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder for a vocabulary file."""

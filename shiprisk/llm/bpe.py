@@ -99,8 +99,8 @@ class RankEncoder(WordMemo):
                     heapq.heappush(heap, (s, a))
         return [p for p in parts if p >= 0]
 
-    def stem(self, word: str) -> bytes:
-        return np.array(self.merge(b" " + word.encode()), "<u4").tobytes()
+    def stem(self, word: str, led: bool) -> bytes:
+        return np.array(self.merge(b" " * led + word.encode()), "<u4").tobytes()
 
     def whole(self, text: str) -> bytes:
         ids: list[int] = []

@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 
-MAX_WORDS = 1_000_000
+MAX_WORDS = 1_300_000
 _NOT_SPLITTABLE = re.compile(r"\s (?:\s|\Z)")
 _MARKS = frozenset(".,;:!?")
 _LATIN_END = "\u0250"
@@ -31,7 +31,8 @@ def byte_characters() -> list[str]:
 
 
 class WordMemo:
-    """Encodes texts word by word. Subclasses give ``whole(text)`` and ``stem(word of Latin letters)``, as bytes."""
+    """Encodes texts word by word. Subclasses give ``whole(text)`` and
+    ``stem(word of Latin letters, whether a space leads it)``, as bytes."""
 
     def __init__(self, space_led: dict[int, bool], special: list[str], splittable: bool):
         self.space_led = np.zeros(max(space_led) + 1, bool)
@@ -40,20 +41,38 @@ class WordMemo:
         self.words: dict[str, bytes] = {}
         self.firsts: dict[str, bytes] = {}
 
+    def _led(self, w: str) -> bytes | None:
+        """Ids of a space-led word that is one pre-token, perhaps with a mark; None if it is another kind of word."""
+        stem = w[:-1] if w[-1:] in _MARKS else w
+        if not stem.isalpha() or not stem.isascii() and max(stem) >= _LATIN_END:
+            return None
+        ids = self.words.get(stem)
+        if ids is None:
+            ids = self.words[stem] = self.stem(stem, True)
+        if stem is not w:
+            ids = self.words[w] = ids + self._first(w[-1])
+        return ids
+
+    def _first(self, w: str) -> bytes:
+        """Ids of a word that no space leads."""
+        ids = self.firsts.get(w)
+        if ids is None:
+            latin = w.isalpha() and (w.isascii() or max(w) < _LATIN_END)
+            ids = self.firsts[w] = self.stem(w, False) if latin else self.whole(w)
+        return ids
+
     def _learn(self, words: set[str]) -> None:
         plain = []
         for w in words:
-            stem = w[:-1] if w[-1:] in _MARKS else w
-            if stem.isalpha() and (stem.isascii() or max(stem) < _LATIN_END):  # one pre-token, and perhaps a mark
-                ids = self.words.get(stem)
-                if ids is None:
-                    ids = self.words[stem] = self.stem(stem)
-                if stem is not w:
-                    mark = self.firsts.get(w[-1])
-                    if mark is None:
-                        mark = self.firsts[w[-1]] = self.whole(w[-1])
-                    self.words[w] = ids + mark
-            elif w and not w[0].isspace() and not w[-1].isspace():
+            if self._led(w) is not None:
+                continue
+            a, line, b = w.partition("\n")
+            if line and a and b and not a[-1].isspace() and b.isalpha():  # a line's last word, the break, and the next line's first
+                ids = self.words.get(a) or self._led(a)
+                if ids is not None:
+                    self.words[w] = ids + self._first("\n") + self._first(b)
+                    continue
+            if w and not w[0].isspace() and not w[-1].isspace():
                 plain.append(w)
             else:
                 self.words[w] = self.whole(" " + w)
@@ -86,10 +105,7 @@ class WordMemo:
                 if p is None:
                     out.append(self.whole(text))
                     continue
-                first = self.firsts.get(p[0])
-                if first is None:
-                    first = self.firsts[p[0]] = self.whole(p[0])
-                out.append(first + b"".join(map(self.words.__getitem__, p[1:])))
+                out.append(self._first(p[0]) + b"".join(map(self.words.__getitem__, p[1:])))
         return out
 
 
@@ -116,8 +132,8 @@ class WordEncoder(WordMemo):
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def stem(self, word: str) -> bytes:
-        mapped = "Ġ" + (word if word.isascii() else "".join(map(self.alphabet.__getitem__, word.encode())))
+    def stem(self, word: str, led: bool) -> bytes:
+        mapped = "Ġ" * led + (word if word.isascii() else "".join(map(self.alphabet.__getitem__, word.encode())))
         return b"".join([self.packed[t.id] for t in self.tokenizer.model.tokenize(mapped)])
 
 

@@ -4,7 +4,7 @@ A record file holds one record for each document::
 
     length   8 bytes, little-endian unsigned
     check    4 bytes, masked CRC-32C of the length bytes
-    payload  ``length`` bytes: the ids as little-endian uint32
+    payload  ``length`` bytes: the bytes of an id (2 or 4), then the ids, little-endian
     check    4 bytes, masked CRC-32C of the payload
 
 ``masked`` is the CRC rotated right by 15 bits plus 0xA282EAD8, modulo 2**32.
@@ -136,6 +136,14 @@ def unframe(records: list[bytes]) -> list[bytes]:
     return payloads
 
 
+def serialize(ids: np.ndarray, width: int) -> bytes:
+    return bytes([width]) + ids.astype(f"<u{width}").tobytes()
+
+
+def deserialize(payload: bytes) -> np.ndarray:
+    return np.frombuffer(payload, f"<u{payload[0]}", offset=1).astype("<u4")
+
+
 def _file_system(uri: str):
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
@@ -159,13 +167,15 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str | None = None, e
         part = TaskContext.get().partitionId()
         fs, root = _file_system(folder)
         out, name, offset, k, row = None, "", 0, 0, 0
+        encode = encoder(vocabulary).encode_many
+        width = 2 if max(len(encoder(vocabulary).space_led) - 1, end_id) < 1 << 16 else 4
         try:
             for batch in batches:
                 for lo in range(0, batch.num_rows, 256):
                     some = batch.slice(lo, 256)
                     texts = some.column("text").to_pylist()
                     files, offsets, lengths, numbers = [], [], [], []
-                    for record in frame([ids + end for ids in encoder(vocabulary).encode_many(texts)]):
+                    for record in frame([serialize(np.frombuffer(ids + end, "<u4"), width) for ids in encode(texts)]):
                         if out is None or offset + len(record) > file_bytes and offset:
                             if out is not None:
                                 out.close()
@@ -176,7 +186,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str | None = None, e
                         files.append(name)
                         offsets.append(offset)
                         lengths.append(len(record))
-                        numbers.append((len(record) - 16) // 4)
+                        numbers.append((len(record) - 17) // width)
                         offset += len(record)
                     size = len(texts)
                     yield pa.RecordBatch.from_arrays([
@@ -221,7 +231,7 @@ def read_records(index: DataFrame, folder: str, digest, schema: str) -> DataFram
                     for _, at, size in places[i:j]:
                         found.append(data[at - start:at - start + size])
                     i = j
-                yield digest(some, [np.frombuffer(p, "<u4") for p in unframe(found)])
+                yield digest(some, [deserialize(p) for p in unframe(found)])
 
     return index.mapInArrow(fetch, schema)
 

@@ -58,7 +58,7 @@ class RankEncoder(WordMemo):
         self.added = added
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.pretokens = regex.compile(PATTERN).findall
-        super().__init__({i: t[:1] == b" " for i, t in self.bytes_of.items()}, list(added), True)
+        super().__init__(list(added), True)
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""

@@ -168,7 +168,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str | None = None, e
         fs, root = _file_system(folder)
         out, name, offset, k, row = None, "", 0, 0, 0
         encode = encoder(vocabulary).encode_many
-        width = 2 if max(len(encoder(vocabulary).space_led) - 1, end_id) < 1 << 16 else 4
+        width = 2 if max(len(encoder(vocabulary).packed) - 1, end_id) < 1 << 16 else 4
         try:
             for batch in batches:
                 for lo in range(0, batch.num_rows, 256):

@@ -13,13 +13,14 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 from functools import lru_cache
 
 import numpy as np
 
 MAX_WORDS = 1_300_000
 _NOT_SPLITTABLE = re.compile(r"\s (?:\s|\Z)")
-_MARKS = frozenset(".,;:!?")
+_MARKS = string.punctuation
 _LATIN_END = "\u0250"
 
 
@@ -30,83 +31,71 @@ def byte_characters() -> list[str]:
     return [chr(b if b in own else next(moved)) for b in range(256)]
 
 
+class _Words(dict):
+    """word -> ids of the word after a space, learnt when first met."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= MAX_WORDS:
+            self.clear()
+        ids = self[word] = self.learn(word)
+        return ids
+
+
+def _latin(word: str) -> bool:
+    return word.isalpha() and (word.isascii() or max(word) < _LATIN_END)
+
+
 class WordMemo:
     """Encodes texts word by word. Subclasses give ``whole(text)`` and
     ``stem(word of Latin letters, whether a space leads it)``, as bytes."""
 
-    def __init__(self, space_led: dict[int, bool], special: list[str], splittable: bool):
-        self.space_led = np.zeros(max(space_led) + 1, bool)
-        self.space_led[[i for i, led in space_led.items() if led]] = True
+    def __init__(self, special: list[str], splittable: bool):
         self.special, self.splittable = special, splittable
-        self.words: dict[str, bytes] = {}
+        self.words = _Words(self._after_space)
         self.firsts: dict[str, bytes] = {}
-
-    def _led(self, w: str) -> bytes | None:
-        """Ids of a space-led word that is one pre-token, perhaps with a mark; None if it is another kind of word."""
-        stem = w[:-1] if w[-1:] in _MARKS else w
-        if not stem.isalpha() or not stem.isascii() and max(stem) >= _LATIN_END:
-            return None
-        ids = self.words.get(stem)
-        if ids is None:
-            ids = self.words[stem] = self.stem(stem, True)
-        if stem is not w:
-            ids = self.words[w] = ids + self._first(w[-1])
-        return ids
+        #: Words that begin with white space, or are empty: only next to them a split may be wrong.
+        self.odd: set[str] = set()
+
+    def _after_space(self, w: str) -> bytes:
+        if _latin(w):  # one pre-token
+            return self.stem(w, True)
+        stem = w.rstrip(_MARKS)
+        if _latin(stem):  # and a run of marks
+            return self.words[stem] + self._first(w[len(stem):])
+        a, line, b = w.partition("\n")
+        if line and a and not a[-1].isspace() and b and not b[0].isspace():  # a line's last word, the break, and the next line's first
+            return self.words[a] + self._first("\n") + self._first(b)
+        if not w or w[0].isspace():
+            self.odd.add(w)
+        return self.whole(" " + w)
 
     def _first(self, w: str) -> bytes:
         """Ids of a word that no space leads."""
         ids = self.firsts.get(w)
         if ids is None:
-            latin = w.isalpha() and (w.isascii() or max(w) < _LATIN_END)
-            ids = self.firsts[w] = self.stem(w, False) if latin else self.whole(w)
+            if len(self.firsts) > MAX_WORDS // 10:
+                self.firsts.clear()
+            stem = w.rstrip(_MARKS)
+            ids = self.firsts[w] = self.stem(w, False) if _latin(w) \
+                else self._first(stem) + self._first(w[len(stem):]) if _latin(stem) else self.whole(w)
         return ids
 
-    def _learn(self, words: set[str]) -> None:
-        plain = []
-        for w in words:
-            if self._led(w) is not None:
-                continue
-            a, line, b = w.partition("\n")
-            if line and a and b and not a[-1].isspace() and b.isalpha():  # a line's last word, the break, and the next line's first
-                ids = self.words.get(a) or self._led(a)
-                if ids is not None:
-                    self.words[w] = ids + self._first("\n") + self._first(b)
-                    continue
-            if w and not w[0].isspace() and not w[-1].isspace():
-                plain.append(w)
-            else:
-                self.words[w] = self.whole(" " + w)
-        if plain:
-            ids = np.frombuffer(self.whole(" " + " ".join(plain)), "<u4")
-            starts = np.flatnonzero(self.space_led[ids])
-            if len(starts) != len(plain):  # not a vocabulary in which only a word's first token holds its space
-                for w in plain:
-                    self.words[w] = self.whole(" " + w)
-                return
-            data, ends = ids.tobytes(), (np.append(starts[1:], len(ids)) * 4).tolist()
-            for w, s, e in zip(plain, (starts * 4).tolist(), ends):
-                self.words[w] = data[s:e]
+    def encode(self, text: str) -> bytes:
+        if not self.splittable or any(s in text for s in self.special):
+            return self.whole(text)
+        words = text.split(" ")
+        ids = self._first(words[0]) + b"".join(map(self.words.__getitem__, words[1:]))
+        if not self.odd.isdisjoint(words) and _NOT_SPLITTABLE.search(text):
+            return self.whole(text)
+        return ids
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian uint32."""
-        out = []
-        for lo in range(0, len(texts), 256):
-            some = texts[lo:lo + 256]
-            split = [t.split(" ") if self.splittable and not _NOT_SPLITTABLE.search(t) and not any(s in t for s in self.special)
-                     else None for t in some]
-            new = {w for p in split if p for w in p[1:]} - self.words.keys()
-            if len(self.words) + len(new) > MAX_WORDS:
-                self.words.clear()
-                new = {w for p in split if p for w in p[1:]}
-            if len(self.firsts) > MAX_WORDS // 10:
-                self.firsts.clear()
-            self._learn(new)
-            for text, p in zip(some, split):
-                if p is None:
-                    out.append(self.whole(text))
-                    continue
-                out.append(self._first(p[0]) + b"".join(map(self.words.__getitem__, p[1:])))
-        return out
+        return list(map(self.encode, texts))
 
 
 class WordEncoder(WordMemo):
@@ -126,14 +115,14 @@ class WordEncoder(WordMemo):
         self.alphabet = byte_characters()
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.packed = [i.to_bytes(4, "little") for i in range(max(vocab.values()) + 1)]
-        super().__init__({i: t.startswith("Ġ") for t, i in vocab.items()},  # the byte-level alphabet's space
-                         [t.content for t in self.tokenizer.get_added_tokens_decoder().values()], byte_level)
+        super().__init__([t.content for t in self.tokenizer.get_added_tokens_decoder().values()], byte_level)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def stem(self, word: str, led: bool) -> bytes:
-        mapped = "Ġ" * led + (word if word.isascii() else "".join(map(self.alphabet.__getitem__, word.encode())))
+        mapped = "Ġ" * led + (  # the byte-level alphabet's space
+            word if word.isascii() else "".join(map(self.alphabet.__getitem__, word.encode())))
         return b"".join([self.packed[t.id] for t in self.tokenizer.model.tokenize(mapped)])
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, ship
+from .common import read, ship, slices
 
 COVERAGE = 0.8
 WORD = re.compile(r"\w+(?:[.'-]\w+)*")
@@ -179,7 +179,7 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, coverage)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("name", pa.string()), ("coverage", pa.float64())]))
-        for batch in batches:
+        for batch in slices(batches):
             found = [[dict(zip(("start", "end", "name", "coverage"), x)) for x in scanner.scan(t or "")] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], names=["doc_id", "licenses"])
 

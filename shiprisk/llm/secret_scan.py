@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, ship, stage
+from .common import read, ship, slices, stage
 
 KINDS = ["assign", "access", "hex", "random"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -131,7 +131,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
         cand = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("band", pa.int32()), ("level", pa.int32())]))
-        for batch in batches:
+        for batch in slices(batches):
             base = [base_spans(t or "") for t in batch.column("text").to_pylist()]
             tested = [candidates(t or "", b) for t, b in zip(batch.column("text").to_pylist(), base)]
             yield pa.RecordBatch.from_arrays(
@@ -190,7 +190,7 @@ def redact(docs: DataFrame, fdr: float = FDR, text_col: str = "text", length_col
     at, size = docs.columns.index(text_col), docs.columns.index(length_col) if length_col in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, columns = [], list(batch.columns)
             lengths = columns[size].to_pylist() if size is not None else None
             for i, text in enumerate(columns[at].to_pylist()):

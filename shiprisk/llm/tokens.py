@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 
-MAX_WORDS = 1_300_000
+MAX_WORDS = 500_000
 _NOT_SPLITTABLE = re.compile(r"\s (?:\s|\Z)")
 _MARKS = string.punctuation
 _LATIN_END = "\u0250"

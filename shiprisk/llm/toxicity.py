@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, ship, stage
+from .common import read, ship, slices, stage
 
 SAMPLE = 10_000
 FOLDS = 5
@@ -46,7 +46,7 @@ THRESHOLD = 0.5
 STEPS = 200
 L2 = 1e-5
 MARKS = "".join(map(chr, range(0x21, 0x30))) + ":;<=>?@[\\]^_`{|}~«»“”„‘’…–—"
-MEMO = 500_000
+MEMO = 200_000
 CHAIN = ("junk", "toxic", "severe")
 
 
@@ -88,7 +88,7 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(word_features)
-        for batch in batches:
+        for batch in slices(batches):
             found = [text_features(t, memo) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.int64()))], names=[*batch.schema.names[:-1], "features"])
 
@@ -231,7 +231,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _scorer(chain)
-        for batch in batches:
+        for batch in slices(batches):
             p = of(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(x)) for x in p.T),
                                               pa.array(p[:, chain.categories.index("toxic")] >= THRESHOLD)],
@@ -249,7 +249,7 @@ def filter_clean(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _scorer(chain)
-        for batch in batches:
+        for batch in slices(batches):
             p = of(batch.column(at).to_pylist())
             yield batch.filter(pa.array(p[:, chain.categories.index("toxic")] < THRESHOLD))
 

@@ -11,7 +11,8 @@ to six letters, hashed to 64 bits; a category keeps those whose rate differs
 most between its positive and negative rows. The models are fitted on a
 bounded sample of labelled rows (``sample``, the lowest hashes of the id);
 each of the folds' models is fitted in a task of its own, and every document
-is scored. The categories of the query are junk (quality 0), toxic (toxic 1)
+is scored. A document is toxic from the probability on that gives the
+out-of-fold predictions of the sample the best F1. The categories of the query are junk (quality 0), toxic (toxic 1)
 and severe (toxic, with more signs of toxicity than the median toxic row).
 
 Nulls and edge cases: a null or empty text has no features and gets the
@@ -42,7 +43,8 @@ FEATURES = 256
 LEAST_Z = 5.0
 LEAST_ROWS = 2
 PREFIXES = (4, 5, 6)
-THRESHOLD = 0.5
+#: The threshold of rejection is chosen among this many equal steps.
+BINS = 50
 STEPS = 200
 L2 = 1e-5
 MARKS = "".join(map(chr, range(0x21, 0x30))) + ":;<=>?@[\\]^_`{|}~«»“”„‘’…–—"
@@ -141,7 +143,7 @@ class Chain:
     """``features``: hash -> column; ``weights[category][fold]``, the last of each fitted on all folds."""
 
     def __init__(self, categories: tuple[str, ...], features: list[int]):
-        self.categories, self.weights = categories, []
+        self.categories, self.weights, self.threshold = categories, [], 0.5
         self.column = {f: i for i, f in enumerate(features)}
 
     def coordinates(self, features: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -175,6 +177,25 @@ def _fitter(chain: Chain, category: str):
     return fit
 
 
+def choose_threshold(rows: DataFrame, chain: Chain, category: str) -> float:
+    """The step whose out-of-fold predictions have the best F1; the middle one of equals."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            r, c = chain.coordinates(batch.column("features").to_pylist())
+            p = chain.probabilities(r, c, batch.column("fold").to_numpy())[:, chain.categories.index(category)]
+            yield pa.RecordBatch.from_arrays([batch.column(category), pa.array((p * BINS).astype(np.int32))], names=["y", "bin"])
+
+    counts = np.zeros((2, BINS + 1))
+    for y, b, n in rows.mapInArrow(run, "y int, bin int").groupBy("y", "bin").count().collect():  # two rows a step at most
+        counts[y, b] = n
+    caught, false = (counts[k, ::-1].cumsum()[::-1][1:BINS] for k in (1, 0))  # at thresholds 1/BINS, 2/BINS, ...
+    if not counts[1].sum():
+        return 0.5
+    f1 = 2 * caught / (caught + false + counts[1].sum())
+    best = np.flatnonzero(f1 == f1.max()) + 1
+    return float(best[len(best) // 2]) / BINS
+
+
 def fit_chain(rows: DataFrame, categories: tuple[str, ...], features: list[int]) -> Chain:
     """``rows``: fold, a 0/1 column for each category, features. At most ``sample`` rows are in a group."""
     chain = Chain(categories, features)
@@ -204,7 +225,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     features = list(dict.fromkeys([*choose_features(rows, "junk"), *signs, *choose_features(rows, "severe")]))
     keep = F.array(*map(F.lit, features)).cast("array<bigint>")
     slim = stage(rows.select("fold", *CHAIN, F.array_intersect("features", keep).alias("features")), "sample")
-    return fit_chain(slim, CHAIN, features)
+    chain = fit_chain(slim, CHAIN, features)
+    chain.threshold = choose_threshold(slim, chain, "toxic")
+    return chain
 
 
 def _scorer(chain: Chain):
@@ -234,7 +257,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
         for batch in slices(batches):
             p = of(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(x)) for x in p.T),
-                                              pa.array(p[:, chain.categories.index("toxic")] >= THRESHOLD)],
+                                              pa.array(p[:, chain.categories.index("toxic")] >= chain.threshold)],
                                              names=["doc_id", *(f"p_{c}" for c in chain.categories), "toxic"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -251,7 +274,7 @@ def filter_clean(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataF
         of = _scorer(chain)
         for batch in slices(batches):
             p = of(batch.column(at).to_pylist())
-            yield batch.filter(pa.array(p[:, chain.categories.index("toxic")] < THRESHOLD))
+            yield batch.filter(pa.array(p[:, chain.categories.index("toxic")] < chain.threshold))
 
     return docs.mapInArrow(run, docs.schema)
 

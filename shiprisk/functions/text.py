@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from .expressions import sanitize_text
+from .expressions import round_half_even_exact, sanitize_text
 
 # FIXED VALUES: the prompt lines, in order (Java format syntax).
 PROMPT_LINES = [
@@ -40,22 +40,22 @@ def prompt_language(lang: Column) -> Column:
 def explain_prompt(language: Column) -> Column:
     """Prompt text from the result record, request and context columns of the row."""
     s = sanitize_text
+    half_even = round_half_even_exact  # format_string alone rounds ties up
     lines = [
         F.format_string(PROMPT_LINES[0], s("shipment_id"), s("origin_city"), s("origin_country"),
                         s("destination_city"), s("destination_country"), s("vendor_name")),
         F.format_string(PROMPT_LINES[1], s("carrier_type"), F.col("distance_km").cast("string"),
                         F.col("planned_transit_days").cast("string")),
-        F.format_string(PROMPT_LINES[2], F.col("weather_risk_score"), _bool_text(F.col("is_hazmat").cast("boolean")),
+        F.format_string(PROMPT_LINES[2], half_even(F.col("weather_risk_score"), 2), _bool_text(F.col("is_hazmat").cast("boolean")),
                         s("priority_level")),
-        F.format_string(PROMPT_LINES[3], F.col("vendor_on_time_rate") * 100, s("vendor_tier")),
-        F.format_string(PROMPT_LINES[4], F.col("destination_lpi_score"), F.col("destination_customs_tier"),
-                        F.col("destination_geopolitical_risk"), F.col("lane_avg_customs_days")),
+        F.format_string(PROMPT_LINES[3], half_even(F.col("vendor_on_time_rate") * 100, 1), s("vendor_tier")),
+        F.format_string(PROMPT_LINES[4], half_even(F.col("destination_lpi_score"), 1), F.col("destination_customs_tier"),
+                        half_even(F.col("destination_geopolitical_risk"), 2), half_even(F.col("lane_avg_customs_days"), 1)),
         F.format_string(PROMPT_LINES[5], _bool_text(F.col("delay_predicted")),
                         F.col("estimated_delay_days").cast("string"), s("delay_reason")),
-        F.format_string(PROMPT_LINES[6], F.col("adjusted_delay_probability") * 100),
+        F.format_string(PROMPT_LINES[6], half_even(F.col("adjusted_delay_probability") * 100, 1)),
         F.format_string(PROMPT_LINES[7], F.when(F.col("delay_predicted"), F.lit(STATUS_DELAYED))
                         .otherwise(F.lit(STATUS_ON_TIME))),
         F.format_string(PROMPT_LINES[8], prompt_language(language)),
     ]
-    # lines 5 and 6 of the prompt share one physical line in the source text
     return F.concat_ws("\n", *lines)

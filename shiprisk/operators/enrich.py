@@ -5,9 +5,12 @@ data (vendor_stats grows with suppliers, weather with city-days). The
 planner broadcasts a side only when its estimated size is under
 ``spark.sql.autoBroadcastJoinThreshold``; with AQE on, a side whose
 *measured* shuffle output is small is switched to a broadcast at run time,
-and larger sides stay sort-merge joins (AQE splits skewed partitions of
-the preserved side). Every dimension is reduced to one row per key before
-the join, so a left join never fans out.
+and larger sides stay sort-merge joins. Every dimension is reduced to one
+row per key (the smallest, so the answer does not change between runs) and a
+left join never fans out. Those that grow are stored after that step: both
+sides of the join are then bare shuffles, whose skewed partitions AQE can
+split; an aggregate between shuffle and join would switch that off. Country
+and lane tables are bounded by the number of countries.
 """
 
 from __future__ import annotations
@@ -17,11 +20,18 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import expressions as X
+from ..session import cut_lineage
 
 
 def _unique(dim: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key (keys are primary keys; keep-any is enough)."""
-    return dim.dropDuplicates(keys)
+    """One row per key, for tables whose keys may collide once they are normalised (smallest row)."""
+    rest = [c for c in dim.columns if c not in keys]
+    return dim.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*")
+
+
+def _stored(dim: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key, written to the shared folder: the join then sees a bare table, not an aggregate."""
+    return cut_lineage(_unique(dim, keys))
 
 
 def lookup(fact: DataFrame, dim: DataFrame, fact_keys: list[Column], dim_keys: list[str],
@@ -30,8 +40,9 @@ def lookup(fact: DataFrame, dim: DataFrame, fact_keys: list[Column], dim_keys: l
 
     ``take`` maps output name -> (dim column, default on miss). The dim key
     columns are renamed with ``prefix`` so repeated lookups never collide.
+    ``dim`` has one row per key (``_stored``, ``_unique``).
     """
-    d = _unique(dim, dim_keys).select(
+    d = dim.select(
         *[F.col(k).alias(f"{prefix}{k}") for k in dim_keys],
         *[F.col(src).alias(f"{prefix}v_{out}") for out, (src, _) in take.items()])
     cond = None
@@ -60,7 +71,7 @@ def join_vendor(fact: DataFrame, vendors: DataFrame, vendor_key: str = "vendor_n
     v = vendors
     if sanitize_dimension_key:
         v = v.withColumn("vendor_name", X.sanitize_text("vendor_name"))
-    return lookup(fact, v, [F.col(vendor_key)], ["vendor_name"], {
+    return lookup(fact, _stored(v, ["vendor_name"]), [F.col(vendor_key)], ["vendor_name"], {
         "vendor_on_time_rate": ("on_time_rate", C.VENDOR_DEFAULT_ON_TIME_RATE),
         "vendor_avg_delay_days": ("avg_delay_days", C.VENDOR_DEFAULT_AVG_DELAY_DAYS),
         "vendor_total_shipments": ("total_shipments", C.VENDOR_DEFAULT_TOTAL_SHIPMENTS),
@@ -70,7 +81,7 @@ def join_vendor(fact: DataFrame, vendors: DataFrame, vendor_key: str = "vendor_n
 # J2 ---------------------------------------------------------------------
 def join_route(fact: DataFrame, routes: DataFrame, origin: str = "origin_city",
                destination: str = "destination_city") -> DataFrame:
-    return lookup(fact, routes, [F.col(origin), F.col(destination)], ["origin", "destination"], {
+    return lookup(fact, _stored(routes, ["origin", "destination"]), [F.col(origin), F.col(destination)], ["origin", "destination"], {
         "route_avg_delay_days": ("avg_delay_days", C.ROUTE_DEFAULT_AVG_DELAY_DAYS),
         "route_historical_count": ("historical_count", C.ROUTE_DEFAULT_HISTORICAL_COUNT),
     }, "_r_")
@@ -86,7 +97,7 @@ def join_country_risk(fact: DataFrame, risk: DataFrame, country: str, side: str,
     the default normalises both sides with upper(trim()).
     """
     fk = F.upper(F.col(country)) if upper_fact else F.col(country)
-    r = risk.withColumn("country_code", _norm(F.col("country_code"), strict_case))
+    r = _unique(risk.withColumn("country_code", _norm(F.col("country_code"), strict_case)), ["country_code"])
     take = {
         f"{side}_lpi_score": ("lpi_score", C.COUNTRY_DEFAULT_LPI),
         f"{side}_customs_tier": ("customs_tier", C.COUNTRY_DEFAULT_CUSTOMS_TIER),
@@ -105,6 +116,7 @@ def join_trade_lane(fact: DataFrame, lanes: DataFrame, origin: str = "origin_cou
     d = F.upper(F.col(destination)) if upper_fact else F.col(destination)
     ln = lanes.withColumns({"origin_country": _norm(F.col("origin_country"), strict_case),
                             "destination_country": _norm(F.col("destination_country"), strict_case)})
+    ln = _unique(ln, ["origin_country", "destination_country"])
     return lookup(fact, ln, [_norm(o, strict_case), _norm(d, strict_case)],
                   ["origin_country", "destination_country"],
                   {"lane_avg_customs_days": ("avg_customs_days", C.LANE_DEFAULT_CUSTOMS_DAYS)}, "_l_")
@@ -118,7 +130,7 @@ def join_weather(fact: DataFrame, weather: DataFrame, city: str = "origin_city",
     The weather table grows with city-days, so no hint: broadcast only
     when the planner / AQE measure it small, else a shuffle join.
     """
-    return lookup(fact, weather, [F.col(city), X.date_key(F.col(date))], ["origin_city", "departure_date"],
+    return lookup(fact, _stored(weather, ["origin_city", "departure_date"]), [F.col(city), X.date_key(F.col(date))], ["origin_city", "departure_date"],
                   {"weather_risk_score": ("weather_risk_score", C.WEATHER_DEFAULT_RISK)}, "_w_")
 
 

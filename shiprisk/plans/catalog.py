@@ -33,4 +33,4 @@ def register(name: str, fixtures: list[str] | None = None, sql: str | None = Non
 def load_all() -> None:
     """Import every module that registers queries."""
     from . import (enrichment, expressions_q, geo_q, ml_q, monitoring_q,  # noqa: F401
-                   reports_q, sources_q, streaming_q, training_q, weather_q)
+                   reports_q, sources_q, streaming_q, weather_q)

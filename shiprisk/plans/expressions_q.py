@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from ..operators import enrich as EN
 from ..operators import training as TR
 from ..sources import testdata as td
 from .catalog import register
@@ -198,18 +199,17 @@ SELECT g.shipment_id,
        CASE WHEN g.raw_p >= 0.5 THEN 'Delay Likely' ELSE 'On-Time Expected' END AS headline,
        CASE WHEN g.raw_p >= 0.5 THEN ['WEATHER', 'VENDOR', 'ROUTE', 'CUSTOMS'][g.reason_index + 1]
             ELSE 'None detected' END AS reason_text,
-       CASE WHEN v.on_time_rate IS NULL OR v.on_time_rate = 0 THEN 'N/A'
-            ELSE concat(CAST(CAST(floor(v.on_time_rate * 100 + 0.5) AS BIGINT) AS VARCHAR), '%') END AS on_time_text
+       CASE WHEN COALESCE(v.on_time_rate, 0.5) = 0 THEN 'N/A'
+            ELSE concat(CAST(CAST(floor(COALESCE(v.on_time_rate, 0.5) * 100 + 0.5) AS BIGINT) AS VARCHAR), '%') END AS on_time_text
 FROM given_scores g LEFT JOIN vendor_stats v ON v.vendor_name = g.vendor_name""")
 def q_result_fields(spark, sf):
     g = td.given_scores(spark, sf)
-    v = td.vendor_stats(spark, sf).select("vendor_name", "on_time_rate")
-    j = g.join(v, "vendor_name", "left")
+    j = EN.join_vendor(g, td.vendor_stats(spark, sf))
     delayed = F.col("raw_p") >= 0.5
     reason = F.when(delayed, F.element_at(F.array(*[F.lit(r) for r in X.C.REASON_LABELS]), F.col("reason_index") + 1))
     return j.select("shipment_id", X.headline(delayed).alias("headline"),
                     X.reason_display(reason).alias("reason_text"),
-                    X.on_time_rate_display("on_time_rate").alias("on_time_text"))
+                    X.on_time_rate_display("vendor_on_time_rate").alias("on_time_text"))
 
 
 @register("boolean_to_int", ["requests"], """

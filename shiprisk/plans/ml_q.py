@@ -29,9 +29,10 @@ _FITTED: dict = {}
 
 def fitted(spark, sf, params: MP.TrainParams | None = None):
     """(model, metrics) fitted on the training table of ``sf`` (quick settings unless given)."""
-    key = (id(spark), sf)
+    params = params or MP.TrainParams.quick()
+    key = (id(spark), sf, repr(params))
     if key not in _FITTED:
-        _FITTED[key] = MP.fit_delay_model(training_table(spark, sf), params or MP.TrainParams.quick())
+        _FITTED[key] = MP.fit_delay_model(training_table(spark, sf), params)
     return _FITTED[key]
 
 

@@ -241,11 +241,11 @@ def q_shadow_compare(spark, sf):
 
 @register("p95_alert", ["events_ts"], """
 WITH m AS (SELECT epoch_us(ts) // 60000000 AS minute, quantile_cont(value, 0.95) AS p95 FROM events_ts GROUP BY 1),
-b AS (SELECT minute, p95 FROM m WHERE p95 > 200)
+b AS (SELECT minute, p95 FROM m WHERE p95 > 100)
 SELECT make_timestamp(b.minute * 60000000) AS minute_start, round(b.p95, 6) AS p95 FROM b
 WHERE EXISTS (SELECT 1 FROM b b1 WHERE b1.minute = b.minute - 1)""")
 def q_p95_alert(spark, sf):
     """Minutes whose p95 latency has been over the threshold for the last
-    ``minutes`` minutes (thresholds scaled to the test events: 200, 2 minutes)."""
-    a = MO.p95_alerts(_events(spark, sf), "ts", "value", threshold=200.0, minutes=2)
+    ``minutes`` minutes (thresholds scaled to the test events: 100, 2 minutes)."""
+    a = MO.p95_alerts(_events(spark, sf), "ts", "value", threshold=100.0, minutes=2)
     return a.withColumn("p95", F.round("p95", 6))

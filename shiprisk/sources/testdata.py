@@ -49,14 +49,12 @@ def staged(spark: SparkSession, sf_dir: str, name: str, build, spread: bool = Fa
         tag = hashlib.md5(sf_dir.encode()).hexdigest()[:10]
         path = f"{base}/shiprisk-staged/{spark.sparkContext.applicationId}/{tag}/{name}"
         df = build()
-        # Parallelism floor (fact tables, ``spread``): inputs that are a single row group give a plan of
-        # one or two tasks, and every later read of the staged table would be
-        # just as narrow. Only then spread the rows over the default
-        # parallelism; a plan that is already wider (any real scale) is
-        # written as it is, with no extra shuffle.
-        floor = spark.sparkContext.defaultParallelism
-        if spread and df.rdd.getNumPartitions() < floor:
-            df = df.repartition(floor)
+        # Fact tables (``spread``) are dealt out once by their unique key, so
+        # that the files, and every later read, are even whatever the plan
+        # above was. Asking the plan for its width would run its joins.
+        if spread:
+            width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+            df = df.repartition(width, "shipment_id")
         df.write.mode("overwrite").parquet(path)
         _STAGED[key] = path
     return spark.read.parquet(_STAGED[key])

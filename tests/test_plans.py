@@ -44,3 +44,27 @@ def test_batch_paths_have_no_python_evaluation(spark, sf):
                  "stationary_alert", "country_risk_report", "lane_waypoints"):
         plan = _plan(spark, sf, name)
         assert "EvalPython" not in plan and "FlatMapGroupsInPandas" not in plan, name
+
+
+def test_hot_vendor_is_split(spark):
+    """With broadcasts off, AQE splits the partition of a vendor that holds most rows."""
+    from pyspark.sql import functions as F
+
+    from shiprisk.operators import enrich
+    fact = spark.range(300_000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("v"), F.col("id") % 1000)).alias("vendor_name"),
+                                       F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+    vendors = spark.range(1000).select(F.concat(F.lit("v"), "id").alias("vendor_name"), F.lit(0.5).alias("on_time_rate"),
+                                       F.lit(1.0).alias("avg_delay_days"), F.lit(3).alias("total_shipments"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        j = enrich.join_vendor(fact, vendors)
+        j.collect()
+        assert "skew=true" in j._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -108,10 +108,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, end, band, level) of what the battery judges; level: -10 log10 of the combined p-value."""
     out = []
+    k = reach = 0  # base spans that begin at or before the run, and how far they go
     for m in CANDIDATE.finditer(text):
         run = m.group()
         s, e = m.span()
-        if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run) or any(a <= s and e <= b for a, _, b in base):
+        while k < len(base) and base[k][0] <= s:
+            reach = max(reach, base[k][2])
+            k += 1
+        if e <= reach or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
             continue
         tested = battery(run)
         if tested:

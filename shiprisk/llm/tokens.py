@@ -87,6 +87,9 @@ class WordMemo:
     def encode(self, text: str) -> bytes:
         if not self.splittable or any(s in text for s in self.special):
             return self.whole(text)
+        if len(self.odd) > MAX_WORDS // 10:  # forgotten together, between texts
+            self.words.clear()
+            self.odd.clear()
         words = text.split(" ")
         ids = self._first(words[0]) + b"".join(map(self.words.__getitem__, words[1:]))
         if not self.odd.isdisjoint(words) and _NOT_SPLITTABLE.search(text):

@@ -34,7 +34,7 @@ RAW_DEFAULT_COUNTRY = "US"          # used when the country column is absent
 NULL_TEXT = "nan"                   # text of a missing value after str()
 WEIGHT_PER_PRICE = 0.5
 WEIGHT_MIN, WEIGHT_MAX = 1.0, 50000.0
-VOLUME_PER_WEIGHT = 1.0 / 500.0
+WEIGHT_PER_VOLUME = 500.0
 TRAINING_DISTANCE_KM = 500.0
 TRAINING_NUM_STOPS = 1
 RAW_DATE_FORMAT = "M/d/yyyy H:mm"   # our assumption for the order-date text
@@ -112,7 +112,6 @@ LIMITS = {
 }
 
 # Sanitizer: keep only these characters (then trim whitespace).
-SANITIZE_KEEP_CLASS = "A-Za-z0-9\\s_\\-"
 
 # Prompt languages; anything else falls back to English.
 PROMPT_LANGUAGES = ["English", "Hindi", "Marathi", "Gujarati", "Tamil",

@@ -61,7 +61,7 @@ def cargo_weight_from_price(price) -> Column:
 
 
 def cargo_volume_from_weight(weight) -> Column:
-    return _c(weight) / 500.0
+    return _c(weight) / C.WEIGHT_PER_VOLUME
 
 
 # P6 --------------------------------------------------------------------

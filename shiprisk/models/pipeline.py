@@ -13,7 +13,7 @@ and scoring is a per-row transform with the fitted models broadcast.
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier, GBTClassificationModel, RandomForestClassifier, \
@@ -137,15 +137,6 @@ def ordinal_encode(df: DataFrame) -> DataFrame:
 
 
 # M4 ---------------------------------------------------------------------
-def scaler_row(stats: DataFrame) -> DataFrame:
-    """The A4 table (one row per feature) pivoted to one row: <f>__mean, <f>__std."""
-    aggs = []
-    for f in NUMERIC_FEATURES:
-        aggs += [F.max(F.when(F.col("feature") == f, F.col("mean"))).alias(f"{f}__mean"),
-                 F.max(F.when(F.col("feature") == f, F.col("std"))).alias(f"{f}__std")]
-    return stats.agg(*aggs)
-
-
 def standardize(df: DataFrame, stats: DataFrame, features: list[str] = NUMERIC_FEATURES) -> DataFrame:
     """M4: (x - mean) / std with population statistics.
 
@@ -317,7 +308,3 @@ def score_shipments(features: DataFrame, model: DelayModel) -> DataFrame:
     """Full scoring: features -> raw outputs -> result record."""
     raw = model.raw_scores(features)
     return score_assemble(raw.select("shipment_id", "raw_p", "raw_days", "reason_index", "vendor_on_time_rate"))
-
-
-def params_dict(p: TrainParams) -> dict:
-    return asdict(p)

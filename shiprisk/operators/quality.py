@@ -133,8 +133,3 @@ def point_lookup(dim: DataFrame, where: dict, first_only: bool = True) -> DataFr
         cond = cond & (F.col(k) == F.lit(v))
     out = dim.where(cond)
     return out.limit(1) if first_only else out
-
-
-def exists(df: DataFrame) -> bool:
-    """Existence probe (LIMIT 1): reads at most one row."""
-    return not df.isEmpty()

@@ -98,13 +98,21 @@ def q_standardize(spark, sf):
     return out.select("shipment_id", *[F.round(f"{f}_scaled", 6).alias(f"{f}_scaled") for f in NUMERIC_FEATURES])
 
 
-@register("assemble_features")
+_M5_CODES = """
+COALESCE(CASE t.carrier_type WHEN 'FTL' THEN 0 WHEN 'LTL' THEN 1 WHEN 'Intermodal' THEN 2 WHEN 'Ocean' THEN 3 WHEN 'Air' THEN 4 END, -1),
+COALESCE(CASE t.priority_level WHEN 'LOW' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'CRITICAL' THEN 3 END, -1)"""
+_M5_SCALED = ", ".join(f"round((CAST(t.{f} AS DOUBLE) - s_{i}.mean) / s_{i}.std, 6)" for i, f in enumerate(NUMERIC_FEATURES))
+
+
+@register("assemble_features", _TRAIN_FIX, f"""
+WITH train AS ({_TRAIN_SQL}), stats AS ({_SCALER_SQL})
+SELECT t.shipment_id, CAST([{_M5_SCALED}, {_M5_CODES}] AS DOUBLE[]) AS features FROM train t {_STD_JOINS}""")
 def q_assemble_features(spark, sf):
-    """M5: 25 scaled + 2 encoded features -> one vector (shown as an array)."""
+    """M5: 25 scaled + 2 encoded features -> one vector (shown as an array, in the output rounding of M4)."""
     from ..operators import aggregates as A
     t = training_table(spark, sf)
     x = MP.prepare(t, A.fit_scaler(t, NUMERIC_FEATURES))
-    return x.select("shipment_id", vector_to_array("features").alias("features"))
+    return x.select("shipment_id", F.transform(vector_to_array("features"), lambda v: F.round(v, 6)).alias("features"))
 
 
 _P2 = "CAST((l_partkey * 53) % 1000 AS DOUBLE) / 999.0"

@@ -17,6 +17,7 @@ from ..sources import files as FS
 from ..sources import sinks as SK
 from ..sources import testdata as td
 from .catalog import register
+from .ml_q import _ASSEMBLE_SQL
 
 
 @register("scan_shipments_csv", ["raw_orders"], """
@@ -142,11 +143,14 @@ def _assembled(spark, sf):
     return score_assemble(E.join_vendor(g, td.vendor_stats(spark, sf)))
 
 
-@register("prediction_log_sink")
+@register("prediction_log_sink", ["given_scores", "vendor_stats"], f"""
+SELECT shipment_id, delay_predicted, adjusted_delay_probability AS delay_probability, estimated_delay_days, delay_reason, vendor_tier,
+       TIMESTAMP '2024-05-17 10:30:00' AS prediction_timestamp, '2024-05' AS month
+FROM ({_ASSEMBLE_SQL})""")
 def q_prediction_log_sink(spark, sf):
-    """Append scored rows to a month-partitioned log; read back (server time stamps)."""
+    """Append scored rows to a month-partitioned log with a given time stamp; read back."""
     path = FS.scratch_path(spark, "prediction-log")
-    SK.append_prediction_log(_assembled(spark, sf), path)
+    SK.append_prediction_log(_assembled(spark, sf), path, F.lit("2024-05-17 10:30:00").cast("timestamp"))
     return spark.read.parquet(path).select(*SK.PREDICTION_LOG_COLUMNS, "month")
 
 

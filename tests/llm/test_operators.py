@@ -62,6 +62,29 @@ def test_tokens_equal_the_library(texts):
         assert own.decode(whole) == t
 
 
+def test_full_word_memos_change_no_ids(monkeypatch):
+    monkeypatch.setattr(tokens, "MAX_WORDS", 20)
+    rng = random.Random(9)
+    encoder = tokens.WordEncoder(tokens.default_vocabulary())
+    for _ in range(2000):
+        t = "".join(rng.choice(["a", "the", "'s", "\n", " ", "  ", "\t", "\x1c", "\u00a0", "é", "日", "1", "!", "\r\n"]) for _ in range(12))
+        assert encoder.encode(t) == encoder.whole(t)
+        assert len(encoder.odd) <= 20
+
+
+def test_tested_runs_are_those_outside_base_spans():
+    rng = random.Random(2)
+    key, run, line = "AKIA" + "7Q" * 10, "0123456789abcdef" * 2, "Zk3" * 9
+    for _ in range(200):
+        text = rng.choice(["", " "]).join(rng.choice([key, run, line, "token=", "x ", "=", "é"]) for _ in range(rng.randint(0, 12)))
+        base = secret_scan.base_spans(text)
+        got = {c[:2] for c in secret_scan.candidates(text, base)}
+        for m in secret_scan.CANDIDATE.finditer(text):
+            inside = any(a <= m.start() and m.end() <= b for a, _, b in base)
+            mixed = re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group())
+            assert (m.span() in got) == bool(not inside and mixed and secret_scan.battery(m.group()))
+
+
 def test_bpe_round_trip(spark, texts):
     got = bpe.decode(bpe.encode(documents(spark, texts))).orderBy("doc_id").collect()
     assert [r.text for r in got] == [t or "" for t in texts]

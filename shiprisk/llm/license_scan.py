@@ -18,6 +18,11 @@ template that overlap are one (the best, then the first); matches of different
 templates are reported side by side. Texts of any length are scanned whole.
 Rows are independent, so repeated rows, ties of ids and empty tables need no
 rule. Other columns are not read.
+
+The fixed notices are much alike, so matches of different one-line notices
+(``LINES``) that overlap are one, and so are those of longer texts: the best
+coverage, then the most words, then the first and the order of the templates.
+A notice listed in ``NAMES`` only matches with the words that name its license.
 """
 
 from __future__ import annotations
@@ -61,7 +66,49 @@ TEMPLATES = {
         copies or substantial portions of the Software.""",
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
         distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/""",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3",
+    "MIT-line": "Licensed under the MIT License",
+    "BSD-3-Clause-line": "Licensed under the BSD 3-Clause License",
+    "BSD-2-Clause-line": "Licensed under the BSD 2-Clause License",
+    "ISC-line": "Licensed under the ISC License",
+    "MPL-2.0-line": "Licensed under the Mozilla Public License, Version 2.0",
+    "EPL-2.0-line": "Licensed under the Eclipse Public License, Version 2.0",
+    "GPL-2.0-header": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public
+        License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This
+        program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+        MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "BSD-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+        disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+        disclaimer in the documentation and/or other materials provided with the distribution.""",
+    "ISC-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+        provided that the above copyright notice and this permission notice appear in all copies.""",
+    "Unlicense": "This is free and unencumbered software released into the public domain",
+    "CC0-1.0": "This work is dedicated to the public domain under CC0 1.0",
+    "CC0-1.0-line": "Licensed under CC0 1.0",
+    "CC0-1.0-text": """To the extent possible under law, the author has waived all copyright and related or neighboring rights to this
+        work""",
 }
+#: Words that a match must hold, of notices that otherwise fit other licenses' lines.
+NAMES = {"GPL-2.0": "2", "LGPL-3.0": "lesser 3", "LGPL-2.1": "lesser 2.1", "AGPL-3.0": "affero", "MIT-line": "mit",
+         "BSD-3-Clause-line": "bsd 3-clause", "BSD-2-Clause-line": "bsd 2-clause", "ISC-line": "isc", "MPL-2.0-line": "mozilla",
+         "EPL-2.0-line": "eclipse", "GPL-2.0-header": "2", "CC0-1.0": "cc0", "CC0-1.0-line": "cc0"}
+
+for _short, _long in [("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"),
+                      ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"),
+                      ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")]:
+    for _version, _port in [("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"), ("2.0", "Generic")]:
+        _name = f"CC-{_short}-{_version}"
+        _forms = {_name: f"This work is licensed under a Creative Commons {_long} {_version} {_port} License",
+                  f"{_name}-line": f"Licensed under CC {_short} {_version}", f"{_name}-id": f"Licensed under {_name}"}
+        NAMES |= {n: w.lower() for n, w in zip(_forms, (_long, _short, _name)) if n not in TEMPLATES}
+        TEMPLATES |= _forms
+
+#: Notices of one line.
+LINES = {n for n, t in TEMPLATES.items() if len(WORD.findall(t)) <= 20} - {"CC0-1.0-text"}
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -114,8 +161,9 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
 
 
 class Template:
-    def __init__(self, name: str, text: str, coverage: float):
+    def __init__(self, name: str, text: str, coverage: float, must: str = ""):
         self.name, self.words = name, [w.lower() for w in WORD.findall(text)]
+        self.must = set(must.split())
         self.count = Counter(self.words)
         self.need = max(1, -(-int(len(self.words) * coverage * 1000) // 1000))
         #: Longest words first until those without them are too few.
@@ -141,32 +189,46 @@ class Template:
             if sum(min(n, self.count[w]) for w, n in here.items()) < self.need:
                 continue
             pairs = align(window, self.words)
-            if len(pairs) >= self.need:
+            if len(pairs) >= self.need and self.must <= {self.words[j] for _, j in pairs}:
                 yield len(pairs), lo + pairs[0][0], lo + pairs[-1][0] + 1
 
 
 class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float):
-        self.templates = [Template(n, t, coverage) for n, t in templates.items()]
+        self.templates = [Template(n, t, coverage, NAMES.get(n, "") if TEMPLATES.get(n) == t else "") for n, t in templates.items()]
+        self.fixed = {n: i for i, (n, t) in enumerate(templates.items()) if TEMPLATES.get(n) == t}
 
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
         """(start, end, template, coverage) in code points, by start, end and name."""
         low = text.lower()
-        able = [t for t in self.templates if any(k in low for k in t.keys)]
+        able = [t for t in self.templates if all(k in low for k in t.must) and any(k in low for k in t.keys)]
         if not able:
             return []
         spans = [m.span() for m in WORD.finditer(text)]
         words = [text[s:e].lower() for s, e in spans]
-        out = []
+        count = Counter(words)
+        out: list[tuple[int, int, str, float]] = []
+        alike: dict[bool, list[tuple]] = {True: [], False: []}  # of one-line notices, of texts
         for t in able:
-            known = np.fromiter((w in t.count for w in words), bool, len(words))
-            if known.sum() < t.need:
+            if sum(min(n, count[w]) for w, n in t.count.items()) < t.need:
                 continue
+            known = np.fromiter((w in t.count for w in words), bool, len(words))
             taken: list[tuple[int, int]] = []
             for n, a, b in sorted(t.matches(words, known), key=lambda m: (-m[0], m[1], m[2])):
                 if all(b <= x or a >= y for x, y in taken):
                     taken.append((a, b))
-                    out.append((spans[a][0], spans[b - 1][1], t.name, n / len(t.words)))
+                    found = (spans[a][0], spans[b - 1][1], t.name, n / len(t.words))
+                    if t.name in self.fixed:
+                        alike[t.name in LINES].append((-found[3], -n, a, self.fixed[t.name], found))
+                    else:
+                        out.append(found)
+        for group in alike.values():
+            kept: list[tuple[int, int, str, float]] = []  # by start
+            for *_, found in sorted(group):
+                k = bisect_left(kept, found[:1])
+                if (k == 0 or kept[k - 1][1] <= found[0]) and (k == len(kept) or kept[k][0] >= found[1]):
+                    kept.insert(k, found)
+            out += kept
         return sorted(out)
 
 

@@ -173,6 +173,31 @@ def test_licenses(spark):
     assert license_scan.align(list("xabcy"), list("abc")) == [(1, 0), (2, 1), (3, 2)]
 
 
+def test_every_license_line_gets_a_span(spark):
+    line = re.compile(r"(?:licensed|released|dedicated|licence) (?:under|to) [^\n]*", re.IGNORECASE)
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where(F.col("text").rlike("(?i)licen[sc]ed? |released under"))
+    text = {r.doc_id: r.text for r in d.collect()}
+    found = {r.doc_id: r.licenses for r in license_scan.find_licenses(d).collect()}
+    n = 0
+    for i, t in text.items():
+        for m in line.finditer(t):
+            n += 1
+            assert [x for x in found[i] if x.start < m.end() and m.start() < x.end], m.group()
+    assert n >= 262
+    assert {x.name for x in found[39]} == {"CC-BY-NC-4.0-line"}
+
+
+def test_similar_notices_are_told_apart():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, license_scan.COVERAGE)
+    for name in license_scan.LINES:
+        t = license_scan.TEMPLATES[name]
+        assert scanner.scan(f"Before it. {t}. After it") == [(11, 11 + len(t), name, 1.0)]
+    assert scanner.scan("Licensed under the Example License") == []
+    for name in ("GPL-2.0-header", "GPL-3.0-header", "Apache-2.0-header"):
+        names = [x[2] for x in scanner.scan(license_scan.TEMPLATES[name])]
+        assert names == (["Apache-2.0", name] if name == "Apache-2.0-header" else [name])
+
+
 def test_secrets(spark):
     rng = random.Random(3)
     key = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=48))

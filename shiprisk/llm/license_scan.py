@@ -8,13 +8,16 @@ coverage is the share of its words that are matched.
 
 A license may stand anywhere in a long text, and several times, so alignment
 runs in windows of twice the template's length that start every half
-template; a window is only aligned if it could reach the wanted coverage, that
-is, if enough of the template's words occur in it. Texts that lack all of a
+template, and in windows of its length that start where a copy would whose
+key word stands at some place of the text: a copy that another one follows at
+once is so found wherever it begins. A window is only aligned if it could
+reach the wanted coverage, that is, if enough of the template's words occur in it. Texts that lack all of a
 template's key words, without which the coverage cannot be reached, are not
 cut into words at all. Neither check can lose a match.
 
-Nulls and edge cases: a null or empty text holds no license. Matches of one
-template that overlap are one (the best, then the first); matches of different
+Nulls and edge cases: a null or empty text holds no license. Of matches of
+one template that overlap, those are kept that do not and match the most words
+together (then the fewest, the shortest, the first); matches of different
 templates are reported side by side. Texts of any length are scanned whole.
 Rows are independent, so repeated rows, ties of ids and empty tables need no
 rule. Other columns are not read.
@@ -28,9 +31,10 @@ A notice listed in ``NAMES`` only matches with the words that name its license.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -160,6 +164,27 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def apart(matches: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Those (matched words, first, last + 1) that do not overlap and match the most words together."""
+    order = sorted(matches, key=lambda m: (m[2], m[1], -m[0]))
+    ends = [m[2] for m in order]
+    totals, before = [(0, 0, 0)], []
+    for i, (n, a, b) in enumerate(order):
+        k = bisect_right(ends, a, 0, i)
+        words, count, length = totals[k]
+        total = (words + n, count - 1, length - (b - a))
+        before.append(k if total > totals[-1] else -1)
+        totals.append(max(total, totals[-1]))
+    out, i = [], len(order)
+    while i:
+        if before[i - 1] < 0:
+            i -= 1
+        else:
+            out.append(order[i - 1])
+            i = before[i - 1]
+    return out[::-1]
+
+
 class Template:
     def __init__(self, name: str, text: str, coverage: float, must: str = ""):
         self.name, self.words = name, [w.lower() for w in WORD.findall(text)]
@@ -174,14 +199,19 @@ class Template:
                 break
             self.keys.append(w)
             left -= self.count[w]
+        #: Every match holds a key word, and every word that it must hold.
+        sure = [min(self.must, key=self.count.__getitem__)] if self.must else self.keys
+        self.places = {w: [j for j, x in enumerate(self.words) if x == w] for w in sure}
 
     def matches(self, words: list[str], known: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(matched words, first word, last word + 1) in windows that can reach the coverage."""
         size = len(self.words)
         seen = np.concatenate(([0], np.cumsum(known)))
         step = max(1, size // 2)
-        for lo in range(0, max(1, len(words) - size // 2), step):
-            hi = min(len(words), lo + 2 * size)
+        starts = {p - j for p, w in enumerate(words) if w in self.places for j in self.places[w]}
+        windows = chain(((lo, lo + 2 * size) for lo in range(0, max(1, len(words) - size // 2), step)), ((lo, lo + size) for lo in sorted(starts)))
+        for lo, hi in windows:
+            lo, hi = max(0, lo), min(len(words), hi)
             if seen[hi] - seen[lo] < self.need:
                 continue
             window = words[lo:hi]
@@ -213,15 +243,12 @@ class Scanner:
             if sum(min(n, count[w]) for w, n in t.count.items()) < t.need:
                 continue
             known = np.fromiter((w in t.count for w in words), bool, len(words))
-            taken: list[tuple[int, int]] = []
-            for n, a, b in sorted(t.matches(words, known), key=lambda m: (-m[0], m[1], m[2])):
-                if all(b <= x or a >= y for x, y in taken):
-                    taken.append((a, b))
-                    found = (spans[a][0], spans[b - 1][1], t.name, n / len(t.words))
-                    if t.name in self.fixed:
-                        alike[t.name in LINES].append((-found[3], -n, a, self.fixed[t.name], found))
-                    else:
-                        out.append(found)
+            for n, a, b in apart(set(t.matches(words, known))):
+                found = (spans[a][0], spans[b - 1][1], t.name, n / len(t.words))
+                if t.name in self.fixed:
+                    alike[t.name in LINES].append((-found[3], -n, a, self.fixed[t.name], found))
+                else:
+                    out.append(found)
         for group in alike.values():
             kept: list[tuple[int, int, str, float]] = []  # by start
             for *_, found in sorted(group):

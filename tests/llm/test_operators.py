@@ -198,6 +198,23 @@ def test_similar_notices_are_told_apart():
         assert names == (["Apache-2.0", name] if name == "Apache-2.0-header" else [name])
 
 
+def test_repeated_notices_are_all_found():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, license_scan.COVERAGE)
+    for name in ("GPL-3.0", "Apache-2.0", "MIT", "CC-BY-NC-4.0-line", "CC-BY-4.0-id", "CC-BY-SA-4.0", "ISC-text"):
+        t = license_scan.TEMPLATES[name].rstrip(".")
+        for before in range(8):
+            text = "other " * before + f"{t}.\n" * 100
+            at = [6 * before + i * (len(t) + 2) for i in range(100)]
+            assert scanner.scan(text) == [(a, a + len(t), name, 1.0) for a in at]
+    header = license_scan.TEMPLATES["Apache-2.0-header"]
+    assert [x[2] for x in scanner.scan(f"one {header} " * 20)].count("Apache-2.0-header") == 20
+    both = "Licensed under CC BY-NC 4.0. Licensed under CC BY-NC-SA 4.0."
+    assert [x[2] for x in scanner.scan(both)] == ["CC-BY-NC-4.0-line", "CC-BY-NC-SA-4.0-line"]
+    spoilt = "Released under the great MIT License. Released by the MIT License. " * 30  # one word more, one changed
+    assert [round(x[3], 1) for x in scanner.scan(spoilt)] == [1.0, 0.8] * 30
+    assert license_scan.apart({(12, 0, 20), (11, 0, 12), (11, 12, 24)}) == [(11, 0, 12), (11, 12, 24)]
+
+
 def test_secrets(spark):
     rng = random.Random(3)
     key = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=48))

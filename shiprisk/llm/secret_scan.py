@@ -3,11 +3,15 @@
 Base spans: assignments to password-like names, access keys and long hex
 strings, each leftmost and non-overlapping among its kind. The method adds
 spans: a candidate is a run of 20 or more characters of the base64 alphabets
-that mixes letters and digits. Its encoding is inferred as the smallest of a
-few alphabets that holds all its characters, and three tests ask whether it
-could be drawn evenly from it: chi-squared uniformity of the symbols, the
-number of runs above and below the alphabet's middle, and lag-1 serial
-correlation. Fisher's method makes one p-value of them.
+that holds a letter. Its encoding is inferred as the smallest of a few
+alphabets that holds all its characters, and three tests ask whether it could
+be drawn evenly from it: chi-squared uniformity of the symbols, the number of
+runs above and below the alphabet's middle, and lag-1 serial correlation; for
+a run without digits, a fourth asks how likely that is. Fisher's method makes
+one p-value of them. A run that fits no alphabet is cut at each = inside it
+(NAME=value), and parts that still fit none are cut at the characters outside
+either alphabet of 64 symbols; every part of 20 or more characters is then a
+candidate, and of random spans inside each other the outer one is reported.
 
 Rejections of randomness are controlled by Benjamini-Hochberg within bands
 of length, over the candidates of all documents: at most the rate ``fdr`` of
@@ -42,6 +46,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # runs of 20 or more characters
 HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_VALUE = 6
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+VALUE = re.compile(r"[^=]+(?:=+\Z)?")  # what stands between signs, with the padding at a run's end
+PIECES = [re.compile(r"[A-Za-z0-9+/=]{20,}"), re.compile(r"[A-Za-z0-9_=-]{20,}")]
+FITS = [re.compile(r"[A-Za-z0-9+/]+"), re.compile(r"[A-Za-z0-9_-]+")]
+MIN_RUN = 20
 ALPHABETS = ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz",
              "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
              "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"]
@@ -59,7 +67,7 @@ def _tail(z: float) -> float:
 
 
 def battery(text: str) -> tuple[int, list[float]] | None:
-    """Alphabet's number and the p-values of the three tests; None if no encoding is inferred."""
+    """Alphabet's number and the p-values of the tests; None if no encoding is inferred."""
     body = text.rstrip("=")
     for k, place in enumerate(_PLACES):
         if all(c in place for c in body):
@@ -88,7 +96,10 @@ def battery(text: str) -> tuple[int, list[float]] | None:
     power = float((d * d).sum())
     r = float((d[1:] * d[:-1]).sum()) / power if power else 1.0
     p_serial = 2 * _tail(abs(r + 1 / n) * math.sqrt(n))
-    return k, [p_uniform, p_runs, p_serial]
+    p = [p_uniform, p_runs, p_serial]
+    if not any(c.isdigit() for c in body):
+        p.append((1 - sum(c.isdigit() for c in place) / size) ** n)
+    return k, p
 
 
 def combined(p: list[float]) -> float:
@@ -105,22 +116,37 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def parts(run: str) -> list[tuple[int, int]]:
+    """Places in a run that fits no alphabet of what may fit one, by start."""
+    found = set()
+    for m in VALUE.finditer(run):
+        if m.end() - m.start() < MIN_RUN:
+            continue
+        if any(x.fullmatch(m.group().rstrip("=")) for x in FITS):
+            found.add(m.span())
+        else:
+            found |= {(m.start() + x.start(), m.start() + x.end()) for p in PIECES for x in p.finditer(m.group())}
+    return sorted(found)
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, end, band, level) of what the battery judges; level: -10 log10 of the combined p-value."""
     out = []
     k = reach = 0  # base spans that begin at or before the run, and how far they go
     for m in CANDIDATE.finditer(text):
-        run = m.group()
-        s, e = m.span()
-        while k < len(base) and base[k][0] <= s:
-            reach = max(reach, base[k][2])
-            k += 1
-        if e <= reach or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
-            continue
-        tested = battery(run)
-        if tested:
-            p = combined(tested[1])
-            out.append((s, e, sum(e - s >= b for b in BANDS), min(STEPS, int(-10 * math.log10(max(p, 1e-300))))))
+        at = m.start()
+        whole = any(x.fullmatch(m.group().rstrip("=")) for x in FITS)
+        for a, b in [(0, len(m.group()))] if whole else parts(m.group()):
+            s, e, run = at + a, at + b, m.group()[a:b]
+            while k < len(base) and base[k][0] <= s:
+                reach = max(reach, base[k][2])
+                k += 1
+            if e <= reach or not any(c.isalpha() for c in run):
+                continue
+            tested = battery(run)
+            if tested:
+                p = combined(tested[1])
+                out.append((s, e, sum(e - s >= x for x in BANDS), min(STEPS, int(-10 * math.log10(max(p, 1e-300))))))
     return out
 
 
@@ -169,7 +195,10 @@ def find_secrets(docs: DataFrame, fdr: float = FDR, id_col: str = "doc_id", text
     levels = F.array(*map(F.lit, rejection_levels(scanned, fdr)))
     random = F.transform(F.filter("tested", lambda t: t["level"] < F.element_at(levels, t["band"] + 1)),
                          lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
-    return scanned.select("doc_id", "base", F.array_sort(F.concat("base", random)).alias("spans"))
+    inside = lambda t, o: (o["start"] <= t["start"]) & (o["end"] >= t["end"]) & (o["end"] - o["start"] > t["end"] - t["start"])
+    scanned = scanned.withColumn("random", random)
+    outer = F.filter("random", lambda t: ~F.exists("random", lambda o: inside(t, o)))
+    return scanned.select("doc_id", "base", F.array_sort(F.concat("base", outer)).alias("spans"))
 
 
 def _text(spans: str):

@@ -231,6 +231,25 @@ def test_secrets(spark):
     assert secret_scan.redact(documents(spark, [])).columns == documents(spark, []).columns
 
 
+def test_parts_of_runs_are_tested(spark):
+    rng = random.Random(5)
+    draw = lambda symbols, n: "".join(rng.choices(symbols, k=n))
+    key, text = draw(secret_scan.ALPHABETS[5], 40), "w" * 30
+    letters = draw("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 20)
+    aws = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    lines = {f"aws_secret_access_key={aws}": [aws], f"CLIENT_KEY={key}==": [f"{key}=="], f"see /srv/my-app_1/{key}-/x": None,
+             f"key {letters} here": [letters], "internationalisation and Kraftfahrzeughaftpflichtversicherung": [], "home/user/documents/projects": [],
+             "the_long_name_of_an_option=the_long_name_of_its_value": [], f"{text}={text}": []}
+    texts = list(lines) + [f"{text} {i}" for i in range(30)]
+    got = {r.doc_id: r for r in secret_scan.find_secrets(documents(spark, texts)).collect()}
+    for i, (t, want) in enumerate(lines.items()):
+        spans = [t[x.start:x.end] for x in got[i].spans]
+        assert all(s.kind == 3 for s in got[i].spans)
+        assert spans == want if want is not None else any(key in x for x in spans), (t, spans)
+    kept = {r.doc_id: r.text for r in secret_scan.redact(documents(spark, texts)).collect()}
+    assert kept[0] == "aws_secret_access_key=[SECRET]" and kept[1] == "CLIENT_KEY=[SECRET]" and key not in kept[2] and letters not in kept[3]
+
+
 def test_randomness_battery():
     rng = random.Random(4)
     p = [secret_scan.combined(secret_scan.battery("".join(rng.choices("0123456789abcdef", k=40)))[1]) for _ in range(300)]

@@ -57,7 +57,7 @@ class TrainParams:
 
     @classmethod
     def quick(cls) -> "TrainParams":
-        """Small forests and few boosting rounds (tests and the local query registry)."""
+        """Small forests and few boosting rounds (for tests)."""
         return cls(rf_trees=10, rf_depth=5, gbt_a_iter=5, gbt_a_depth=4, gbt_b_iter=5, gbt_b_depth=3,
                    reg_iter=5, reg_depth=4, kmeans_restarts=2, reason_trees=10, reason_depth=5)
 

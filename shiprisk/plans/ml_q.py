@@ -28,8 +28,8 @@ _FITTED: dict = {}
 
 
 def fitted(spark, sf, params: MP.TrainParams | None = None):
-    """(model, metrics) fitted on the training table of ``sf`` (quick settings unless given)."""
-    params = params or MP.TrainParams.quick()
+    """(model, metrics) fitted on the training table of ``sf`` (the reference's settings unless given)."""
+    params = params or MP.TrainParams()
     key = (id(spark), sf, repr(params))
     if key not in _FITTED:
         _FITTED[key] = MP.fit_delay_model(training_table(spark, sf), params)

@@ -87,6 +87,16 @@ def test_reference_default_params_are_wired():
     assert (p.kmeans_k, p.kmeans_restarts, p.test_percent) == (4, 10, 20)
 
 
+def test_registered_queries_fit_the_full_settings(spark, sf, monkeypatch):
+    from shiprisk.models import pipeline as MP
+    from shiprisk.plans import ml_q
+    seen = []
+    monkeypatch.setattr(ml_q, "_FITTED", {})
+    monkeypatch.setattr(MP, "fit_delay_model", lambda table, params: (seen.append(params), None))
+    ml_q.fitted(spark, sf)
+    assert seen == [MP.TrainParams()]
+
+
 def test_model_fit_score_save_load(spark, sf):
     from shiprisk.models import pipeline as MP
     from shiprisk.plans.enrichment import _dims

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, ship, slices, stage
+from .tokens import release
 
 KINDS = ["assign", "access", "hex", "random"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -59,6 +60,8 @@ FDR = 0.01
 #: p-values are kept as whole steps of -10 log10(p), at most so many.
 STEPS = 2000
 REDACTED = "[SECRET]"
+#: Texts that are Python objects at once.
+ROWS = 256
 
 
 def _tail(z: float) -> float:
@@ -213,35 +216,42 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(_text("base"), 256).alias("base_sha256"), _text("spans").alias("spans"))
 
 
+def _replaced(text: str, levels: list[int]) -> str | None:
+    """``text`` with its secrets replaced; None if it has none."""
+    base = base_spans(text)
+    spans = sorted([(s, e) for s, _, e in base] + [(s, e) for s, e, band, level in candidates(text, base) if level < levels[band]])
+    if not spans:
+        return None
+    out, end = [], 0
+    for s, e in spans:
+        if s >= end:
+            out += [text[end:s], REDACTED]
+        end = max(end, e)
+    return "".join([*out, text[end:]])
+
+
 def redact(docs: DataFrame, fdr: float = FDR, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """``docs`` with each secret replaced; rows without one stay as they are.
 
     Rows are judged by the thresholds of ``docs`` itself. Overlapping spans
     are one. ``length_col``, where present, becomes the new text's length.
+    Only texts leave the JVM, and only changed ones come back.
     """
-    levels = rejection_levels(stage(scan(docs.withColumn("doc_id", F.lit(0)), "doc_id", text_col), "scanned"), fdr)
-    at, size = docs.columns.index(text_col), docs.columns.index(length_col) if length_col in docs.columns else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            texts, columns = [], list(batch.columns)
-            lengths = columns[size].to_pylist() if size is not None else None
-            for i, text in enumerate(columns[at].to_pylist()):
-                base = base_spans(text or "")
-                spans = sorted([(s, e) for s, _, e in base] + [(s, e) for s, e, band, level in candidates(text or "", base) if level < levels[band]])
-                if spans:
-                    out, end = [], 0
-                    for s, e in spans:
-                        if s >= end:
-                            out += [text[end:s], REDACTED]
-                        end = max(end, e)
-                    text = "".join([*out, text[end:]])
-                    if lengths is not None:
-                        lengths[i] = len(text)
-                texts.append(text)
-            columns[at] = pa.array(texts, columns[at].type)
-            if lengths is not None:
-                columns[size] = pa.array(lengths, columns[size].type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-    return docs.mapInArrow(run, docs.schema)
+    levels = rejection_levels(stage(scan(docs.select(F.lit(0).alias("doc_id"), F.col(f"`{text_col}`").alias("text"))), "scanned"), fdr)
+
+    @F.arrow_udf("string")
+    def changed(texts: pa.Array) -> pa.Array:
+        release()
+        out = []
+        for lo in range(0, len(texts), ROWS):
+            out += [_replaced(t or "", levels) for t in texts.slice(lo, ROWS).to_pylist()]
+        return pa.array(out, pa.string())
+
+    new = "_redacted"
+    while new in docs.columns:
+        new += "_"
+    out = docs.withColumn(new, changed(F.col(f"`{text_col}`")))
+    columns = {text_col: F.coalesce(new, f"`{text_col}`")}
+    if length_col in docs.columns:
+        columns[length_col] = F.when(F.col(new).isNotNull(), F.length(new).cast(docs.schema[length_col].dataType)).otherwise(F.col(f"`{length_col}`"))
+    return out.select(*[columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns])

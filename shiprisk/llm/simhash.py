@@ -141,13 +141,36 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of ``docs`` with the smallest id of each component; rows with a null id stay, of rows with equal ids one."""
-    found = near_duplicates(docs, max_bits, shingle, id_col=id_col, text_col=text_col)
-    gone = stage(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
-    kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
-    repeated = stage(docs.groupBy(id_col).count().where(f"count > 1 and `{id_col}` is not null").select(id_col), "repeated")
-    if repeated.isEmpty():
-        return kept
-    return kept.join(repeated, id_col, "left_anti").select(docs.columns) \
-        .union(kept.join(repeated, id_col, "left_semi").select(docs.columns).dropDuplicates([id_col]))
+def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, segments: int = SEGMENTS,
+             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component: that of the smallest (id, fingerprint), null ids last.
+
+    Rows are told apart by id and fingerprint, so rows that share an id but
+    not a text are judged each for itself; of rows equal in both, one stays.
+    """
+    found = stage(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    distinct = stage(found.select("fp").distinct(), "distinct")
+    component = connected_components(links(distinct, max_bits, segments))
+    classes = stage(distinct.join(component, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("component", "fp").alias("component")),
+                    "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp"))
+    best = found.join(classes, F.col("fp") == F.col("f")).groupBy("component").agg(first.alias("b"))
+    best = stage(best.select(F.col("b.doc_id").alias("best_id"), F.col("b.fp").alias("best_fp")), "best")
+    many = stage(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("many_id")), "many")
+    own = F.col(f"`{id_col}`").cast("long")
+    # An id that occurs once decides by itself; rows with other ids are fingerprinted again
+    once = docs.join(many, own == F.col("many_id"), "left_anti").join(best.where("best_id is not null"), own == F.col("best_id"), "left_semi")
+    if found.where("doc_id is null").isEmpty() and many.isEmpty():
+        return once.select(docs.columns)
+    unsure = docs.where(own.isNull()).union(docs.join(many, own == F.col("many_id"), "left_semi").select(docs.columns))
+
+    @F.arrow_udf("long")
+    def again(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(t or b"", shingle) for t in texts.to_pylist()], np.uint64).view(np.int64))
+
+    mark = "_fp"
+    while mark in docs.columns:
+        mark += "_"
+    marked = unsure.withColumn(mark, again(F.col(f"`{text_col}`").cast("binary")))
+    kept = marked.join(best, own.eqNullSafe(F.col("best_id")) & (F.col(mark) == F.col("best_fp")), "left_semi").dropDuplicates([id_col, mark])
+    return once.select(docs.columns).union(kept.select(docs.columns))

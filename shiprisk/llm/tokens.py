@@ -135,6 +135,11 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def release() -> None:
+    """Give up the worker's encoders and their memos, before a task that needs the room for its own."""
+    encoder.cache_clear()
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 

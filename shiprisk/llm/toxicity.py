@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, ship, slices, stage
+from .tokens import release
 
 SAMPLE = 10_000
 FOLDS = 5
@@ -49,6 +50,8 @@ STEPS = 200
 L2 = 1e-5
 MARKS = "".join(map(chr, range(0x21, 0x30))) + ":;<=>?@[\\]^_`{|}~«»“”„‘’…–—"
 MEMO = 200_000
+#: Texts that are Python objects at once.
+ROWS = 256
 CHAIN = ("junk", "toxic", "severe")
 
 
@@ -266,17 +269,20 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 
 
 def filter_clean(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose probability of being toxic is below the threshold."""
+    """The rows of ``docs`` whose probability of being toxic is below the threshold. Only texts leave the JVM."""
     ship(docs.sparkSession)
-    at = docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = _scorer(chain)
-        for batch in slices(batches):
-            p = of(batch.column(at).to_pylist())
-            yield batch.filter(pa.array(p[:, chain.categories.index("toxic")] < chain.threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    toxic = chain.categories.index("toxic")
+    scorer: list = []  # one for each task: the function is unpickled there
+
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        if not scorer:
+            release()
+            scorer.append(_scorer(chain))
+        below = [scorer[0](texts.slice(lo, ROWS).to_pylist())[:, toxic] < chain.threshold for lo in range(0, len(texts), ROWS)]
+        return pa.array(np.concatenate(below) if below else [], pa.bool_())
+
+    return docs.where(clean(F.col(f"`{text_col}`")))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

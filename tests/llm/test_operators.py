@@ -229,6 +229,9 @@ def test_secrets(spark):
     kept = {r.doc_id: r for r in secret_scan.redact(documents(spark, texts)).collect()}
     assert kept[3].text == "see [SECRET] here" and kept[3].n_chars == len(kept[3].text) and kept[4].text == texts[4] and kept[1].text is None
     assert secret_scan.redact(documents(spark, [])).columns == documents(spark, []).columns
+    assert secret_scan.redact(documents(spark, [])).count() == 0 and secret_scan.find_secrets(documents(spark, [])).count() == 0
+    clash = secret_scan.redact(documents(spark, texts).withColumn("_redacted", F.lit("own")))
+    assert {(r.doc_id, r.text, r._redacted) for r in clash.collect()} == {(i, r.text, "own") for i, r in kept.items()}
 
 
 def test_parts_of_runs_are_tested(spark):
@@ -279,6 +282,21 @@ def test_simhash(spark, texts):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_keep_one_by_row(spark):
+    """Ids that are null or repeat, over the same and over other texts: one row for each component, that of the least (id, fingerprint)."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(500)]
+    texts = [" ".join(rng.choices(words, k=40)) for _ in range(6)]
+    rows = [(5, 0), (5, 1), (3, 1), (7, 2), (7, 3), (None, 4), (None, 4), (None, 0), (9, 5), (9, 5), (8, 5), (4, 2)]
+    docs = documents(spark, [texts[t] for _, t in rows], [i for i, _ in rows])
+    got = sorted(((r.doc_id, texts.index(r.text)) for r in simhash.keep_one(docs).collect()), key=str)
+    want = sorted(((min((i for i, u in rows if u == t and i is not None), default=None), t) for t in range(6)), key=str)
+    assert got == want and simhash.keep_one(docs).columns == docs.columns
+    assert simhash.keep_one(documents(spark, [])).count() == 0
+    clash = docs.select("doc_id", "text").withColumn("_fp", F.lit(1))
+    assert sorted(r.text for r in simhash.keep_one(clash).collect()) == sorted(texts)
+
+
 @pytest.mark.parametrize("bits", [1, 2, 3, 4])
 def test_simhash_links(spark, bits):
     ship(spark)

@@ -35,7 +35,7 @@ HEADLINE = [
     "rolling_confidence",        # T9 batch
     "monthly_vendor_mode_report",  # T12
     "feature_drift",             # T4
-    "train_pipeline",            # Q5 (quick model settings)
+    "train_pipeline",            # Q5 (the reference's settings)
     "score_shipments",           # M12
 ]
 

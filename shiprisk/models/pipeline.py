@@ -1,27 +1,30 @@
-"""Three-stage delay model on MLlib.
-
-Stage 1: soft vote of a random forest and two boosted-tree classifiers
-(delay probability). Stage 2: boosted-tree regressor on delayed rows (delay
-days). Stage 3: k-means pseudo-labels on the delayed rows, learned by a
-multi-class classifier (delay reason).
-
-Everything is distributed: preprocessing is column arithmetic against a
-one-row statistics table, splits are row-local hashes (no shuffle, no
-sort), MLlib trains trees level by level over the cached feature vectors,
-and scoring is a per-row transform with the fitted models broadcast.
+"""Three-stage delay model.
+
+Stage 1: soft vote of a random forest and two boosted classifiers (delay
+probability). Stage 2: boosted regressor on delayed rows (delay days).
+Stage 3: k-means pseudo-labels on the delayed rows, learned by one boosted
+classifier a class (delay reason).
+
+Preprocessing is column arithmetic against a one-row statistics table and
+splits are row-local hashes (no shuffle, no sort). Statistics, bin bounds and
+k-means see all training rows. Tree parts are fitted on a bounded sample of
+them (``fit_rows``), each by a task of its own and independent parts at the
+same time (``boosting``); only the parts that a query needs are fitted.
+Scoring evaluates them for every row in place, in Arrow batches.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
+from threading import RLock
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.classification import GBTClassifier, GBTClassificationModel, RandomForestClassifier, \
-    RandomForestClassificationModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, GBTRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,12 +33,18 @@ from ..operators import aggregates as A
 from ..operators import metrics as MT
 from ..operators import quality as Q
 from ..schemas import CATEGORICAL_FEATURES, NUMERIC_FEATURES
+from ..session import ship
+from . import boosting as B
 from .assemble import score_assemble
 
 
 @dataclass
 class TrainParams:
-    """Model settings; the defaults are the reference's."""
+    """Model settings; the defaults are the reference's.
+
+    ``fit_rows`` bounds the training rows of each tree part (the rows with
+    the smallest hashes); everything else covers all rows.
+    """
     rf_trees: int = 100
     rf_depth: int = 10
     rf_min_leaf: int = 10
@@ -50,16 +59,35 @@ class TrainParams:
     reg_depth: int = 10
     kmeans_k: int = 4
     kmeans_restarts: int = 10
-    reason_trees: int = 200
+    reason_iter: int = 200
+    reason_lr: float = 0.05
     reason_depth: int = 8
+    leaves: int = 31
     test_percent: int = 20
     seed: int = 42
+    fit_rows: int = 100_000
 
     @classmethod
     def quick(cls) -> "TrainParams":
         """Small forests and few boosting rounds (for tests)."""
-        return cls(rf_trees=10, rf_depth=5, gbt_a_iter=5, gbt_a_depth=4, gbt_b_iter=5, gbt_b_depth=3,
-                   reg_iter=5, reg_depth=4, kmeans_restarts=2, reason_trees=10, reason_depth=5)
+        return cls(rf_trees=8, rf_depth=5, gbt_a_iter=5, gbt_a_depth=4, gbt_b_iter=5, gbt_b_depth=3,
+                   reg_iter=5, reg_depth=4, kmeans_restarts=2, reason_iter=5, reason_depth=5)
+
+    def tree_parts(self) -> dict[str, B.Settings]:
+        """Settings of each task's trees. The forest is fitted in ``FOREST_TASKS`` independent lots of trees."""
+        lots = {f"rf_{i}": B.Settings("forest", self.rf_trees // FOREST_TASKS, depth=self.rf_depth, leaves=1 << self.rf_depth,
+                                      least_rows=self.rf_min_leaf, balanced=True, seed=self.seed + i) for i in range(FOREST_TASKS)}
+        reasons = {f"reason_{k}": B.Settings("logistic", self.reason_iter, self.reason_lr, self.reason_depth, self.leaves, balanced=True)
+                   for k in range(self.kmeans_k)}
+        return {
+            "gbt_a": B.Settings("logistic", self.gbt_a_iter, self.gbt_a_lr, self.gbt_a_depth, self.leaves, balanced=True),
+            "gbt_b": B.Settings("logistic", self.gbt_b_iter, self.gbt_b_lr, self.gbt_b_depth, 1 << self.gbt_b_depth, least_rows=1, least_hessian=1.0, l2=1.0),
+            "regressor": B.Settings("squared", self.reg_iter, self.reg_lr, self.reg_depth, self.leaves), **lots, **reasons}
+
+
+FOREST_TASKS = 4
+FEATURES = [*NUMERIC_FEATURES, *CATEGORICAL_FEATURES]
+CATEGORIES = {"carrier_type": C.CARRIER_TYPES, "priority_level": C.PRIORITY_LEVELS}
 
 
 # M1 / M2 ----------------------------------------------------------------
@@ -167,10 +195,6 @@ def prepare(df: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 # M7 / M10 ---------------------------------------------------------------
-def p_one(prob_col: str) -> Column:
-    return vector_to_array(F.col(prob_col))[1]
-
-
 def soft_vote(*probabilities) -> Column:
     """M7: mean of the members' P(delay)."""
     cols = [F.col(p) if isinstance(p, str) else p for p in probabilities]
@@ -185,122 +209,244 @@ def reason_labels(index) -> Column:
     return reason_label(index)
 
 
+# features of the trees ----------------------------------------------------
+def tree_inputs() -> list[Column]:
+    """The 27 features as doubles, categories by their fixed codes; trees need no scaling."""
+    return [F.col(f).cast("double") for f in NUMERIC_FEATURES] + [ordinal_code(c, CATEGORIES[c]).cast("double") for c in CATEGORICAL_FEATURES]
+
+
+def bin_bounds(train: DataFrame) -> list[np.ndarray]:
+    """For each feature, the distinct quantiles of all training rows (one mergeable sketch a feature, ``BINS`` numbers to the driver)."""
+    steps = [i / B.BINS for i in range(1, B.BINS)]
+    row = train.agg(*[F.percentile_approx(x, steps, 10_000).alias(f"q{i}") for i, x in enumerate(tree_inputs())]).first()
+    return [np.unique(np.array(q or [], float)) for q in row]
+
+
+def _columns(arrays) -> list[np.ndarray]:
+    return [a.to_numpy(zero_copy_only=False) for a in arrays]
+
+
+def codes_column(edges: list[np.ndarray]) -> Column:
+    """A row's features as one byte each."""
+    @F.arrow_udf("binary")
+    def codes(*arrays: pa.Array) -> pa.Array:
+        c = B.codes_of(_columns(arrays), edges)
+        offsets = np.arange(len(c) + 1, dtype=np.int32) * c.shape[1]
+        return pa.Array.from_buffers(pa.binary(), len(c), [None, pa.py_buffer(offsets), pa.py_buffer(c.tobytes())])
+
+    return codes(*tree_inputs())
+
+
 # fitted model ------------------------------------------------------------
+OUTPUTS = {"p_rf": ("rf",), "p_gbt_a": ("gbt_a",), "p_gbt_b": ("gbt_b",), "raw_days": ("regressor",), "reason_index": ("reason",)}
+NODE_SCHEMA = "part string, base double, mean boolean, depth int, root boolean, node int, feature int, bin int, `left` int, `right` int, value double"
+
+
 @dataclass
 class DelayModel:
+    """``forests``: rf, gbt_a, gbt_b, regressor, reason_0, ...; any of them may be absent until it is needed."""
     stats: DataFrame
-    rf: RandomForestClassificationModel
-    gbt_a: GBTClassificationModel
-    gbt_b: GBTClassificationModel
-    regressor: GBTRegressionModel
-    kmeans: KMeansModel
-    reason: RandomForestClassificationModel
+    edges: list[np.ndarray]
+    forests: dict[str, B.Forest] = field(default_factory=dict)
+    kmeans: KMeansModel | None = None
 
     # S10 ------------------------------------------------------------------
     def save(self, path: str) -> None:
+        """Statistics, bounds and tree nodes as Parquet tables, k-means as MLlib writes it."""
+        spark = self.stats.sparkSession
         self.stats.write.mode("overwrite").parquet(f"{path}/scaler")
-        for name in ("rf", "gbt_a", "gbt_b", "regressor", "kmeans", "reason"):
-            getattr(self, name).write().overwrite().save(f"{path}/{name}")
+        spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(self.edges)], "feature int, bounds array<double>") \
+            .coalesce(1).write.mode("overwrite").parquet(f"{path}/bounds")
+        nodes = pd.concat([pd.DataFrame({"part": n, "base": f.base, "mean": f.mean, "depth": f.depth, "root": np.isin(np.arange(len(f.value)), f.roots),
+                                         "node": np.arange(len(f.value), dtype=np.int32), "feature": f.feature, "bin": f.bin, "left": f.left, "right": f.right,
+                                         "value": f.value}) for n, f in self.forests.items()])
+        spark.createDataFrame(nodes, NODE_SCHEMA).write.mode("overwrite").parquet(f"{path}/forests")
+        self.kmeans.write().overwrite().save(f"{path}/kmeans")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "DelayModel":
-        return cls(stats=spark.read.parquet(f"{path}/scaler"),
-                   rf=RandomForestClassificationModel.load(f"{path}/rf"),
-                   gbt_a=GBTClassificationModel.load(f"{path}/gbt_a"),
-                   gbt_b=GBTClassificationModel.load(f"{path}/gbt_b"),
-                   regressor=GBTRegressionModel.load(f"{path}/regressor"),
-                   kmeans=KMeansModel.load(f"{path}/kmeans"),
-                   reason=RandomForestClassificationModel.load(f"{path}/reason"))
+        edges = [np.array(r["bounds"], float) for r in spark.read.parquet(f"{path}/bounds").orderBy("feature").collect()]
+        nodes = spark.read.parquet(f"{path}/forests").toPandas()  # as many rows as the model has nodes
+        forests = {}
+        for name, of in nodes.sort_values(["part", "node"]).groupby("part"):
+            first = of.iloc[0]
+            forests[name] = B.Forest(float(first.base), bool(first["mean"]), int(first.depth), of.node[of.root].to_numpy(np.int32),
+                                     *(of[c].to_numpy(np.int32) for c in ("feature", "bin", "left", "right")), of.value.to_numpy(float))
+        return cls(spark.read.parquet(f"{path}/scaler"), edges, forests, KMeansModel.load(f"{path}/kmeans"))
 
     # scoring --------------------------------------------------------------
-    def raw_scores(self, features: DataFrame) -> DataFrame:
-        """Per row: raw_p (soft vote), raw_days (regressor), reason_index (classifier)."""
-        x = prepare(features, self.stats)
-        # only the needed output of each model: P(delay) from the voters, the
-        # class from the reason model (each extra output is another vector UDF)
-        for m in (self.rf, self.gbt_a, self.gbt_b):
-            x = m.copy({m.rawPredictionCol: "", m.predictionCol: ""}).transform(x)
-        x = self.regressor.transform(x)
-        r = self.reason
-        x = r.copy({r.rawPredictionCol: "", r.probabilityCol: ""}).transform(x)
-        return x.withColumns({
-            "raw_p": soft_vote(p_one("p_rf"), p_one("p_gbt_a"), p_one("p_gbt_b")),
-            "raw_days": F.col("pred_days"),
-            "reason_index": F.col("pred_reason").cast("int"),
-        })
-
-
-def _named(est, tag: str):
-    return est.setPredictionCol(f"pred_{tag}").setProbabilityCol(f"p_{tag}").setRawPredictionCol(f"raw_{tag}")
+    def raw_scores(self, features: DataFrame, outputs: tuple[str, ...] = tuple(OUTPUTS)) -> DataFrame:
+        """``features`` with the wanted outputs, and raw_p (soft vote) where all voters are wanted. One pass of Python for all parts."""
+        forests, edges = self.forests, self.edges
+        reasons = sorted(n for n in forests if n.startswith("reason_"))
+        kinds = {o: "int" if o == "reason_index" else "double" for o in outputs}
+
+        @F.arrow_udf("struct<" + ",".join(f"{o}:{k}" for o, k in kinds.items()) + ">")
+        def scores(*arrays: pa.Array) -> pa.Array:
+            codes = B.codes_of(_columns(arrays), edges)
+            made = []
+            for o, kind in kinds.items():
+                if o == "reason_index":
+                    x = np.stack([forests[n].raw(codes) for n in reasons]).argmax(0).astype(np.int32)
+                elif o == "raw_days":
+                    x = forests["regressor"].raw(codes)
+                else:
+                    x = forests[o[2:]].probability(codes)
+                made.append(pa.array(x, pa.int32() if kind == "int" else pa.float64()))
+            return pa.StructArray.from_arrays(made, names=list(kinds))
+
+        ship(features.sparkSession)
+        x = features.withColumn("_scores", scores(*tree_inputs()))
+        x = x.withColumns({o: F.col(f"_scores.{o}") for o in outputs}).drop("_scores")
+        voters = ("p_rf", "p_gbt_a", "p_gbt_b")
+        return x.withColumn("raw_p", soft_vote(*voters)) if set(voters) <= set(outputs) else x
 
 
 # M6 / M8 / M9 / M11 -----------------------------------------------------
-def fit_delay_model(train_table: DataFrame, params: TrainParams | None = None) -> tuple[DelayModel, DataFrame]:
-    """Fit all stages on the training split; returns the model and held-out metrics.
+class DelayTrainer:
+    """Fits parts of the model when they are first asked for, independent ones at the same time.
 
-    Metrics (one row): accuracy and AUC of the vote on the test split;
-    MAE and RMSE of the regressor on the delayed test rows; agreement of
-    the reason classifier with the k-means labels on the delayed test rows.
+    ``train_table`` is written once to the shared folder: every part, the
+    statistics and the held-out metrics read that narrow table.
     """
-    p = params or TrainParams()
-    # The labelled table feeds the scaler, both splits, three fits and the
-    # metrics: keep it (memory, spilling to disk) instead of recomputing its joins.
-    # Only the id, labels and the 27 inputs are kept (narrow rows cache and scan cheaper).
-    train_table = train_table.select("shipment_id", "delay_flag", "delay_days", *NUMERIC_FEATURES,
-                                     *CATEGORICAL_FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
-    split = stratified_split(train_table, test_percent=p.test_percent)
-    train = split.where(~F.col("is_test"))
-    # 25 rows (one per feature): held as a literal table so the fitted model
-    # carries no lineage back to the training data.
-    fitted_stats = A.fit_scaler(train, NUMERIC_FEATURES)
-    stats = train_table.sparkSession.createDataFrame(fitted_stats.collect(), fitted_stats.schema)
-    weighted = A.with_class_weight(prepare(train, stats), "delay_flag", "w")
-    weighted = weighted.select("features", F.col("delay_flag").cast("double").alias("label"), "w")
-    weighted = weighted.persist(StorageLevel.MEMORY_AND_DISK)
-
-    rf = _named(RandomForestClassifier(numTrees=p.rf_trees, maxDepth=p.rf_depth, minInstancesPerNode=p.rf_min_leaf,
-                                       weightCol="w", seed=p.seed), "rf").fit(weighted)
-    gbt_a = _named(GBTClassifier(maxIter=p.gbt_a_iter, stepSize=p.gbt_a_lr, maxDepth=p.gbt_a_depth, weightCol="w",
-                                 seed=p.seed), "gbt_a").fit(weighted)
-    gbt_b = _named(GBTClassifier(maxIter=p.gbt_b_iter, stepSize=p.gbt_b_lr, maxDepth=p.gbt_b_depth, seed=p.seed),
-                   "gbt_b").fit(weighted)
-
-    # Stage 2 and 3 train on the delayed rows with their own split (M2).
-    delayed = random_split(Q.delayed_subset(train_table), test_percent=p.test_percent)
-    d_train = prepare(delayed.where(~F.col("is_test")), stats).select("features", F.col("delay_days").alias("label"))
-    d_train = d_train.persist(StorageLevel.MEMORY_AND_DISK)
-    reg = GBTRegressor(maxIter=p.reg_iter, stepSize=p.reg_lr, maxDepth=p.reg_depth, seed=p.seed,
-                       predictionCol="pred_days").fit(d_train)
-
-    best = None
-    for r in range(p.kmeans_restarts):  # restarts: keep the lowest within-cluster cost
-        km = KMeans(k=p.kmeans_k, seed=p.seed + r, predictionCol="cluster").fit(d_train)
-        if best is None or km.summary.trainingCost < best.summary.trainingCost:
-            best = km
-    clustered = best.transform(d_train).withColumn("cluster", F.col("cluster").cast("int"))
-    clustered = A.with_class_weight(clustered, "cluster", "cw").withColumn("label", F.col("cluster").cast("double"))
-    reason = _named(RandomForestClassifier(numTrees=p.reason_trees, maxDepth=p.reason_depth, weightCol="cw",
-                                           seed=p.seed), "reason").fit(clustered)
-    model = DelayModel(stats, rf, gbt_a, gbt_b, reg, best, reason)
-
-    # held-out metrics ------------------------------------------------------
-    test = split.where(F.col("is_test"))
-    scored = model.raw_scores(test).select("shipment_id", "raw_p", "delay_flag").persist(StorageLevel.MEMORY_AND_DISK)
-    acc = MT.accuracy(scored.withColumn("yhat", (F.col("raw_p") >= C.DELAY_THRESHOLD).cast("int")),
-                      "yhat", "delay_flag")
-    auc = MT.roc_auc(scored, "raw_p", "delay_flag")
-    d_test = delayed.where(F.col("is_test"))
-    d_scored = best.transform(model.raw_scores(d_test)).select("raw_days", "delay_days", "reason_index", "cluster")
-    d_scored = d_scored.persist(StorageLevel.MEMORY_AND_DISK)
-    err = MT.mae_rmse(d_scored, "raw_days", "delay_days")
-    reason_acc = MT.accuracy(d_scored.withColumn("c", F.col("cluster").cast("int")), "reason_index", "c") \
-        .withColumnRenamed("accuracy", "reason_accuracy")
-    metrics = acc.crossJoin(auc).crossJoin(err).crossJoin(reason_acc)  # one-row frames
-    metrics = metrics.persist(StorageLevel.MEMORY_AND_DISK)
-    metrics.count()
-    for df in (weighted, d_train, scored, d_scored, train_table):
-        df.unpersist()
-    return model, metrics
+
+    def __init__(self, train_table: DataFrame, params: TrainParams | None = None):
+        from ..sources.files import scratch_path
+        self.params, self.spark = params or TrainParams(), train_table.sparkSession
+        ship(self.spark)
+        path = scratch_path(self.spark, "training-rows")
+        train_table.select("shipment_id", "delay_flag", "delay_days", *FEATURES).write.parquet(path)
+        self.table = self.spark.read.parquet(path)
+        self.split = stratified_split(self.table, test_percent=self.params.test_percent)
+        # Stages 2 and 3 have the delayed rows, with a split of their own (M2)
+        self.delayed = random_split(Q.delayed_subset(self.table), test_percent=self.params.test_percent)
+        self._lock, self._made = RLock(), {}
+
+    def _once(self, name: str, make):
+        with self._lock:
+            if name not in self._made:
+                self._made[name] = make()
+            return self._made[name]
+
+    @property
+    def model(self) -> DelayModel:
+        """Without trees or clusters until ``fit`` has been asked for them."""
+        def make():
+            train = self.split.where(~F.col("is_test"))
+            fitted_stats = A.fit_scaler(train, NUMERIC_FEATURES)  # 25 rows: a literal table carries no lineage
+            stats = self.spark.createDataFrame(fitted_stats.collect(), fitted_stats.schema)
+            return DelayModel(stats, bin_bounds(train))
+        return self._once("model", make)
+
+    def _sample(self, rows: DataFrame) -> DataFrame:
+        """At most ``fit_rows`` rows, those with the smallest hashes."""
+        return rows.orderBy(F.xxhash64("shipment_id", F.lit(self.params.seed)), "shipment_id").limit(self.params.fit_rows)
+
+    def _stored(self, name: str, rows: DataFrame) -> DataFrame:
+        from ..sources.files import scratch_path
+        path = scratch_path(self.spark, name)
+        rows.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    def _rows(self, kind: str) -> DataFrame:
+        """The binned sample of a stage: (y, codes)."""
+        model = self.model
+        codes = codes_column(model.edges).alias("codes")
+        if kind == "vote":
+            rows = lambda: self._sample(self.split.where(~F.col("is_test"))).select(F.col("delay_flag").cast("double").alias("y"), codes)
+        else:
+            train = self._sample(self.delayed.where(~F.col("is_test")))
+            if kind == "days":
+                rows = lambda: train.select(F.col("delay_days").cast("double").alias("y"), codes)
+            else:
+                kmeans = self.clusters()
+                rows = lambda: kmeans.transform(prepare(train, model.stats)).select(F.col("cluster").cast("double").alias("y"), codes)
+        return self._once(f"rows-{kind}", lambda: self._stored(f"binned-{kind}", rows()))
+
+    def clusters(self) -> KMeansModel:
+        """M9: the restart with the least cost; restarts run at the same time over all delayed training rows."""
+        model = self.model
+
+        def make():
+            p = self.params
+            rows = prepare(self.delayed.where(~F.col("is_test")), model.stats).select("features").persist(StorageLevel.MEMORY_AND_DISK)
+            rows.count()
+            one = lambda r: KMeans(k=p.kmeans_k, seed=p.seed + r, predictionCol="cluster").fit(rows)
+            with ThreadPoolExecutor(p.kmeans_restarts) as pool:
+                found = list(pool.map(one, range(p.kmeans_restarts)))
+            rows.unpersist()
+            return min(found, key=lambda m: m.summary.trainingCost)
+        model.kmeans = self._once("kmeans", make)
+        return model.kmeans
+
+    def _fit_one(self, name: str, settings: B.Settings) -> B.Forest:
+        """One part, in one task over the bounded sample."""
+        rows = self._rows("vote" if name[:2] in ("rf", "gb") else "days" if name == "regressor" else "reason")
+        wanted = int(name.split("_")[1]) if name.startswith("reason_") else None
+
+        def run(batches):
+            codes, y = [], []
+            for batch in batches:
+                codes.append(np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(batch.num_rows, -1))
+                y.append(batch.column("y").to_numpy())
+            y = np.concatenate(y) if y else np.zeros(0)
+            codes = np.concatenate(codes) if codes else np.zeros((0, 0), np.uint8)
+            f = B.fit(codes, y if wanted is None else (y == wanted).astype(float), settings)
+            n = len(f.value)
+            columns = [pa.array([f.base] * max(n, 1)), pa.array([f.mean] * max(n, 1)), pa.array([f.depth] * max(n, 1), pa.int32()),
+                       pa.array(np.isin(np.arange(max(n, 1)), f.roots)), pa.array(np.arange(max(n, 1)) if n else [-1], pa.int32())]
+            columns += [pa.array(x if n else [0], t) for x, t in ((f.feature, pa.int32()), (f.bin, pa.int32()), (f.left, pa.int32()), (f.right, pa.int32()), (f.value, pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+        names = ["base", "mean", "depth", "root", "node", "feature", "bin", "left", "right", "value"]
+        got = rows.coalesce(1).mapInArrow(run, NODE_SCHEMA.split(", ", 1)[1]).toPandas()
+        nodes = got[got.node >= 0].sort_values("node")
+        first = got.iloc[0]
+        return B.Forest(float(first.base), bool(first["mean"]), int(first.depth), nodes.node[nodes.root].to_numpy(np.int32),
+                        *(nodes[c].to_numpy(np.int32) for c in ("feature", "bin", "left", "right")), nodes.value.to_numpy(float))
+
+    def fit(self, *outputs: str) -> DelayModel:
+        """The model with all parts that ``outputs`` need (see OUTPUTS; cluster: k-means)."""
+        model, all_parts = self.model, self.params.tree_parts()
+        wanted = {start for o in outputs if o in OUTPUTS for start in OUTPUTS[o]}
+        if "reason" in wanted or "cluster" in outputs:
+            self.clusters()
+        missing = {n: s for n, s in all_parts.items() if n.split("_")[0] in wanted or n in wanted}
+        missing = {n: s for n, s in missing.items() if (n if not n.startswith("rf_") else "rf") not in model.forests}
+        for kind in ("vote", "days", "reason"):  # the samples first, so that parts do not wait for each other's
+            if any((n[:2] in ("rf", "gb")) == (kind == "vote") and (n == "regressor") == (kind == "days") for n in missing):
+                self._rows(kind)
+        if missing:
+            with ThreadPoolExecutor(len(missing)) as pool:
+                found = dict(zip(missing, pool.map(lambda n: self._fit_one(n, missing[n]), missing)))
+            lots = [f for n, f in found.items() if n.startswith("rf_")]
+            model.forests.update({n: f for n, f in found.items() if not n.startswith("rf_")})
+            if lots:
+                model.forests["rf"] = B.joined(lots)
+        return model
+
+    def metrics(self) -> DataFrame:
+        """One row: accuracy and AUC of the vote on the test split, MAE and RMSE of the regressor on the delayed test rows,
+        and how often the reason classifier agrees with k-means there."""
+        model = self.fit(*OUTPUTS)
+
+        def make():
+            scored = self._stored("held-out", model.raw_scores(self.split.where("is_test"), ("p_rf", "p_gbt_a", "p_gbt_b")).select("raw_p", "delay_flag"))
+            acc = MT.accuracy(scored.withColumn("yhat", (F.col("raw_p") >= C.DELAY_THRESHOLD).cast("int")), "yhat", "delay_flag")
+            auc = MT.roc_auc(scored, "raw_p", "delay_flag")
+            late = prepare(self.delayed.where("is_test"), model.stats)
+            late = self._stored("held-out-late", model.kmeans.transform(model.raw_scores(late, ("raw_days", "reason_index")))
+                                .select("raw_days", "delay_days", "reason_index", F.col("cluster").cast("int").alias("c")))
+            err = MT.mae_rmse(late, "raw_days", "delay_days")
+            same = MT.accuracy(late, "reason_index", "c").withColumnRenamed("accuracy", "reason_accuracy")
+            return self._stored("metrics", acc.crossJoin(auc).crossJoin(err).crossJoin(same))  # one-row frames
+        return self._once("metrics", make)
+
+
+def fit_delay_model(train_table: DataFrame, params: TrainParams | None = None) -> tuple[DelayModel, DataFrame]:
+    """Fit all stages on the training split; returns the model and held-out metrics."""
+    trainer = DelayTrainer(train_table, params)
+    return trainer.fit(*OUTPUTS, "cluster"), trainer.metrics()
 
 
 # M12 ----------------------------------------------------------------------

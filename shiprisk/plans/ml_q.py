@@ -1,8 +1,8 @@
 """Registered model queries.
 
 SQL-expressible parts (splits, encodings, scaling, vote, assembly) carry
-an oracle. Fitting and scoring with MLlib models are rows-only. The fitted
-model is shared by the model queries of one session and data folder.
+an oracle, and so have the counts and domains of all held-out outputs. The
+fitted parts are shared by the model queries of one session and data folder.
 """
 
 from __future__ import annotations
@@ -24,16 +24,21 @@ from .catalog import register
 from .expressions_q import _TRAIN_FIX, _TRAIN_SQL, training_table
 from .reports_q import _SCALER_SQL
 
-_FITTED: dict = {}
+_TRAINERS: dict = {}
 
 
-def fitted(spark, sf, params: MP.TrainParams | None = None):
-    """(model, metrics) fitted on the training table of ``sf`` (the reference's settings unless given)."""
+def trainer(spark, sf, params: MP.TrainParams | None = None) -> MP.DelayTrainer:
+    """The trainer over the training table of ``sf`` (the reference's settings unless given); parts are fitted when first needed."""
     params = params or MP.TrainParams()
-    key = (id(spark), sf, repr(params))
-    if key not in _FITTED:
-        _FITTED[key] = MP.fit_delay_model(training_table(spark, sf), params)
-    return _FITTED[key]
+    key = (spark.sparkContext.applicationId, sf, repr(params))
+    if key not in _TRAINERS:
+        _TRAINERS[key] = MP.DelayTrainer(training_table(spark, sf), params)
+    return _TRAINERS[key]
+
+
+def fitted(spark, sf, *outputs: str) -> MP.DelayModel:
+    """The model with the parts that ``outputs`` need (all, if none are named)."""
+    return trainer(spark, sf).fit(*(outputs or MP.OUTPUTS), *(() if outputs else ("cluster",)))
 
 
 def _hash_sql(expr: str) -> str:
@@ -192,41 +197,68 @@ def q_explain_context(spark, sf):
     return explain_context(feats)
 
 
-# MLlib fitting and scoring (rows-only) ----------------------------------------
+# fitting and scoring (rows-only) ------------------------------------------------
+_VOTERS = ("p_rf", "p_gbt_a", "p_gbt_b")
+
+
 @register("train_delay_classifier")
 def q_train_delay_classifier(spark, sf):
     """M6: members' and voted P(delay) on the held-out split."""
-    model, _ = fitted(spark, sf)
-    test = MP.stratified_split(training_table(spark, sf)).where("is_test")
-    s = model.raw_scores(test)
-    return s.select("shipment_id", "delay_flag", MP.p_one("p_rf").alias("p_rf"), MP.p_one("p_gbt_a").alias("p_gbt_a"),
-                    MP.p_one("p_gbt_b").alias("p_gbt_b"), "raw_p")
+    model = fitted(spark, sf, *_VOTERS)
+    return model.raw_scores(trainer(spark, sf).split.where("is_test"), _VOTERS).select("shipment_id", "delay_flag", *_VOTERS, "raw_p")
 
 
 @register("train_delay_regressor")
 def q_train_delay_regressor(spark, sf):
     """M8: predicted delay days on the held-out delayed rows."""
-    model, _ = fitted(spark, sf)
-    d = MP.random_split(Q.delayed_subset(training_table(spark, sf))).where("is_test")
-    return model.raw_scores(d).select("shipment_id", "delay_days", "raw_days")
+    model = fitted(spark, sf, "raw_days")
+    return model.raw_scores(trainer(spark, sf).delayed.where("is_test"), ("raw_days",)).select("shipment_id", "delay_days", "raw_days")
 
 
 @register("cluster_reasons")
 def q_cluster_reasons(spark, sf):
     """M9: k-means cluster of every delayed row (best of the restarts)."""
-    model, _ = fitted(spark, sf)
-    d = MP.prepare(Q.delayed_subset(training_table(spark, sf)), model.stats)
+    model = fitted(spark, sf, "cluster")
+    d = MP.prepare(trainer(spark, sf).delayed, model.stats)
     return model.kmeans.transform(d).select("shipment_id", F.col("cluster").cast("int").alias("cluster"))
 
 
 @register("train_reason_classifier")
 def q_train_reason_classifier(spark, sf):
     """Reason classifier against k-means labels on the held-out delayed rows."""
-    model, _ = fitted(spark, sf)
-    d = MP.random_split(Q.delayed_subset(training_table(spark, sf))).where("is_test")
-    s = model.kmeans.transform(model.raw_scores(d))
-    return s.select("shipment_id", F.col("cluster").cast("int").alias("cluster"), "reason_index",
-                    MP.reason_labels("reason_index").alias("delay_reason"))
+    model = fitted(spark, sf, "reason_index", "cluster")
+    d = MP.prepare(trainer(spark, sf).delayed.where("is_test"), model.stats)
+    s = model.kmeans.transform(model.raw_scores(d, ("reason_index",)))
+    return s.select("shipment_id", F.col("cluster").cast("int").alias("cluster"), "reason_index", MP.reason_labels("reason_index").alias("delay_reason"))
+
+
+@register("held_out_domains", _TRAIN_FIX, f"""
+WITH t AS ({_TRAIN_SQL}),
+v AS (SELECT * FROM t WHERE {{vote}} < 20),
+d AS (SELECT * FROM t WHERE delay_flag = 1 AND delay_days IS NOT NULL AND delay_days > 0 AND {{days}} < 20)
+SELECT (SELECT count(*) FROM v) AS vote_rows, (SELECT count(*) FROM v) AS probabilities, (SELECT count(*) FROM v) AS votes,
+       (SELECT count(*) FROM d) AS late_rows, (SELECT count(*) FROM d) AS days, (SELECT count(*) FROM d) AS reasons,
+       true AS better_than_chance, true AS better_than_mean""".replace(
+    "{vote}", "(CAST(('0x' || substr(md5(shipment_id), 1, 8)) AS BIGINT) % 100)").replace(
+    "{days}", "(CAST(('0x' || substr(md5('reg:' || shipment_id), 1, 8)) AS BIGINT) % 100)"))
+def q_held_out_domains(spark, sf):
+    """Over all held-out rows, how many outputs lie in their domains (every one must), that each vote is its
+    members' mean, and that vote and regressor beat the best constant (AUC above a half, RMSE below the days' deviation)."""
+    model, t = fitted(spark, sf), trainer(spark, sf)
+    v = model.raw_scores(t.split.where("is_test"), _VOTERS)
+    inside = F.lit(True)
+    for p in _VOTERS:
+        inside = inside & F.col(p).between(0, 1)
+    votes = v.agg(F.count("*").alias("vote_rows"), F.count_if(inside).alias("probabilities"),
+                  F.count_if(F.abs(F.col("raw_p") - (F.col("p_rf") + F.col("p_gbt_a") + F.col("p_gbt_b")) / 3) < 1e-12).alias("votes"))
+    d = model.raw_scores(t.delayed.where("is_test"), ("raw_days", "reason_index"))
+    late = d.agg(F.count("*").alias("late_rows"), F.count_if(F.col("raw_days").between(-1e6, 1e6)).alias("days"),
+                 F.count_if(F.col("reason_index").between(0, len(C.REASON_LABELS) - 1)).alias("reasons"),
+                 F.stddev_pop("delay_days").alias("spread"))
+    m = t.metrics()
+    return votes.crossJoin(late).crossJoin(m).select(  # one-row frames
+        "vote_rows", "probabilities", "votes", "late_rows", "days", "reasons",
+        (F.col("auc") > 0.5).alias("better_than_chance"), (F.col("rmse") < F.col("spread")).alias("better_than_mean"))
 
 
 def _scoring_features(spark, sf):
@@ -237,14 +269,14 @@ def _scoring_features(spark, sf):
 @register("score_shipments")
 def q_score_shipments(spark, sf):
     """Enrich -> encode/scale -> vote -> days -> reason -> tier adjustment, every shipment."""
-    model, _ = fitted(spark, sf)
+    model = fitted(spark, sf)
     return MP.score_shipments(_scoring_features(spark, sf), model)
 
 
 @register("model_save_load")
 def q_model_save_load(spark, sf):
     """Save all fitted parts, load them back, score with the loaded model."""
-    model, _ = fitted(spark, sf)
+    model = fitted(spark, sf)
     path = FS.scratch_path(spark, "delay-model")
     model.save(path)
     return MP.score_shipments(_scoring_features(spark, sf), MP.DelayModel.load(spark, path))
@@ -255,7 +287,7 @@ def q_batch_predict(spark, sf):
     """Q2: validate -> enrich valid rows -> score -> append to the log -> read the log back."""
     from .enrichment import _dims
     from .reports_q import AS_OF
-    model, _ = fitted(spark, sf)
+    model = fitted(spark, sf)
     checked = Q.validate_shipments(td.typed_shipments(spark, sf), AS_OF)
     valid = checked.where("is_valid").drop("errors", "is_valid")
     feats = E.enrich_shipments(valid, sanitize_vendor_key=True, **_dims(spark, sf))
@@ -268,5 +300,4 @@ def q_batch_predict(spark, sf):
 @register("train_pipeline")
 def q_train_pipeline(spark, sf):
     """Q5: raw orders -> training table -> all stages -> held-out metrics (one row)."""
-    _, metrics = fitted(spark, sf)
-    return metrics.withColumn("delay_threshold", F.lit(C.DELAY_THRESHOLD))
+    return trainer(spark, sf).metrics().withColumn("delay_threshold", F.lit(C.DELAY_THRESHOLD))

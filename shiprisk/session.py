@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -58,3 +60,17 @@ def cut_lineage(df):
     """Materialise ``df`` in the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers of this application the package, once, as ``--py-files`` would."""
+    sc = spark.sparkContext
+    if getattr(sc, "_shiprisk_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="shiprisk-")) / "shiprisk.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for p in sorted(package.rglob("*.py")):
+            out.write(p, p.relative_to(package.parent))
+    sc.addPyFile(str(target))
+    sc._shiprisk_shipped = True

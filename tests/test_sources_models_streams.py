@@ -87,14 +87,55 @@ def test_reference_default_params_are_wired():
     assert (p.kmeans_k, p.kmeans_restarts, p.test_percent) == (4, 10, 20)
 
 
-def test_registered_queries_fit_the_full_settings(spark, sf, monkeypatch):
+def test_registered_queries_fit_the_full_settings(spark, sf):
+    """The registry's own trainer, fitted: as many trees, rounds and levels as the reference sets."""
     from shiprisk.models import pipeline as MP
     from shiprisk.plans import ml_q
-    seen = []
-    monkeypatch.setattr(ml_q, "_FITTED", {})
-    monkeypatch.setattr(MP, "fit_delay_model", lambda table, params: (seen.append(params), None))
-    ml_q.fitted(spark, sf)
-    assert seen == [MP.TrainParams()]
+    assert ml_q.trainer(spark, sf).params == MP.TrainParams()
+    model = ml_q.fitted(spark, sf)
+    trees = {n: len(f.roots) for n, f in model.forests.items()}
+    assert trees == {"rf": 100, "gbt_a": 200, "gbt_b": 100, "regressor": 200, **{f"reason_{k}": 200 for k in range(4)}}
+    assert {n: f.depth <= d for (n, f), d in zip(sorted(model.forests.items()), (8, 6, 8, 8, 8, 8, 10, 10))} == dict.fromkeys(sorted(trees), True)
+    row = ml_q.q_held_out_domains(spark, sf).first()
+    assert row.vote_rows == row.probabilities == row.votes > 0 and row.late_rows == row.days == row.reasons > 0
+    m = ml_q.trainer(spark, sf).metrics().first()
+    assert m.auc > 0.5 and m.accuracy > 0.5 and m.reason_accuracy > 0.8
+
+
+def test_boosting_learns_and_bins():
+    import numpy as np
+    from shiprisk.models import boosting as B
+    rng = np.random.default_rng(0)
+    x = [rng.normal(size=4000), rng.integers(0, 5, 4000).astype(float), np.full(4000, 3.0), np.where(rng.random(4000) < .1, np.nan, rng.normal(size=4000))]
+    edges = [np.unique(np.nanquantile(c, np.linspace(0, 1, 33)[1:-1])) for c in x]
+    codes = B.codes_of(x, edges)
+    assert codes.dtype == np.uint8 and (codes[np.isnan(x[3]), 3] == 0).all() and codes[~np.isnan(x[3]), 3].min() >= 1
+    for j in (0, 1):  # a bin holds the values above one bound, up to the next
+        assert (np.diff([codes[np.argsort(x[j]), j].astype(int)]) >= 0).all()
+    truth = ((x[0] > 0.3) ^ (x[1] >= 3)).astype(float)
+    days = np.where(x[0] > 0, 2.0, -1.0) * x[1]
+    fit, held = slice(0, 3000), slice(3000, 4000)
+    for s in (B.Settings("logistic", 40, .2, balanced=True), B.Settings("logistic", 40, .2, 6, 64, 1, 1.0, 1.0), B.Settings("forest", 30, depth=10, leaves=1024, least_rows=10)):
+        f = B.fit(codes[fit], truth[fit], s)
+        p = f.probability(codes[held])
+        assert ((p >= .5) == truth[held]).mean() > .93 and 0 <= p.min() and p.max() <= 1 and f.depth <= s.depth
+        leaves = [sum(1 for i in range(a, b) if f.left[i] == i) for a, b in zip(f.roots, [*f.roots[1:], len(f.value)])]
+        assert max(leaves) <= s.leaves
+    r = B.fit(codes[fit], days[fit], B.Settings("squared", 80, .2))
+    assert np.abs(r.raw(codes[held]) - days[held]).mean() < .4 < np.abs(days[held] - days.mean()).mean()
+    parts = [B.fit(codes[fit], truth[fit], B.Settings("forest", 5, depth=4, leaves=16, seed=k)) for k in range(3)]
+    assert np.allclose(B.joined(parts).raw(codes), np.mean([q.raw(codes) for q in parts], axis=0))
+
+
+def test_boosting_without_rows_or_classes():
+    import numpy as np
+    from shiprisk.models import boosting as B
+    for loss in ("logistic", "squared", "forest"):
+        assert len(B.fit(np.zeros((0, 2), np.uint8), np.zeros(0), B.Settings(loss, 3)).raw(np.zeros((4, 2), np.uint8))) == 4
+    one = B.fit(np.ones((50, 2), np.uint8), np.ones(50), B.Settings("logistic", 3, balanced=True))
+    assert one.probability(np.ones((2, 2), np.uint8)).min() > .99
+    first = B.fit(np.repeat([[1], [2]], 30, 0).astype(np.uint8), np.repeat([0., 1.], 30), B.Settings("squared", 1, 1.0, l2=1.0))
+    assert np.allclose(first.raw(np.array([[1], [2]], np.uint8)), [0.5 - 15 / 31, 0.5 + 15 / 31])  # one Newton step by hand
 
 
 def test_model_fit_score_save_load(spark, sf):
@@ -115,9 +156,7 @@ def test_model_fit_score_save_load(spark, sf):
     path = tempfile.mkdtemp(prefix="shiprisk-model-")
     model.save(path)
     again = MP.score_shipments(feats, MP.DelayModel.load(spark, path))
-    a = {r.shipment_id: r.delay_probability for r in scored.collect()}
-    b = {r.shipment_id: r.delay_probability for r in again.collect()}
-    assert a == b
+    assert sorted(map(tuple, scored.collect()), key=str) == sorted(map(tuple, again.collect()), key=str)
 
 
 def test_stream_window_drops_late_rows(spark):

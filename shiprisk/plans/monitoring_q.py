@@ -38,13 +38,13 @@ def q_stationary_alert(spark, sf):
 
 
 _REUSE_SQL = """
-SELECT event_id, ts, user_id % 30 AS reuse_user, event_type,
+SELECT event_id, ts, user_id AS reuse_user, event_type,
        lag(ts) OVER w IS NOT NULL AND epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 21600000000 AS cache_hit
-FROM events_ts WINDOW w AS (PARTITION BY user_id % 30, event_type ORDER BY ts, event_id)"""
+FROM events_ts WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)"""
 
 
 def _reuse(spark, sf):
-    e = _events(spark, sf).select("event_id", "ts", (F.col("user_id") % 30).alias("reuse_user"), "event_type")
+    e = _events(spark, sf).select("event_id", "ts", F.col("user_id").alias("reuse_user"), "event_type")
     return MO.prediction_reuse(e, ["reuse_user", "event_type"]).drop("prev_ts")
 
 

@@ -215,6 +215,45 @@ def test_stationary_stream_timer_alerts_on_silence(spark):
     assert results[True] == [(1, "A", 7200)]
 
 
+def test_ordered_streams_equal_the_batch_form(spark):
+    """Rows late within the watermark, shuffled over files, with null cells, in Arrow chunks of two rows: as if sorted at once."""
+    import random
+    from shiprisk.streaming import jobs as SJ
+    rng, base = random.Random(8), dt.datetime(2024, 1, 1)
+    rows = [(i, base + dt.timedelta(minutes=rng.randint(0, 3000)), rng.randint(1, 3), rng.choice(["A", "A", "A", "B", None]), 1.0, "{}") for i in range(240)]
+    late = sorted(rows, key=lambda r: r[1] + dt.timedelta(minutes=rng.randint(0, 50)))  # arrival: at most 50 minutes out of order
+    folder = tempfile.mkdtemp(prefix="shiprisk-ordered-")
+    for k in range(4):
+        part = late[k * 60:(k + 1) * 60]
+        rng.shuffle(part)
+        spark.createDataFrame(part, SJ.EVENTS_SCHEMA).coalesce(1).write.parquet(f"{folder}/in/part={k}")
+    stream = SJ.events_stream(spark, f"{folder}/in/*", "*.parquet")
+    end = max(r[1] for r in rows) - dt.timedelta(hours=1)
+    want_alerts, want_hits = set(), set()
+    for user in {r[2] for r in rows}:
+        cell = start = None
+        alerted, last = False, {}
+        for i, ts, _, c, _, _ in sorted((r for r in rows if r[2] == user), key=lambda r: (r[1], r[0])):
+            if start is None or c != cell:
+                cell, start, alerted = c, ts, False
+            elif not alerted and ts - start >= dt.timedelta(hours=2):
+                alerted = True
+                want_alerts |= {(user, c, start, ts)} if ts <= end else set()
+            if c is not None and ts <= end:
+                want_hits.add((user, c, i, c in last and ts - last[c] <= dt.timedelta(hours=6)))
+            last[c] = ts
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        SJ.run_to_parquet(SJ.stationary_alert_stream(stream), f"{folder}/alerts", f"{folder}/alerts-ckpt")
+        SJ.run_to_parquet(SJ.reuse_stream(stream, ["user_id", "event_type"]), f"{folder}/hits", f"{folder}/hits-ckpt")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    plain = lambda t: t.replace(tzinfo=None)
+    assert {(r.user_id, r.event_type, plain(r.start_ts), plain(r.alert_ts)) for r in spark.read.parquet(f"{folder}/alerts").collect()} == want_alerts
+    assert want_alerts and {(r.user_id, r.event_type, r.event_id, r.cache_hit) for r in spark.read.parquet(f"{folder}/hits").collect()} == want_hits
+
+
 def test_stream_surge_carries_state_across_epochs(spark, sf):
     """Events in three time-ordered files -> three micro-batches; the flags equal the
     batch form on the windows the watermark has closed."""

@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import monitor as MO
+from ..operators import outcomes as OC
+from ..schemas import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from ..sources import testdata as td
 from .catalog import register
+from .expressions_q import _TRAIN_FIX, _TRAIN_SQL, training_table
 from .ml_q import assemble_select
 
 _PROB = "least(1.0, value / 200.0)"
@@ -249,3 +252,73 @@ def q_p95_alert(spark, sf):
     ``minutes`` minutes (thresholds scaled to the test events: 100, 2 minutes)."""
     a = MO.p95_alerts(_events(spark, sf), "ts", "value", threshold=100.0, minutes=2)
     return a.withColumn("p95", F.round("p95", 6))
+
+
+_OUTCOMES_AS_OF = "1998-01-01 00:00:00"
+_LOG_SQL = """
+log AS (SELECT shipment_id, CAST(planned_departure_date AS TIMESTAMP) - INTERVAL 1 DAY * (l_partkey % 45) AS predicted_at,
+               CAST((l_partkey * 37) % 1000 AS DOUBLE) / 999.0 >= 0.5 AS predicted FROM shipments
+        UNION ALL
+        SELECT shipment_id, CAST(planned_departure_date AS TIMESTAMP) - INTERVAL 6 HOUR, CAST((l_partkey * 53) % 1000 AS DOUBLE) / 999.0 >= 0.5
+        FROM shipments WHERE l_linenumber % 2 = 0),
+deliveries AS (SELECT shipment_id, CAST(planned_departure_date AS TIMESTAMP) + INTERVAL 1 DAY * real_days AS delivered_at, real_days > scheduled_days AS late
+               FROM shipments)"""
+
+
+@register("prediction_outcomes", ["shipments"], f"""
+WITH {_LOG_SQL},
+f AS (SELECT shipment_id, min(delivered_at) AS delivered_at, arg_min(late, (delivered_at, late)) AS late FROM deliveries
+      WHERE delivered_at <= TIMESTAMP '{_OUTCOMES_AS_OF}' GROUP BY shipment_id),
+r AS (SELECT l.*, f.delivered_at, f.late, COALESCE(l.predicted_at <= f.delivered_at AND l.predicted_at >= f.delivered_at - INTERVAL 30 DAY, false) AS recent
+      FROM log l LEFT JOIN f USING (shipment_id)),
+m AS (SELECT *, row_number() OVER (PARTITION BY shipment_id ORDER BY recent DESC, predicted_at DESC, predicted DESC) AS nth FROM r),
+s AS (SELECT *, CASE WHEN delivered_at IS NULL THEN 'pending' WHEN recent THEN 'matched' ELSE 'stale' END AS status FROM m WHERE nth = 1),
+g AS (SELECT CAST(predicted_at AS DATE) AS day, count(*) AS shipments, count(*) FILTER (WHERE status = 'pending') AS pending,
+             count(*) FILTER (WHERE status = 'stale') AS stale, count(*) FILTER (WHERE status = 'matched' AND late) AS late,
+             count(*) FILTER (WHERE status = 'matched' AND late AND NOT predicted) AS false_negatives FROM s GROUP BY 1)
+SELECT *, CASE WHEN late > 0 THEN false_negatives / late END AS fn_rate FROM g""")
+def q_prediction_outcomes(spark, sf):
+    """A stored prediction log (some shipments scored twice) joined with the deliveries known on a day; false negatives by day of prediction."""
+    from ..sources import files as FS
+    sh = td.shipments(spark, sf)
+    departure = F.col("planned_departure_date").cast("timestamp")
+    early = sh.select("shipment_id", (departure - F.make_dt_interval((F.col("l_partkey") % 45).cast("int"))).alias("predicted_at"),
+                      ((F.col("l_partkey") * 37 % 1000) / 999.0 >= 0.5).alias("predicted"))
+    again = sh.where("l_linenumber % 2 = 0").select("shipment_id", (departure - F.expr("interval 6 hours")).alias("predicted_at"),
+                                                    ((F.col("l_partkey") * 53 % 1000) / 999.0 >= 0.5).alias("predicted"))
+    path = FS.scratch_path(spark, "prediction-log")
+    early.union(again).write.parquet(path)
+    deliveries = sh.select("shipment_id", (departure + F.make_dt_interval(F.col("real_days").cast("int"))).alias("delivered_at"),
+                           (F.col("real_days") > F.col("scheduled_days")).alias("late"))
+    return OC.outcome_rates(OC.match_outcomes(spark.read.parquet(path), deliveries, _OUTCOMES_AS_OF))
+
+
+_NUM_SQL = " UNION ALL ".join(
+    f"""SELECT departure_month AS day, '{c}' AS feature, CASE WHEN {c} IS NULL THEN 'null' WHEN lo = hi THEN '0'
+        ELSE CAST(CAST(least(floor((CAST({c} AS DOUBLE) - lo) / (hi - lo) * 20.0), 19) AS INTEGER) AS VARCHAR) END AS bin
+        FROM t, (SELECT min(CAST({c} AS DOUBLE)) AS lo, max(CAST({c} AS DOUBLE)) AS hi FROM t)""" for c in NUMERIC_FEATURES)
+_CAT_SQL = " UNION ALL ".join(f"SELECT departure_month AS day, '{c}' AS feature, COALESCE('=' || {c}, 'null') AS bin FROM t" for c in CATEGORICAL_FEATURES)
+
+
+@register("feature_profile_drift", _TRAIN_FIX, f"""
+WITH t AS ({_TRAIN_SQL}), x AS ({_NUM_SQL} UNION ALL {_CAT_SQL}),
+b AS (SELECT feature, bin, count(*) / sum(count(*)) OVER (PARTITION BY feature) AS q FROM x GROUP BY feature, bin),
+c AS (SELECT day, feature, bin, count(*) AS n FROM x GROUP BY ALL),
+d AS (SELECT day, feature, sum(n) AS rows FROM c GROUP BY ALL),
+g AS (SELECT d.day, d.feature, d.rows, b.bin, b.q, COALESCE(c.n, 0) / d.rows AS s FROM d JOIN b USING (feature)
+      LEFT JOIN c ON c.day = d.day AND c.feature = d.feature AND c.bin = b.bin),
+k AS (SELECT *, greatest(s, 1e-4) AS p1, greatest(q, 1e-4) AS q1,
+             abs(sum(s) OVER w - sum(q) OVER w) AS gap FROM g
+      WINDOW w AS (PARTITION BY day, feature ORDER BY TRY_CAST(bin AS INTEGER) NULLS FIRST ROWS UNBOUNDED PRECEDING))
+SELECT CAST(day AS INTEGER) AS month, feature, CAST(any_value(rows) AS BIGINT) AS rows, round(sum((p1 - q1) * ln(p1 / q1)), 6) AS psi,
+       round(max(CASE WHEN feature NOT IN ('carrier_type', 'priority_level') THEN gap END), 6) AS ks
+FROM k GROUP BY day, feature""")
+def q_feature_profile_drift(spark, sf):
+    """T4: each month's 27 features against the stored profile of the training table: stability index and greatest gap."""
+    from ..sources import files as FS
+    t = training_table(spark, sf)
+    bounds = OC.profile_bounds(t, NUMERIC_FEATURES)
+    path = FS.scratch_path(spark, "training-profile")
+    OC.training_profile(t, bounds, CATEGORICAL_FEATURES).write.parquet(path)
+    d = OC.drift(t, F.col("departure_month").cast("int"), spark.read.parquet(path), bounds, CATEGORICAL_FEATURES)
+    return d.select(F.col("day").alias("month"), "feature", "rows", F.round("psi", 6).alias("psi"), F.round("ks", 6).alias("ks"))

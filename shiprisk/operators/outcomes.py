@@ -77,7 +77,7 @@ def _bin(c: str, bounds: tuple[float | None, float | None]) -> Column:
         at = F.when(x < lo, -1).when(x > hi, BINS).otherwise(0)
     else:
         at = F.when(x < lo, -1).when(x > hi, BINS).otherwise(F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(BINS))), F.lit(BINS - 1)))
-    return at.cast("int").cast("string")
+    return F.when(x.isNotNull(), at.cast("int").cast("string"))
 
 
 def binned(df: DataFrame, bounds: dict[str, tuple], categories: list[str], *keep: Column) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -33,7 +33,7 @@ from ..operators import aggregates as A
 from ..operators import metrics as MT
 from ..operators import quality as Q
 from ..schemas import CATEGORICAL_FEATURES, NUMERIC_FEATURES
-from ..session import ship
+from ..session import cut_lineage, ship
 from . import boosting as B
 from .assemble import score_assemble
 
@@ -107,49 +107,27 @@ def random_split(df: DataFrame, key: str = "shipment_id", test_percent: int = 20
     return df.withColumn("is_test", hash_percent(key, salt) < test_percent)
 
 
-def _exact_cut(df: DataFrame, key: str, take: int, digits: int = 3, small: int = 10_000):
-    """The ``take``-th smallest (md5(key), key) of ``df``, found level by level.
-
-    Each level counts rows per next ``digits`` hex digits of the md5 inside
-    the current boundary prefix (at most 16**digits buckets, read to the
-    driver), keeps the bucket where the running count reaches ``take`` and
-    descends into it; once the boundary bucket is small it is ranked exactly.
-    """
-    h = F.md5(F.col(key).cast("string"))
-    prefix, need, pos = "", take, 0
-    while True:
-        part = df.where(F.substring(h, 1, pos) == prefix) if pos else df
-        counts = sorted((r[0], r[1]) for r in part.groupBy(F.substring(h, pos + 1, digits).alias("b"))
-                        .count().collect())
-        if sum(c for _, c in counts) <= small or pos + digits >= 32:
-            top = part.select(h.alias("h"), F.col(key).cast("string").alias("k")).orderBy("h", "k").limit(need)
-            last = top.agg(F.max(F.struct("h", "k")).alias("m")).first()["m"]  # one row to the driver
-            return (last["h"], last["k"]) if last is not None else None
-        for b, c in counts:
-            if need <= c:
-                prefix, pos = prefix + b, pos + digits
-                break
-            need -= c
-
-
 def stratified_split_exact(df: DataFrame, key: str = "shipment_id", label: str = "delay_flag",
-                           test_percent: int = 20, small: int = 10_000) -> DataFrame:
-    """M1, exact mode: per label exactly ceil(test_percent % of its rows) test rows,
-    the ones with the smallest (md5(key), key); reproducible, no global sort."""
-    import math
-    per_label = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # one row per class
-    h = F.md5(F.col(key).cast("string"))
-    cond = F.lit(False)
-    for lab, n in per_label.items():
-        take = math.ceil(n * test_percent / 100)
-        if take == 0:
-            continue
-        cut = _exact_cut(df.where(F.col(label) == lab) if lab is not None else df.where(F.col(label).isNull()),
-                         key, take, small=small)
-        below = (h < F.lit(cut[0])) | ((h == F.lit(cut[0])) & (F.col(key).cast("string") <= F.lit(cut[1])))
-        same = (F.col(label) == F.lit(lab)) if lab is not None else F.col(label).isNull()
-        cond = cond | (same & below)
-    return df.withColumn("is_test", cond)
+                           test_percent: int = 20) -> DataFrame:
+    """M1, exact mode: per label exactly ceil(test_percent % of its rows) test rows, those with the smallest (md5(key), key).
+
+    Rows are range-sorted by (label, md5, key), with a unique tie so that an
+    id with very many copies is split too, numbered within their partition,
+    and shifted by the counts of the partitions before. No label is sorted in
+    one task, and nothing goes to the driver. Which of several rows with
+    equal ids are taken at the boundary is open; how many is not.
+    """
+    order = [label, "_h", key, "_tie"]
+    placed = df.withColumn("_h", F.md5(F.col(key).cast("string"))).withColumn("_tie", F.monotonically_increasing_id())
+    placed = cut_lineage(placed.repartitionByRange(*order).sortWithinPartitions(*order)
+                         .withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id()))
+    counts = placed.groupBy(F.col(label).alias("_l"), F.col("_part").alias("_p")).agg(F.min("_at").alias("_from"), F.count("*").alias("_n"))
+    one = Window.partitionBy("_l")  # a row for each partition
+    before = one.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_all", F.sum("_n").over(one))
+    joined = placed.join(counts, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_part") == F.col("_p")))
+    place = F.col("_at") - F.col("_from") + F.col("_before")
+    return joined.select(*df.columns, (place < F.ceil(F.col("_all") * test_percent / 100.0)).alias("is_test"))
 
 
 # M3 ---------------------------------------------------------------------

@@ -155,7 +155,7 @@ def test_exact_stratified_split_multi_level(spark, sf):
     import math
     from shiprisk.models.pipeline import stratified_split_exact
     g = td.given_scores(spark, sf).select("shipment_id", "delay_flag").dropDuplicates(["shipment_id"])
-    got = {r.shipment_id: r.is_test for r in stratified_split_exact(g, small=40).collect()}
+    got = {r.shipment_id: r.is_test for r in stratified_split_exact(g).collect()}
     w = Window.partitionBy("delay_flag").orderBy(F.md5("shipment_id"), "shipment_id")
     n = {r[0]: r[1] for r in g.groupBy("delay_flag").count().collect()}
     ref = g.withColumn("rn", F.row_number().over(w)).collect()
@@ -173,3 +173,14 @@ def test_staged_fact_table_is_spread_and_stats_are_not(spark, sf):
     sh = td.shipments(spark, sf)
     assert sh.rdd.getNumPartitions() >= min(spark.sparkContext.defaultParallelism, sh.count())
     assert td.vendor_stats(spark, sf).inputFiles() and len(td.vendor_stats(spark, sf).inputFiles()) <= 2
+
+
+def test_exact_split_with_an_id_of_many_copies(spark):
+    """The share of each label is exact where one id holds most rows, for null labels and ids, and for no rows."""
+    import math
+    from shiprisk.models.pipeline import stratified_split_exact
+    rows = [("hot", 1)] * 20_000 + [(f"a{i}", i % 2) for i in range(3001)] + [(f"n{i}", None) for i in range(7)] + [(None, 1)] * 3
+    split = stratified_split_exact(spark.createDataFrame(rows, "shipment_id string, delay_flag int"))
+    got = {r.delay_flag: (r.n, r.t) for r in split.groupBy("delay_flag").agg(F.count("*").alias("n"), F.count_if("is_test").alias("t")).collect()}
+    assert got == {1: (21_503, math.ceil(21_503 / 5)), 0: (1501, math.ceil(1501 / 5)), None: (7, 2)}
+    assert stratified_split_exact(spark.createDataFrame([], "shipment_id string, delay_flag int")).count() == 0

@@ -15,31 +15,21 @@ from . import sequence as S
 HOUR = 3600
 
 
-def _step(df: DataFrame, materialize: bool) -> DataFrame:
-    """Cut the lineage between the steps of a multi-level ordered computation."""
-    return cut_lineage(df) if materialize else df
-
-
 # T2 -----------------------------------------------------------------------
 def stationary_alerts(pings: DataFrame, key: str = "user_id", cell: str = "event_type", ts: str = "ts",
-                      tie: str = "event_id", min_seconds: int = 2 * HOUR,
-                      bucket_seconds: int = 6 * HOUR, materialize: bool = True) -> DataFrame:
+                      tie: str = "event_id", min_seconds: int = 2 * HOUR) -> DataFrame:
     """Runs of consecutive pings in the same position cell lasting >= ``min_seconds``.
 
-    Gaps and islands, skew-safe: row numbers per shipment (two-level), the
-    previous ping through an equi-join on (shipment, row - 1), island ids as
-    a two-level running count of cell changes. Duration = last ping - first
-    ping of the run (ours).
+    Gaps and islands, skew-safe: the pings are range-sorted by (shipment,
+    time) once; the previous ping's cell and the running count of cell
+    changes (the island id) are then taken range by range. Duration = last
+    ping - first ping of the run (ours). A null cell never equals another.
     """
-    p = pings.select(key, cell, ts, tie)
-    # Each step reads its input twice (windows + carry-in summary, or both sides
-    # of the lag join); materializing between steps in the shared checkpoint
-    # folder keeps the input from being rescanned at every level.
-    p = _step(S.keyed_row_number(p, [key], [ts, tie], ts, bucket_seconds), materialize)
-    p = S.keyed_lag(p, [key], "rn", [cell])
+    p = S.in_order(pings.select(key, cell, ts, tie), [key], [ts, tie])
+    p = S.keyed_previous(p, [key], [ts, tie], [cell])
     p = p.withColumn("_new", (F.col(f"prev_{cell}").isNull() | (F.col(f"prev_{cell}") != F.col(cell))).cast("long"))
-    p = _step(p, materialize)
-    p = S.keyed_running_sum(p, [key], [ts, tie], ["_new"], ts, bucket_seconds, prefix="island_")
+    # the running sum reads its input twice: its rows, and the sums that it carries on
+    p = S.keyed_running_sum(cut_lineage(p), [key], [ts, tie], ["_new"], prefix="island_")
     runs = p.groupBy(key, F.col("island__new").alias("island")).agg(
         F.first(cell).alias(cell), F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"),
         F.count(F.lit(1)).alias("pings"))
@@ -49,16 +39,14 @@ def stationary_alerts(pings: DataFrame, key: str = "user_id", cell: str = "event
 
 # T3 / T11 -------------------------------------------------------------------
 def prediction_reuse(requests: DataFrame, keys: list[str], ts: str = "ts", tie: str = "event_id",
-                     ttl_seconds: int = 6 * HOUR, bucket_seconds: int = 6 * HOUR,
-                     materialize: bool = True) -> DataFrame:
+                     ttl_seconds: int = 6 * HOUR) -> DataFrame:
     """Per request: ``cache_hit`` when the previous request with the same reuse
     key came at most ``ttl_seconds`` earlier (sliding reuse; ours).
     """
-    r = _step(S.keyed_row_number(requests, keys, [ts, tie], ts, bucket_seconds), materialize)
-    r = S.keyed_lag(r, keys, "rn", [ts])
+    r = S.keyed_previous(S.in_order(requests, keys, [ts, tie]), keys, [ts, tie], [ts]).drop(S.RANGE)
     gap = F.unix_micros(F.col(ts)) - F.unix_micros(F.col(f"prev_{ts}"))
     hit = F.col(f"prev_{ts}").isNotNull() & (gap <= F.lit(ttl_seconds * 1_000_000))
-    return r.withColumn("cache_hit", hit).drop("rn")
+    return r.withColumn("cache_hit", hit)
 
 
 def cache_hit_rate(reuse: DataFrame, ts: str = "ts", alert_below: float = 0.40) -> DataFrame:
@@ -119,20 +107,20 @@ def false_negative_rate(df: DataFrame, day, predicted: str, actual: str) -> Data
 def exact_percentiles(df: DataFrame, key: str, value: str, probabilities: dict[str, float]) -> DataFrame:
     """Interpolated percentiles of the non-null values of each key, and ``n`` rows.
 
-    Equal values are counted first, with partial aggregation; a running count
-    over a key's distinct values, sorted on disk where they are many, gives
-    the ranks. No group's values are ever held in one aggregation buffer.
+    Equal values are counted first, with partial aggregation. The distinct
+    values are range-sorted by (key, value), and running counts give their
+    ranks range by range: a window that holds most rows is ranked by many
+    tasks, and no group's values are ever held in one buffer or sorted in one task.
     """
     counts = df.groupBy(key, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.count(value).alias("_k"))
-    totals = counts.groupBy(F.col(key).alias("_key")).agg(F.sum("_c").alias("n"), F.sum("_k").alias("_m"))
-    running = Window.partitionBy(key).orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("_to", F.sum("_k").over(running)).join(totals, F.col(key).eqNullSafe(F.col("_key")))
+    placed = S.in_order(counts, [key], ["_v"])
+    ranked = S.keyed_totals(S.keyed_running_sum(placed, [key], ["_v"], ["_k"], prefix="_to"), [key], ["_c", "_k"], prefix="_all")
     picks = []
     for name, p in probabilities.items():
-        at = F.lit(p) * (F.col("_m") - 1)
-        picks += [F.min(F.when(F.col("_to") > F.floor(at), F.col("_v"))).alias(f"_lo_{name}"),
-                  F.min(F.when(F.col("_to") > F.ceil(at), F.col("_v"))).alias(f"_hi_{name}")]
-    g = ranked.where("_k > 0 or _m = 0").groupBy(key).agg(*picks, F.first("n").alias("n"), F.first("_m").alias("_m"))
+        at = F.lit(p) * (F.col("_all_k") - 1)
+        picks += [F.min(F.when(F.col("_to_k") > F.floor(at), F.col("_v"))).alias(f"_lo_{name}"),
+                  F.min(F.when(F.col("_to_k") > F.ceil(at), F.col("_v"))).alias(f"_hi_{name}")]
+    g = ranked.where("_k > 0 or _all_k = 0").groupBy(key).agg(*picks, F.max("_all_c").alias("n"), F.max("_all_k").alias("_m"))
     part = {name: F.lit(p) * (F.col("_m") - 1) - F.floor(F.lit(p) * (F.col("_m") - 1)) for name, p in probabilities.items()}
     return g.select(key, *[(F.col(f"_lo_{x}") * (1 - part[x]) + F.col(f"_hi_{x}") * part[x]).alias(x) for x in probabilities], "n")
 
@@ -156,21 +144,21 @@ def error_rate_windows(df: DataFrame, ts: str, is_error, width: str = "2 minutes
 
 # T9 -----------------------------------------------------------------------
 def rolling_confidence(df: DataFrame, key: str, ts: str, tie: str, prob: str, rows: int = 100,
-                       drop_ratio: float = 0.8, bucket_seconds: int = 6 * HOUR,
-                       materialize: bool = True) -> DataFrame:
+                       drop_ratio: float = 0.8) -> DataFrame:
     """Rolling mean of the last ``rows`` probabilities per key, skew-safe.
 
-    mean = (prefix(r) - prefix(r - rows)) / min(r, rows), with prefix sums
-    and the r - rows lookup done per (key, row number); flag when the
-    rolling mean falls under ``drop_ratio`` x the key's overall mean (ours).
+    mean = (prefix(r) - prefix(r - rows)) / min(r, rows), with row numbers and
+    prefix sums from one pass over (key, range) groups and the r - rows lookup
+    by (key, row number); flag when the rolling mean falls under
+    ``drop_ratio`` x the key's overall mean (ours).
     """
-    x = df.select(key, ts, tie, F.col(prob).cast("double").alias("_p"))
-    x = _step(S.keyed_row_number(x, [key], [ts, tie], ts, bucket_seconds), materialize)
-    x = _step(S.keyed_running_sum(x, [key], [ts, tie], ["_p"], ts, bucket_seconds), materialize)
+    x = df.select(key, ts, tie, F.col(prob).cast("double").alias("_p"), F.lit(1).cast("long").alias("_one"))
+    x = S.keyed_running_sum(S.in_order(x, [key], [ts, tie]), [key], [ts, tie], ["_p", "_one"])
+    x = cut_lineage(x.withColumnRenamed("cum__one", "rn").drop("_one", S.RANGE))  # both sides of the lag join read it
+    overall = x.groupBy(key).agg(F.avg("_p").alias("key_mean"))
     x = S.keyed_lag(x, [key], "rn", ["cum__p"], offset=rows, prefix="back_")
     n = F.least(F.col("rn"), F.lit(rows))
     mean = (F.col("cum__p") - F.coalesce(F.col("back_cum__p"), F.lit(0.0))) / n
-    overall = x.groupBy(key).agg(F.avg("_p").alias("key_mean"))
     out = x.withColumn("rolling_mean", mean).join(overall, key)
     return out.select(key, ts, tie, "rn", "rolling_mean",
                       (F.col("rolling_mean") < F.col("key_mean") * drop_ratio).alias("confidence_drop"))

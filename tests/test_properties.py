@@ -138,8 +138,8 @@ def _hot_events(spark):
 
 def test_keyed_helpers_match_naive_windows(spark):
     df = _hot_events(spark)
-    r = S.keyed_row_number(df, ["key"], ["ts", "event_id"], "ts", bucket_seconds=3600)
-    r = S.keyed_running_sum(r, ["key"], ["ts", "event_id"], ["x"], "ts", bucket_seconds=3600)
+    r = S.keyed_row_number(S.in_order(df, ["key"], ["ts", "event_id"], 7), ["key"], ["ts", "event_id"])
+    r = S.keyed_running_sum(r, ["key"], ["ts", "event_id"], ["x"])
     r = S.keyed_lag(r, ["key"], "rn", ["cell"])
     got = {(x.event_id): (x.rn, x.cum_x, x.prev_cell) for x in r.collect()}
     w = Window.partitionBy("key").orderBy("ts", "event_id")
@@ -149,6 +149,49 @@ def test_keyed_helpers_match_naive_windows(spark):
     assert got == {x.event_id: (x.rn, x.c, x.p) for x in ref}
 
 
+def test_ranges_split_a_key_within_one_second(spark):
+    """One key with most rows and one time stamp, null keys and times: groups stay small, results equal naive windows."""
+    n, t = 4000, dt.datetime(2024, 1, 1)
+    rows = [(i, None if i % 97 == 0 else t, None if i % 13 == 0 else "hot" if i % 3 else f"k{i % 50}", ["a", "b", None][(i // 7) % 3], i % 11)
+            for i in range(n)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, key string, cell string, x long")
+    order = ["ts", "event_id"]
+    placed = S.in_order(df, ["key"], order, 8)
+    assert placed.groupBy("key", S.RANGE).count().agg(F.max("count")).first()[0] <= 2 * n / 8
+    assert placed.where("key = 'hot'").select(S.RANGE).distinct().count() >= 4
+    r = S.keyed_totals(S.keyed_running_sum(placed, ["key"], order, ["x"]), ["key"], ["x"])
+    r = S.keyed_previous(r, ["key"], order, ["cell", "event_id"])
+    got = {x.event_id: (x.cum_x, x.all_x, x.prev_cell, x.prev_event_id) for x in r.collect()}
+    w = Window.partitionBy("key").orderBy(*order)
+    ref = df.select("event_id", F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("c"),
+                    F.sum("x").over(Window.partitionBy("key")).alias("a"), F.lag("cell").over(w).alias("p"), F.lag("event_id").over(w).alias("e"))
+    assert got == {x.event_id: (x.c, x.a, x.p, x.e) for x in ref.collect()}
+    empty = S.in_order(df.limit(0), ["key"], order)
+    assert S.keyed_previous(S.keyed_running_sum(empty, ["key"], order, ["x"]), ["key"], order, ["cell"]).count() == 0
+
+
+def test_percentiles_of_a_hot_window(spark, monkeypatch):
+    """One window with most values is ranked in many ranges and equals the interpolated percentiles; null values, all-null windows."""
+    import numpy as np
+    from shiprisk.operators import monitor as MO
+    whole, groups = S.in_order, []
+
+    def spied(df, keys, order):
+        placed = whole(df, keys, order, 8)
+        groups.append(placed.groupBy(*keys, S.RANGE).count().agg(F.max("count"), F.sum("count")).first())
+        return placed
+    monkeypatch.setattr(S, "in_order", spied)
+    values = [("hot", float((i * 7919) % 3001) / 3) for i in range(4000)] + [("cold", float(i % 5)) for i in range(77)]
+    rows = values + [("hot", None)] * 9 + [("none", None)] * 4 + [(None, 2.0), (None, 4.0)]
+    df = spark.createDataFrame(rows, "w string, v double")
+    got = {r.w: (r.p50, r.p95, r.n) for r in MO.exact_percentiles(df, "w", "v", {"p50": 0.5, "p95": 0.95}).collect()}
+    for w, n in (("hot", 4009), ("cold", 77), (None, 2)):
+        v = [x for k, x in rows if k == w and x is not None]
+        assert got[w][2] == n and np.allclose(got[w][:2], np.percentile(v, [50, 95]))
+    assert got["none"] == (None, None, 4) and len(got) == 4
+    assert groups[0][0] <= 2 * groups[0][1] / 8
+
+
 def test_exact_stratified_split_multi_level(spark, sf):
     """Force several refinement levels (tiny exact-rank threshold) and compare with a
     naive per-label ranking."""

@@ -6,32 +6,101 @@ planner broadcasts a side only when its estimated size is under
 ``spark.sql.autoBroadcastJoinThreshold``; with AQE on, a side whose
 *measured* shuffle output is small is switched to a broadcast at run time,
 and larger sides stay sort-merge joins. Every dimension is reduced to one
-row per key (the smallest, so the answer does not change between runs) and a
-left join never fans out. Those that grow are stored after that step: both
-sides of the join are then bare shuffles, whose skewed partitions AQE can
-split; an aggregate between shuffle and join would switch that off. Country
-and lane tables are bounded by the number of countries.
+row per key, so a left join never fans out. ``prepare`` does that once, when a
+table is loaded, and stores the result: both sides of a join are then bare
+shuffles, whose skewed partitions AQE can split; an aggregate between shuffle
+and join would switch that off. A lookup given a table that is not prepared
+reduces it at every call, storing those that grow. Country and lane tables are
+bounded by the number of countries.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import expressions as X
 from ..session import cut_lineage
+from .quality import dedupe_keep_first
+
+
+@dataclass(frozen=True)
+class Prepared:
+    """A stored dimension with one row per key, as ``prepare`` made it; lookups join it as it is."""
+
+    rows: DataFrame
+    kind: str
+    options: tuple
+
+
+KEYS = {"vendors": ["vendor_name"], "routes": ["origin", "destination"], "risk": ["country_code"],
+        "lanes": ["origin_country", "destination_country"], "holidays": ["country_code", "holiday_date"],
+        "weather": ["origin_city", "departure_date"]}
+
+
+def _normalised(dim: DataFrame, kind: str, options: tuple) -> DataFrame:
+    """Key columns as the lookup of this kind compares them; ``options`` are that lookup's own."""
+    if kind == "vendors" and options[0]:
+        return dim.withColumn("vendor_name", X.sanitize_text("vendor_name"))
+    if kind in ("risk", "holidays"):
+        dim = dim.withColumn("country_code", _norm(F.col("country_code"), options[0]))
+        return dim.withColumn("holiday_date", F.col("holiday_date").cast("date")) if kind == "holidays" else dim
+    if kind == "lanes":
+        return dim.withColumns({c: _norm(F.col(c), options[0]) for c in KEYS[kind]})
+    return dim
+
+
+def _options(kind: str, strict_case: bool, sanitize_vendor_key: bool) -> tuple:
+    return {"vendors": (sanitize_vendor_key,), "risk": (strict_case,), "lanes": (strict_case,), "holidays": (strict_case,)}.get(kind, ())
 
 
 def _unique(dim: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key, for tables whose keys may collide once they are normalised (smallest row)."""
+    """One row per key, for tables whose keys may collide once they are normalised: by ``load_seq`` where there is one (S4),
+    the smallest row else."""
+    if "load_seq" in dim.columns:
+        return dedupe_keep_first(dim, keys, ["load_seq"]).drop("load_seq")
     rest = [c for c in dim.columns if c not in keys]
     return dim.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*")
 
 
-def _stored(dim: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key, written to the shared folder: the join then sees a bare table, not an aggregate."""
-    return cut_lineage(_unique(dim, keys))
+def prepare(dim: DataFrame, kind: str, path: str, strict_case: bool = False, sanitize_vendor_key: bool = False) -> Prepared:
+    """Store a dimension at ``path`` in the form that its lookup joins: keys normalised, one row per key.
+
+    Done once, when the table is loaded. Of rows with equal keys the first
+    loaded is kept where a ``load_seq`` column tells the order (S4), the smallest else.
+    """
+    options = _options(kind, strict_case, sanitize_vendor_key)
+    _unique(_normalised(dim, kind, options), KEYS[kind]).write.mode("overwrite").parquet(path)
+    return reopen(dim.sparkSession, kind, path, strict_case, sanitize_vendor_key)
+
+
+def reopen(spark, kind: str, path: str, strict_case: bool = False, sanitize_vendor_key: bool = False) -> Prepared:
+    """What ``prepare`` stored at ``path`` with these options."""
+    return Prepared(spark.read.parquet(path), kind, _options(kind, strict_case, sanitize_vendor_key))
+
+
+def prepare_dimensions(folder: str, strict_case: bool = False, sanitize_vendor_key: bool = False,
+                       **dims: DataFrame) -> dict[str, Prepared]:
+    """``prepare`` for the dimensions of ``enrich_shipments`` (vendors, routes, risk, lanes, holidays, weather)."""
+    return {kind: prepare(d, kind, f"{folder}/{kind}", strict_case, sanitize_vendor_key) for kind, d in dims.items()}
+
+
+def _one_per_key(dim: DataFrame | Prepared, kind: str, options: tuple = (), keep: Callable = cut_lineage) -> DataFrame:
+    """Rows of a dimension with one row per key. ``keep`` stores those that are not prepared and may grow."""
+    if isinstance(dim, Prepared):
+        if (dim.kind, dim.options) != (kind, options):
+            raise ValueError(f"prepared as {dim.kind} {dim.options}, looked up as {kind} {options}")
+        return dim.rows
+    return keep(_unique(_normalised(dim, kind, options), KEYS[kind]))
+
+
+def _in_plan(dim: DataFrame) -> DataFrame:
+    """Small tables (bounded by the number of countries) stay in the plan."""
+    return dim
 
 
 def lookup(fact: DataFrame, dim: DataFrame, fact_keys: list[Column], dim_keys: list[str],
@@ -40,7 +109,7 @@ def lookup(fact: DataFrame, dim: DataFrame, fact_keys: list[Column], dim_keys: l
 
     ``take`` maps output name -> (dim column, default on miss). The dim key
     columns are renamed with ``prefix`` so repeated lookups never collide.
-    ``dim`` has one row per key (``_stored``, ``_unique``).
+    ``dim`` has one row per key (``_one_per_key``).
     """
     d = dim.select(
         *[F.col(k).alias(f"{prefix}{k}") for k in dim_keys],
@@ -60,7 +129,7 @@ def _norm(c: Column, strict_case: bool) -> Column:
 
 
 # J1 / J8 ----------------------------------------------------------------
-def join_vendor(fact: DataFrame, vendors: DataFrame, vendor_key: str = "vendor_name",
+def join_vendor(fact: DataFrame, vendors: DataFrame | Prepared, vendor_key: str = "vendor_name",
                 sanitize_dimension_key: bool = False) -> DataFrame:
     """Vendor stats by name; miss -> rate .5, delay 2.0, count 0.
 
@@ -68,10 +137,8 @@ def join_vendor(fact: DataFrame, vendors: DataFrame, vendor_key: str = "vendor_n
     ``sanitize_dimension_key`` applies the request sanitizer to the table key
     too, so that names such as 'A&B' still match a sanitized request.
     """
-    v = vendors
-    if sanitize_dimension_key:
-        v = v.withColumn("vendor_name", X.sanitize_text("vendor_name"))
-    return lookup(fact, _stored(v, ["vendor_name"]), [F.col(vendor_key)], ["vendor_name"], {
+    v = _one_per_key(vendors, "vendors", (sanitize_dimension_key,))
+    return lookup(fact, v, [F.col(vendor_key)], ["vendor_name"], {
         "vendor_on_time_rate": ("on_time_rate", C.VENDOR_DEFAULT_ON_TIME_RATE),
         "vendor_avg_delay_days": ("avg_delay_days", C.VENDOR_DEFAULT_AVG_DELAY_DAYS),
         "vendor_total_shipments": ("total_shipments", C.VENDOR_DEFAULT_TOTAL_SHIPMENTS),
@@ -79,16 +146,17 @@ def join_vendor(fact: DataFrame, vendors: DataFrame, vendor_key: str = "vendor_n
 
 
 # J2 ---------------------------------------------------------------------
-def join_route(fact: DataFrame, routes: DataFrame, origin: str = "origin_city",
+def join_route(fact: DataFrame, routes: DataFrame | Prepared, origin: str = "origin_city",
                destination: str = "destination_city") -> DataFrame:
-    return lookup(fact, _stored(routes, ["origin", "destination"]), [F.col(origin), F.col(destination)], ["origin", "destination"], {
+    r = _one_per_key(routes, "routes")
+    return lookup(fact, r, [F.col(origin), F.col(destination)], KEYS["routes"], {
         "route_avg_delay_days": ("avg_delay_days", C.ROUTE_DEFAULT_AVG_DELAY_DAYS),
         "route_historical_count": ("historical_count", C.ROUTE_DEFAULT_HISTORICAL_COUNT),
     }, "_r_")
 
 
 # J3 / J4 ----------------------------------------------------------------
-def join_country_risk(fact: DataFrame, risk: DataFrame, country: str, side: str,
+def join_country_risk(fact: DataFrame, risk: DataFrame | Prepared, country: str, side: str,
                       strict_case: bool = False, upper_fact: bool = True) -> DataFrame:
     """Country risk for one side ('origin' or 'destination').
 
@@ -97,7 +165,7 @@ def join_country_risk(fact: DataFrame, risk: DataFrame, country: str, side: str,
     the default normalises both sides with upper(trim()).
     """
     fk = F.upper(F.col(country)) if upper_fact else F.col(country)
-    r = _unique(risk.withColumn("country_code", _norm(F.col("country_code"), strict_case)), ["country_code"])
+    r = _one_per_key(risk, "risk", (strict_case,), _in_plan)
     take = {
         f"{side}_lpi_score": ("lpi_score", C.COUNTRY_DEFAULT_LPI),
         f"{side}_customs_tier": ("customs_tier", C.COUNTRY_DEFAULT_CUSTOMS_TIER),
@@ -109,33 +177,33 @@ def join_country_risk(fact: DataFrame, risk: DataFrame, country: str, side: str,
 
 
 # J5 ---------------------------------------------------------------------
-def join_trade_lane(fact: DataFrame, lanes: DataFrame, origin: str = "origin_country",
+def join_trade_lane(fact: DataFrame, lanes: DataFrame | Prepared, origin: str = "origin_country",
                     destination: str = "destination_country", strict_case: bool = False,
                     upper_fact: bool = True) -> DataFrame:
     o = F.upper(F.col(origin)) if upper_fact else F.col(origin)
     d = F.upper(F.col(destination)) if upper_fact else F.col(destination)
-    ln = lanes.withColumns({"origin_country": _norm(F.col("origin_country"), strict_case),
-                            "destination_country": _norm(F.col("destination_country"), strict_case)})
-    ln = _unique(ln, ["origin_country", "destination_country"])
+    ln = _one_per_key(lanes, "lanes", (strict_case,), _in_plan)
     return lookup(fact, ln, [_norm(o, strict_case), _norm(d, strict_case)],
                   ["origin_country", "destination_country"],
                   {"lane_avg_customs_days": ("avg_customs_days", C.LANE_DEFAULT_CUSTOMS_DAYS)}, "_l_")
 
 
 # J6 ---------------------------------------------------------------------
-def join_weather(fact: DataFrame, weather: DataFrame, city: str = "origin_city",
+def join_weather(fact: DataFrame, weather: DataFrame | Prepared, city: str = "origin_city",
                  date: str = "planned_departure_date") -> DataFrame:
     """Weather risk by (origin city, ISO date text); miss or null date -> 0.1.
 
     The weather table grows with city-days, so no hint: broadcast only
-    when the planner / AQE measure it small, else a shuffle join.
+    when the planner / AQE measure it small, else a shuffle join. Where days
+    were fetched twice, ``load_seq`` decides (the first load wins, S4).
     """
-    return lookup(fact, _stored(weather, ["origin_city", "departure_date"]), [F.col(city), X.date_key(F.col(date))], ["origin_city", "departure_date"],
+    w = _one_per_key(weather, "weather")
+    return lookup(fact, w, [F.col(city), X.date_key(F.col(date))], KEYS["weather"],
                   {"weather_risk_score": ("weather_risk_score", C.WEATHER_DEFAULT_RISK)}, "_w_")
 
 
 # J7 ---------------------------------------------------------------------
-def holiday_flag(fact: DataFrame, holidays: DataFrame, country: str = "origin_country",
+def holiday_flag(fact: DataFrame, holidays: DataFrame | Prepared, country: str = "origin_country",
                  date: str = "planned_departure_date", out: str = "is_origin_holiday",
                  strict_case: bool = False, upper_fact: bool = True) -> DataFrame:
     """1 when (country, date) is in the calendar, else 0 (mark join).
@@ -144,9 +212,11 @@ def holiday_flag(fact: DataFrame, holidays: DataFrame, country: str = "origin_co
     existence test.
     """
     fk = F.upper(F.col(country)) if upper_fact else F.col(country)
-    keys = (holidays.select(_norm(F.col("country_code"), strict_case).alias("_h_c"),
-                            F.col("holiday_date").cast("date").alias("_h_d"))
-            .distinct().withColumn("_h_hit", F.lit(1)))
+    if isinstance(holidays, Prepared):
+        days = _one_per_key(holidays, "holidays", (strict_case,))
+    else:
+        days = _normalised(holidays, "holidays", (strict_case,)).select(*KEYS["holidays"]).distinct()
+    keys = days.select(F.col("country_code").alias("_h_c"), F.col("holiday_date").alias("_h_d"), F.lit(1).alias("_h_hit"))
     j = fact.join(keys, (_norm(fk, strict_case) == F.col("_h_c")) & (F.col(date).cast("date") == F.col("_h_d")), "left")
     return j.select(*fact.columns, F.coalesce(F.col("_h_hit"), F.lit(0)).alias(out))
 
@@ -162,8 +232,8 @@ def missing_weather_pairs(pairs: DataFrame, done: DataFrame, city: str = "city",
 # J12 --------------------------------------------------------------------
 
 
-def enrich_shipments(requests: DataFrame, vendors: DataFrame, routes: DataFrame, risk: DataFrame,
-                     lanes: DataFrame, holidays: DataFrame, weather: DataFrame,
+def enrich_shipments(requests: DataFrame, vendors: DataFrame | Prepared, routes: DataFrame | Prepared, risk: DataFrame | Prepared,
+                     lanes: DataFrame | Prepared, holidays: DataFrame | Prepared, weather: DataFrame | Prepared,
                      strict_case: bool = False, sanitize_vendor_key: bool = False,
                      keep: tuple[str, ...] = ()) -> DataFrame:
     """Scoring-path enrichment: requests -> the 27 model features.

@@ -15,11 +15,12 @@ from ..functions import expressions as X
 def dedupe_keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Primary-key conflict: keep the first row per key by ``order``.
 
-    Written as an aggregate (min over a struct led by the order columns)
-    instead of a row_number window: the aggregate combines map-side, so a
-    key holding a third of all rows is reduced in every task before the
-    shuffle instead of being sorted in one task. Ties on ``order`` are broken
-    by the remaining columns, so the result is deterministic.
+    An aggregate (min over a struct led by the order columns), not a
+    row_number window: each task first reduces its own rows, so a key that
+    holds a third of all rows reaches the shuffle as one row a task. A struct
+    does not fit a hash aggregate's buffer, so each task sorts its rows by key
+    (spilling to disk) instead. Ties on ``order`` are broken by the remaining
+    columns, so the result is deterministic.
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
     packed = F.min(F.struct(*[F.col(c) for c in order + rest])).alias("_first")

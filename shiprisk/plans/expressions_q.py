@@ -309,9 +309,9 @@ _TRAIN_FIX = ["raw_orders", "country_risk", "trade_lanes", "weather_historical",
 
 
 def training_table(spark, sf):
-    return TR.build_training_table(td.raw_orders(spark, sf), td.country_risk(spark, sf), td.trade_lanes(spark, sf),
-                                   td.weather_historical(spark, sf), td.vendor_stats(spark, sf),
-                                   td.route_stats(spark, sf))
+    from .enrichment import _dims
+    dims = {k: d for k, d in _dims(spark, sf, strict_case=True).items() if k != "holidays"}
+    return TR.build_training_table(td.raw_orders(spark, sf), **dims)
 
 
 @register("build_training_table", _TRAIN_FIX, _TRAIN_SQL)

@@ -290,7 +290,7 @@ def q_batch_predict(spark, sf):
     model = fitted(spark, sf)
     checked = Q.validate_shipments(td.typed_shipments(spark, sf), AS_OF)
     valid = checked.where("is_valid").drop("errors", "is_valid")
-    feats = E.enrich_shipments(valid, sanitize_vendor_key=True, **_dims(spark, sf))
+    feats = E.enrich_shipments(valid, sanitize_vendor_key=True, **_dims(spark, sf, sanitize_vendor_key=True))
     scored = MP.score_shipments(feats, model)
     path = FS.scratch_path(spark, "batch-log")
     SK.append_prediction_log(scored, path)

@@ -13,6 +13,7 @@ from .. import schemas as SC
 from ..models.assemble import score_assemble
 from ..operators import enrich as E
 from ..operators import quality as Q
+from ..sources import dimensions as DL
 from ..sources import files as FS
 from ..sources import sinks as SK
 from ..sources import testdata as td
@@ -127,6 +128,71 @@ def q_check_constraints(spark, sf):
             .crossJoin(good_s.agg(F.count(F.lit(1)).alias("strict_good_rows"))))
 
 
+def _risk_file(spark, sf) -> str:
+    """A country-risk CSV derived from events, rows in event order: repeated keys, null keys, text that is no number, values
+    outside the checks."""
+    path = FS.scratch_path(spark, "risk-csv")
+    ev = td.events(spark, sf).repartitionByRange("event_id").sortWithinPartitions("event_id")
+    k = F.col("event_id")
+    lpi = (F.lit(1.0) + (k % 50) / 10).cast("string")
+    ev.select(F.when(k % 97 != 0, F.concat(F.col("event_type"), F.lit("_"), F.col("user_id"))).alias("code"),
+              F.when(k % 89 != 0, lpi).otherwise("n/a").alias("lpi"), (k % 5).alias("tier"),
+              ((k % 21) / 20).alias("risk"), F.col("value").alias("congestion")).write.option("header", True).csv(path)
+    return path
+
+
+_RISK_FILE_SQL = """
+SELECT *, bad_text OR country_code IS NULL OR broken AS bad FROM (
+  SELECT *, event_id % 89 = 0 AS bad_text,
+         coalesce(NOT lpi_score <= 5.0, false) OR NOT customs_tier BETWEEN 1 AND 4 OR NOT port_congestion >= 0.0 AS broken FROM (
+    SELECT event_id, CASE WHEN event_id % 97 <> 0 THEN concat(event_type, '_', CAST(user_id AS VARCHAR)) END AS country_code,
+           CASE WHEN event_id % 89 <> 0 THEN CAST(1 AS DOUBLE) + CAST(event_id % 50 AS DOUBLE) / CAST(10 AS DOUBLE) END AS lpi_score,
+           CAST(event_id % 5 AS INTEGER) AS customs_tier, CAST(event_id % 21 AS DOUBLE) / CAST(20 AS DOUBLE) AS geopolitical_risk,
+           value AS port_congestion FROM events_ts) a) b"""
+
+
+@register("checked_dimension_rows", ["events_ts"], f"""
+SELECT country_code, lpi_score, customs_tier, geopolitical_risk, port_congestion FROM ({_RISK_FILE_SQL}) f WHERE NOT bad
+QUALIFY row_number() OVER (PARTITION BY country_code ORDER BY event_id) = 1""")
+def q_checked_dimension_rows(spark, sf):
+    """A faulty file loaded in quarantine mode; of each key the first good row in file order is stored."""
+    root = FS.scratch_path(spark, "dimensions")
+    DL.load_dimensions(spark, {"country_risk": _risk_file(spark, sf)}, root, "quarantine")
+    return DL.read_dimension(spark, root, "country_risk")
+
+
+@register("load_dimensions", ["events_ts", "vendor_stats"], f"""
+WITH f AS ({_RISK_FILE_SQL}),
+kept AS (SELECT customs_tier FROM f WHERE NOT bad QUALIFY row_number() OVER (PARTITION BY country_code ORDER BY event_id) = 1),
+n AS (SELECT count(*) AS row_count, count(*) FILTER (WHERE bad_text) AS bad_text,
+             count(*) FILTER (WHERE country_code IS NULL) AS null_values, count(*) FILTER (WHERE broken) AS rule_violations,
+             count(*) FILTER (WHERE bad) AS bad_rows FROM f),
+runs AS (SELECT 1 AS run, 'strict' AS mode UNION ALL SELECT 2, 'quarantine' UNION ALL SELECT 3, 'strict'),
+risk AS (SELECT run, mode, 'country_risk' AS table_name, CASE WHEN run = 3 THEN CAST(2 AS BIGINT) ELSE 1 END AS load_id, n.*,
+                CASE WHEN run = 2 THEN row_count - bad_rows - (SELECT count(*) FROM kept) ELSE 0 END AS duplicate_rows,
+                CASE WHEN run = 2 THEN (SELECT count(*) FROM kept) ELSE 0 END AS stored_rows, run = 2 AS committed FROM runs, n),
+vendors AS (SELECT run, mode, 'vendor_stats' AS table_name, CAST(run AS BIGINT) AS load_id, (SELECT count(*) FROM vendor_stats) AS row_count,
+                   0 AS bad_text, 0 AS null_values, 0 AS rule_violations, 0 AS bad_rows, 0 AS duplicate_rows,
+                   (SELECT count(*) FROM vendor_stats) AS stored_rows, true AS committed FROM runs),
+lanes AS (SELECT run, mode, 'trade_lanes' AS table_name, CAST(1 AS BIGINT) AS load_id, 0, 0, 0, 0, 0, 0, 0, false FROM runs)
+SELECT a.*, CASE WHEN table_name = 'country_risk' THEN (SELECT CAST(sum(customs_tier) AS BIGINT) FROM kept) ELSE 0 END AS last_tier_sum
+FROM (SELECT * FROM risk UNION ALL SELECT * FROM vendors UNION ALL SELECT * FROM lanes) a""")
+def q_load_dimensions(spark, sf):
+    """Three loads of a faulty, a clean and an absent file (strict, quarantine, strict again): the report of each, and
+    a sum over the faulty table as it stands at the end (the last load is rejected and leaves it alone)."""
+    root, vendors = FS.scratch_path(spark, "dimensions"), FS.scratch_path(spark, "vendors-csv")
+    td.vendor_stats(spark, sf).write.option("header", True).csv(vendors)
+    files = {"country_risk": _risk_file(spark, sf), "vendor_stats": vendors,
+             "trade_lanes": FS.scratch_path(spark, "absent") + "/trade_lanes.csv"}
+    out = None
+    for run, mode in enumerate(("strict", "quarantine", "strict"), 1):
+        found = DL.load_dimensions(spark, files, root, mode).select(F.lit(run).alias("run"), F.lit(mode).alias("mode"), "*")
+        out = found if out is None else out.unionByName(found)
+    last = DL.read_dimension(spark, root, "country_risk").agg(F.sum("customs_tier").alias("last_tier_sum"))  # one row
+    risk = F.col("table_name") == "country_risk"
+    return out.crossJoin(last).withColumn("last_tier_sum", F.when(risk, F.col("last_tier_sum")).otherwise(0))
+
+
 @register("idempotent_seed", ["vendor_stats"],
           "SELECT vendor_name, on_time_rate, avg_delay_days, total_shipments FROM vendor_stats")
 def q_idempotent_seed(spark, sf):

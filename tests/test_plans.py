@@ -68,3 +68,50 @@ def test_hot_vendor_is_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_prepared_dimensions_are_joined_bare_and_without_a_job(spark, sf):
+    """With dimensions prepared, building an enrichment starts no job, and the plan holds no aggregate over a dimension."""
+    import pytest
+
+    from shiprisk.operators import enrich
+    from shiprisk.plans.enrichment import _dims
+    from shiprisk.sources import testdata as td
+    requests, dims, sc = td.typed_shipments(spark, sf), _dims(spark, sf), spark.sparkContext
+    sc.setJobGroup("building", "enrichment")
+    try:
+        j = enrich.enrich_shipments(requests, **dims)
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert len(sc.statusTracker().getJobIdsForGroup("building")) == 0
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert "Aggregate" not in plan and plan.count("HashJoin") == 7
+    with pytest.raises(ValueError):
+        enrich.enrich_shipments(requests, strict_case=True, **dims)
+
+
+def test_prepared_dimensions_equal_unprepared_ones(spark, tmp_path):
+    """Duplicate, differently written and null keys; the first load wins where loads are numbered."""
+    from shiprisk.operators import enrich
+    fact = spark.createDataFrame([("A&B", "france", "2024-01-01"), ("c", " PERU", None), (None, None, "2024-01-02")],
+                                 "vendor_name string, origin_country string, planned_departure_date string")
+    fact = fact.withColumn("planned_departure_date", fact.planned_departure_date.cast("date"))
+    vendors = spark.createDataFrame([("A&B", 0.9, 1.0, 5), ("A&B", 0.1, 9.0, 7), (None, 0.2, 1.0, 1)],
+                                    "vendor_name string, on_time_rate double, avg_delay_days double, total_shipments int")
+    risk = spark.createDataFrame([("France", 4.0, 1, 0.1, 2.0), ("FRANCE ", 5.0, 1, 0.1, 2.0), ("peru", 2.0, 3, 0.4, 1.0)],
+                                 "country_code string, lpi_score double, customs_tier int, geopolitical_risk double, port_congestion double")
+    days = spark.createDataFrame([("France", "2024-01-01", "x", 1.0), ("FRANCE", "2024-01-01", "y", 1.0)],
+                                 "country_code string, holiday_date string, holiday_name string, risk_weight double")
+    p = enrich.prepare_dimensions(str(tmp_path), sanitize_vendor_key=True, vendors=vendors, risk=risk, holidays=days)
+
+    def looked_up(v, r, h):
+        x = enrich.join_vendor(fact, v, sanitize_dimension_key=True)
+        x = enrich.join_country_risk(x, r, "origin_country", "origin")
+        return sorted(map(str, enrich.holiday_flag(x, h).collect()))
+    assert looked_up(p["vendors"], p["risk"], p["holidays"]) == looked_up(vendors, risk, days)
+    again = enrich.reopen(spark, "risk", f"{tmp_path}/risk")
+    assert again.rows.count() == 2
+    loads = spark.createDataFrame([("X", "2024-01-01", 0.9, 1), ("X", "2024-01-01", 0.95, 0)],
+                                  "origin_city string, departure_date string, weather_risk_score double, load_seq int")
+    stored = enrich.prepare(loads, "weather", f"{tmp_path}/weather").rows
+    assert [r.weather_risk_score for r in stored.collect()] == [0.95] and "load_seq" not in stored.columns

@@ -1,9 +1,8 @@
 """Route geometry (J10, J11, N2-N4) as row-local expressions and equi-joins.
 
-No nested-loop joins: the fuzzy city match turns "a contains b" into an
-equality on substrings (names are at most 64 characters, so a name has at
-most 2,080 substrings), and the sea-lane choice is an ordered CASE chain
-over the fixed rule list, evaluated inside the row.
+No nested-loop joins: the fuzzy city match goes through an index of
+three-character grams and then verifies, and the sea-lane choice is an ordered
+CASE chain over the fixed rule list, evaluated inside the row.
 """
 
 from __future__ import annotations
@@ -22,12 +21,36 @@ def _pt(lat, lon) -> Column:
 
 
 # J10 ----------------------------------------------------------------------
-def substrings(s: Column) -> Column:
-    """All distinct non-empty substrings of ``s``."""
-    n = F.length(s)
-    return F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.transform(F.sequence(i, n), lambda j: F.substring(s, i, j - i + 1)))))
+GRAM = 3
+
+
+def _grams(s: Column, size: int) -> Column:
+    """Distinct grams of one size, as many as the text has places at most; none where the text is shorter."""
+    places = F.when(F.length(s) >= size, F.sequence(F.lit(1), F.length(s) - size + 1))
+    return F.array_distinct(F.transform(F.coalesce(places, F.array().cast("array<int>")), lambda i: F.substring(s, i, size)))
+
+
+def containing(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """Pairs (outer, inner) in which the text of column ``inner`` stands within that of ``outer``.
+
+    An inverted index with verification: an outer text is listed under its
+    grams of up to three characters; an inner text is looked up under that one
+    of its own three-character grams (a shorter text: under itself) which the
+    fewest outer texts hold, and what is found is then compared. Lists carry a
+    hash of the outer text; texts with equal hashes are told apart by the
+    comparison. Null and empty texts pair with nothing; repeated ones count once.
+    """
+    o = outer.select("outer").where("outer <> ''").distinct().withColumn("_id", F.xxhash64("outer"))
+    i = inner.select("inner").where("inner <> ''").distinct()
+    listed = o.select("_id", F.explode(F.concat(*[_grams(F.col("outer"), n) for n in range(1, GRAM + 1)])).alias("_gram"))
+    own = F.when(F.length("inner") < GRAM, F.array("inner")).otherwise(_grams(F.col("inner"), GRAM))
+    wanted = i.select("inner", F.explode(own).alias("_gram"))
+    sizes = listed.join(wanted.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    # a gram that no outer text holds rules the inner text out; the smallest list says so
+    rarest = wanted.join(sizes, "_gram", "left").groupBy("inner").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_best"))
+    looked = rarest.where("_best.n > 0").select("inner", F.col("_best._gram").alias("_gram"))
+    found = listed.join(looked, "_gram").select("_id", "inner").join(o, "_id")
+    return found.where(F.contains("outer", "inner")).select("outer", "inner")
 
 
 def city_coordinates(cities: DataFrame, dictionary: DataFrame, city: str = "city") -> DataFrame:
@@ -35,24 +58,27 @@ def city_coordinates(cities: DataFrame, dictionary: DataFrame, city: str = "city
     entry (lowest ordinal) whose name contains the key or is contained in it.
 
     ``dictionary``: name (lower case), ordinal, lat, lon. Works per distinct
-    key, then joins back, so repeated cities cost one lookup.
+    key, then joins back, so repeated cities cost one lookup. An empty key is
+    contained in every name, and an empty name in every key; a null city and a
+    city that fits no entry get nulls. Of entries with equal names the first counts.
     """
-    keys = cities.select(F.lower(F.trim(F.col(city))).alias("key")).distinct()
-    d = dictionary.select("name", "ordinal", "lat", "lon")
-    exact = keys.join(d.withColumnRenamed("name", "key"), "key").groupBy("key").agg(
-        F.min(F.struct("ordinal", "lat", "lon")).alias("exact"))
-    # dictionary name is a substring of the key
-    key_subs = keys.select("key", F.explode(substrings(F.col("key"))).alias("name"))
-    a = key_subs.join(d, "name").select("key", "ordinal", "lat", "lon")
-    # key is a substring of the dictionary name
-    name_subs = d.select("ordinal", "lat", "lon", F.explode(substrings(F.col("name"))).alias("key"))
-    b = name_subs.join(keys, "key").select("key", "ordinal", "lat", "lon")
-    fuzzy = a.unionByName(b).groupBy("key").agg(F.min(F.struct("ordinal", "lat", "lon")).alias("fuzzy"))
-    best = keys.join(exact, "key", "left").join(fuzzy, "key", "left").select(
-        "key", F.coalesce("exact", "fuzzy").alias("hit"))
-    out = cities.withColumn("key", F.lower(F.trim(F.col(city)))).join(best, "key", "left")
-    return out.select(*cities.columns, F.col("hit.lat").alias("lat"), F.col("hit.lon").alias("lon"),
-                      F.col("hit.ordinal").alias("dictionary_ordinal")).drop("key")
+    keys = cities.select(F.lower(F.trim(F.col(city))).alias("key")).where("key is not null").distinct()
+    d = dictionary.where("name is not null").groupBy("name").agg(F.min(F.struct("ordinal", "lat", "lon")).alias("entry"))
+    looked = keys.join(d.select(F.col("name").alias("key"), F.col("entry").alias("exact")), "key", "left")
+    misses = looked.where("exact is null").select("key")
+    as_outer = containing(misses.select(F.col("key").alias("outer")), d.select(F.col("name").alias("inner")))
+    as_inner = containing(d.select(F.col("name").alias("outer")), misses.select(F.col("key").alias("inner")))
+    pairs = as_outer.select(F.col("outer").alias("key"), F.col("inner").alias("name")).unionByName(
+        as_inner.select(F.col("inner").alias("key"), F.col("outer").alias("name")))
+    found = pairs.join(d, "name").select("key", "entry")
+    first = d.agg(F.min("entry").alias("entry"))  # one row
+    found = found.unionByName(misses.where("key = ''").crossJoin(first))
+    found = found.unionByName(misses.crossJoin(d.where("name = ''").select("entry")))  # at most one row on the right
+    fuzzy = found.groupBy("key").agg(F.min("entry").alias("fuzzy"))
+    best = looked.join(fuzzy, "key", "left").select(F.col("key").alias("_key"), F.coalesce("exact", "fuzzy").alias("_hit"))
+    out = cities.join(best, F.lower(F.trim(F.col(city))) == F.col("_key"), "left")
+    return out.select(*cities.columns, F.col("_hit.lat").alias("lat"), F.col("_hit.lon").alias("lon"),
+                      F.col("_hit.ordinal").alias("dictionary_ordinal"))
 
 
 # J11 ----------------------------------------------------------------------

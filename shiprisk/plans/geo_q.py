@@ -93,6 +93,28 @@ def q_city_coordinates(spark, sf):
     return G.city_coordinates(cities, td.city_dictionary(spark, sf))
 
 
+@register("city_match_index", None, """
+WITH c AS (SELECT 'CITY_' || CAST(c_custkey AS VARCHAR) AS city FROM customer
+           UNION ALL SELECT 'Y_' || CAST(c_custkey AS VARCHAR) FROM customer
+           UNION ALL SELECT CASE WHEN c_custkey % 2 = 0 THEN '  ' END FROM customer WHERE c_custkey <= 10),
+d AS (SELECT 'city_' || CAST(s_suppkey AS VARCHAR) AS name, s_suppkey AS ordinal, s_acctbal AS lat, -s_acctbal AS lon FROM supplier),
+f AS (SELECT k.city, min(d.ordinal) AS ordinal FROM (SELECT DISTINCT city FROM c) k, d
+      WHERE contains(d.name, lower(trim(k.city))) OR contains(lower(trim(k.city)), d.name) GROUP BY k.city)
+SELECT c.city, d.lat, d.lon, coalesce(d.ordinal, -1) AS dictionary_ordinal
+FROM c LEFT JOIN d e ON e.name = lower(trim(c.city)) LEFT JOIN f ON f.city = c.city
+LEFT JOIN d ON d.ordinal = coalesce(e.ordinal, f.ordinal)""")
+def q_city_match_index(spark, sf):
+    """J10 with as many dictionary entries as suppliers and as many names as customers: names that hold an entry, names held by
+    entries, blank and null names."""
+    c, s = td.table(spark, sf, "customer"), td.table(spark, sf, "supplier")
+    k = F.col("c_custkey")
+    cities = (c.select(F.concat(F.lit("CITY_"), k).alias("city")).unionByName(c.select(F.concat(F.lit("Y_"), k).alias("city")))
+              .unionByName(c.where(k <= 10).select(F.when(k % 2 == 0, "  ").alias("city"))))
+    dictionary = s.select(F.concat(F.lit("city_"), F.col("s_suppkey")).alias("name"), F.col("s_suppkey").alias("ordinal"),
+                          F.col("s_acctbal").alias("lat"), (-F.col("s_acctbal")).alias("lon"))
+    return G.city_coordinates(cities, dictionary).fillna(-1, ["dictionary_ordinal"])
+
+
 @register("lane_waypoints", ["city_coordinates", "shipments"], f"""
 SELECT origin_city, destination_city, CAST(i - 1 AS INTEGER) AS idx, w[i].lat AS lat, w[i].lon AS lon,
        CAST(len(w) AS INTEGER) AS n_waypoints

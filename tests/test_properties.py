@@ -99,6 +99,28 @@ def test_city_coordinates_exact_then_contains(spark):
     assert got == {"CITY_20": (3.0, 20), "city_25": (1.0, 2), "por": (5.0, 5), "nowhere": (None, None)}
 
 
+def test_city_match_equals_brute_force(spark):
+    """Empty and null keys, an empty dictionary name, repeated names, 10,000-character names, an extra column named key."""
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("abc") for _ in range(n))
+    long = "x" * 4000 + "müller-stadt" + "y" * 6000
+    cities = [word(rnd.randint(1, 9)) for _ in range(300)] + ["", "  ", None, long, " MÜLLER-STADT ", "é", "zzzz"]
+    names = [(word(rnd.randint(2, 7)), i) for i in range(60)] + [("ller-st", 70), ("é", 71), ("caf\u00e9", 72), (None, 0), ("q" * 10_000, 73)]
+    for extra in ([], [("", 90)]):
+        entries = [(n, i, float(i), -float(i)) for n, i in names + extra]
+        dic = spark.createDataFrame(entries, "name string, ordinal int, lat double, lon double")
+        df = spark.createDataFrame(list(enumerate(cities)), "key int, city string")
+        got = {r.key: r.dictionary_ordinal for r in G.city_coordinates(df, dic).collect()}
+        assert len(got) == len(cities)
+        for at, c in enumerate(cities):
+            k = None if c is None else c.strip(" ").lower()
+            exact = [i for n, i, *_ in entries if n is not None and n == k]
+            near = [i for n, i, *_ in entries if None not in (n, k) and (n in k or k in n)]
+            assert got[at] == (min(exact) if exact else min(near) if near else None), c
+    none = spark.createDataFrame([], "name string, ordinal int, lat double, lon double")
+    assert [r.lat for r in G.city_coordinates(df, none).select("lat").distinct().collect()] == [None]
+
+
 def _naive_auc(pairs):
     pos = [s for s, y in pairs if y == 1]
     neg = [s for s, y in pairs if y == 0]

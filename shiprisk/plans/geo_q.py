@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import expressions as X
 from ..functions import text as TX
+from ..models.assemble import CONTEXT_COLUMNS, score_assemble
+from ..operators import enrich as E
 from ..operators import geo as G
 from ..sources import testdata as td
 from .catalog import register
+from .enrichment import _ENRICH_FIX, _ENRICH_SQL, _dims
+from .ml_q import assemble_select
 
 
 def _pairs(spark, sf):
@@ -180,31 +184,99 @@ def q_polyline_great_circle(spark, sf):
         F.round("pt.lat", 6).alias("lat"), F.round("pt.lon", 6).alias("lon"))
 
 
-@register("route_geometry")
+_ROUTE_SQL = f"""
+WITH r AS (
+  SELECT DISTINCT origin_city, destination_city, origin_country, destination_country, carrier_type FROM requests),
+p AS (
+  SELECT r.*, o.lat AS o_lat, o.lon AS o_lon, d.lat AS d_lat, d.lon AS d_lon,
+         upper(origin_country) = upper(destination_country) AS same
+  FROM r JOIN city_coordinates o ON o.city = r.origin_city JOIN city_coordinates d ON d.city = r.destination_city),
+tagged AS (
+  SELECT *, CASE WHEN same AND carrier_type = 'Ocean' THEN 'none' WHEN same THEN 'direct'
+                 WHEN carrier_type = 'Air' THEN 'arc' ELSE 'sea' END AS branch,
+         CASE WHEN same THEN CASE carrier_type WHEN 'Ocean' THEN '' WHEN 'Air' THEN 'air' ELSE 'road' END
+              WHEN carrier_type = 'Air' THEN 'air' ELSE 'ocean' END AS route_type
+  FROM p),
+ends AS (SELECT DISTINCT o_lat, o_lon, d_lat, d_lon, branch FROM tagged),
+legs AS (
+  SELECT *, CASE branch WHEN 'sea' THEN 8 ELSE 12 END AS steps,
+         [{{'lat': o_lat, 'lon': o_lon}}]
+           || CASE WHEN branch = 'sea' THEN {sql_lane_waypoints("o_lat", "o_lon", "d_lat", "d_lon")}
+                   ELSE []::STRUCT(lat DOUBLE, lon DOUBLE)[] END
+           || [{{'lat': d_lat, 'lon': d_lon}}] AS pts
+  FROM ends WHERE branch IN ('sea', 'direct')),
+points AS (
+  SELECT o_lat, o_lon, d_lat, d_lon, branch, leg * 100 + s AS i,
+         round(pts[leg + 1].lat + (pts[leg + 2].lat - pts[leg + 1].lat) * (CAST(s AS DOUBLE) / steps), 6) AS lat,
+         round(pts[leg + 1].lon + (pts[leg + 2].lon - pts[leg + 1].lon) * (CAST(s AS DOUBLE) / steps), 6) AS lon
+  FROM legs, LATERAL (SELECT unnest(generate_series(0, len(legs.pts) - 2)) AS leg) l,
+       LATERAL (SELECT unnest(generate_series(0, legs.steps)) AS s) t
+  UNION ALL
+  SELECT o_lat, o_lon, d_lat, d_lon, branch, i, {_gc_sql()}
+  FROM ends, LATERAL (SELECT unnest(generate_series(0, 80)) AS i) g WHERE branch = 'arc'),
+shapes AS (
+  SELECT o_lat, o_lon, d_lat, d_lon, branch, list(lat + 0.0 ORDER BY i) AS lats, list(lon + 0.0 ORDER BY i) AS lons
+  FROM points GROUP BY ALL)
+SELECT t.origin_city, t.destination_city, t.origin_country, t.destination_country, t.carrier_type, t.route_type,
+       CAST(coalesce(len(s.lats), 0) AS INTEGER) AS n_points,
+       coalesce(s.lats, []::DOUBLE[]) AS route_lats, coalesce(s.lons, []::DOUBLE[]) AS route_lons
+FROM tagged t LEFT JOIN shapes s USING (o_lat, o_lon, d_lat, d_lon, branch)"""
+
+
+@register("route_geometry", ["requests", "city_coordinates"], _ROUTE_SQL)
 def q_route_geometry(spark, sf):
-    """Polyline and route type per distinct (route, countries, carrier)."""
+    """Polyline and route type per distinct (route, countries, carrier); the polyline's coordinates are rounded to 6 places."""
     r = td.typed_shipments(spark, sf).select("origin_city", "destination_city", "origin_country",
                                              "destination_country", "carrier_type").distinct()
     cc = td.city_coordinates(spark, sf)
     o = cc.select(F.col("city").alias("origin_city"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"))
     d = cc.select(F.col("city").alias("destination_city"), F.col("lat").alias("d_lat"), F.col("lon").alias("d_lon"))
     g = G.route_geometry(r.join(o, "origin_city").join(d, "destination_city"))
+    rounded = lambda axis: F.transform(f"route.{axis}", lambda x: F.round(x, 6) + 0.0)  # noqa: E731 (no negative zeros)
     return g.select("origin_city", "destination_city", "origin_country", "destination_country", "carrier_type",
-                    "route_type", F.size("route").alias("n_points"), "route")
-
-
-@register("explain_prompt")
+                    "route_type", F.size("route").alias("n_points"), rounded("lat").alias("route_lats"),
+                    rounded("lon").alias("route_lons"))
+
+
+_LANGUAGES = [*C.PROMPT_LANGUAGES, "Klingon"]  # the last is none of those allowed
+_CLEAN = lambda c: f"trim(regexp_replace({c}, '[^A-Za-z0-9\\s_-]', '', 'g'), ' ' || chr(9) || chr(10) || chr(13))"
+
+
+_PROMPT_SQL = f"""
+WITH f AS ({_ENRICH_SQL.replace("r.shipment_id,", "r.shipment_id, r.raw_p, r.raw_days, r.reason_index,", 1)}),
+x AS (
+  SELECT f.*, {assemble_select("f", "f.vendor_on_time_rate", key=False)},
+         {_LANGUAGES}[CAST(('0x' || substr(md5(shipment_id), 1, 8)) AS BIGINT) % {len(_LANGUAGES)} + 1] AS asked
+  FROM f)
+SELECT shipment_id, asked AS language, concat_ws(chr(10),
+  'Shipment ' || {_CLEAN("shipment_id")} || ' from ' || {_CLEAN("origin_city")} || ', ' || {_CLEAN("origin_country")} || ' to '
+    || {_CLEAN("destination_city")} || ', ' || {_CLEAN("destination_country")} || ' via vendor ' || {_CLEAN("vendor_name")} || '.',
+  'Carrier type: ' || {_CLEAN("carrier_type")} || '. Distance: ' || CAST(distance_km AS VARCHAR) || ' km. Planned transit: '
+    || CAST(planned_transit_days AS VARCHAR) || ' days.',
+  'Weather risk score: ' || format('{{:.2f}}', weather_risk_score) || '. Hazmat: '
+    || CASE WHEN is_hazmat = 1 THEN 'True' ELSE 'False' END || '. Priority: ' || {_CLEAN("priority_level")} || '.',
+  'Vendor on-time rate: ' || format('{{:.1f}}', vendor_on_time_rate * 100) || '%. Vendor tier: ' || vendor_tier || '.',
+  'Cross-border context: Destination LPI Score is ' || format('{{:.1f}}', destination_lpi_score) || '/5.0. Customs Tier: '
+    || CAST(destination_customs_tier AS VARCHAR) || '/4. Geopolitical Risk: ' || format('{{:.2f}}', destination_geopolitical_risk)
+    || '. Historical avg customs delay for this lane: ' || format('{{:.1f}}', lane_avg_customs_days) || ' days.',
+  'ML prediction - delay: ' || CASE WHEN delay_predicted THEN 'True' ELSE 'False' END || '. Estimated delay: '
+    || CAST(estimated_delay_days AS VARCHAR) || ' days. Reason category: ' || delay_reason || '.',
+  'Adjusted delay probability: ' || format('{{:.1f}}', adjusted_delay_probability * 100) || '%.',
+  'In 2 to 4 sentences, explain why this shipment is predicted to ' || CASE WHEN delay_predicted THEN 'be delayed' ELSE 'arrive on time' END
+    || ' and what the supply chain manager should do about it, specifically addressing any customs or geopolitical risks if applicable.',
+  'IMPORTANT: You MUST write your explanation in the ' || CASE WHEN asked = 'Klingon' THEN 'English' ELSE asked END || ' language.') AS prompt
+FROM x"""
+
+
+@register("explain_prompt", _ENRICH_FIX, _PROMPT_SQL)
 def q_explain_prompt(spark, sf):
     """P20: the sanitized explanation prompt per scored shipment (no model call)."""
-    from ..models.assemble import CONTEXT_COLUMNS, score_assemble
-    from ..operators import enrich as E
-    from .enrichment import _dims
     feats = E.enrich_shipments(td.typed_shipments(spark, sf), keep=("raw_p", "raw_days", "reason_index"),
                                **_dims(spark, sf))
     shown = ("vendor_name", "origin_city", "origin_country", "destination_city", "destination_country",
              "carrier_type", "priority_level", "distance_km", "is_hazmat", "planned_transit_days",
              "weather_risk_score") + CONTEXT_COLUMNS
     rec = score_assemble(feats, keep=shown)
-    lang = F.element_at(F.array(*[F.lit(x) for x in C.PROMPT_LANGUAGES + ["Klingon"]]),
-                        (F.abs(F.hash("shipment_id")) % (len(C.PROMPT_LANGUAGES) + 1) + 1).cast("int"))
+    asked = F.conv(F.substring(F.md5("shipment_id"), 1, 8), 16, 10).cast("long") % len(_LANGUAGES) + 1
+    lang = F.element_at(F.array(*map(F.lit, _LANGUAGES)), asked.cast("int"))
     return rec.select("shipment_id", lang.alias("language"), TX.explain_prompt(lang).alias("prompt"))

@@ -145,10 +145,9 @@ def q_reason_labels(spark, sf):
     return g.select("shipment_id", "reason_index", MP.reason_labels("reason_index").alias("delay_reason"))
 
 
-def assemble_select(a: str = "g") -> str:
-    """SQL select list of the result record from raw outputs on alias ``a`` and vendor alias v."""
-    rate = "COALESCE(v.on_time_rate, 0.5)"
-    return f"""{a}.shipment_id, {a}.raw_p >= 0.5 AS delay_predicted, {a}.raw_p AS delay_probability,
+def assemble_select(a: str = "g", rate: str = "COALESCE(v.on_time_rate, 0.5)", key: bool = True) -> str:
+    """SQL select list of the result record from raw outputs on alias ``a`` and the vendor's rate; ``key``: with the id and rate."""
+    return f"""{f"{a}.shipment_id, " if key else ""}{a}.raw_p >= 0.5 AS delay_predicted, {a}.raw_p AS delay_probability,
        greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE),
          CASE WHEN {rate} >= 0.65 THEN {a}.raw_p + -0.1
               WHEN {rate} >= 0.50
@@ -158,8 +157,8 @@ def assemble_select(a: str = "g") -> str:
             ELSE CAST(0 AS DOUBLE) END AS estimated_delay_days,
        CASE WHEN {a}.raw_p >= 0.5 THEN ['WEATHER', 'VENDOR', 'ROUTE', 'CUSTOMS'][{a}.reason_index + 1] ELSE '' END
          AS delay_reason,
-       CASE WHEN {rate} >= 0.65 THEN 'EXCELLENT' WHEN {rate} >= 0.50 THEN 'AVERAGE' ELSE 'POOR' END AS vendor_tier,
-       {rate} AS vendor_on_time_rate"""
+       CASE WHEN {rate} >= 0.65 THEN 'EXCELLENT' WHEN {rate} >= 0.50 THEN 'AVERAGE' ELSE 'POOR' END AS vendor_tier
+       {f", {rate} AS vendor_on_time_rate" if key else ""}"""
 
 
 _ASSEMBLE_SQL = f"""

@@ -8,12 +8,17 @@ have not seen its fold, so later models learn from what they will meet.
 
 Features are the distinct words of the whole text and their prefixes of four
 to six letters, hashed to 64 bits; a category keeps those whose rate differs
-most between its positive and negative rows. The models are fitted on a
+most between its positive and negative rows. They are chosen for each fold's
+model from the rows outside the fold, so out-of-fold predictions rest on
+nothing seen of the row's own fold. The models are fitted on a
 bounded sample of labelled rows (``sample``, the lowest hashes of the id);
 each of the folds' models is fitted in a task of its own, and every document
 is scored. A document is toxic from the probability on that gives the
 out-of-fold predictions of the sample the best F1. The categories of the query are junk (quality 0), toxic (toxic 1)
-and severe (toxic, with more signs of toxicity than the median toxic row).
+and severe (toxic, with more signs of toxicity than the median toxic row). The
+given labels hold no other category, so the toxic answer rests on junk and
+toxic alone; severe comes after it, grades toxic rows by signs chosen over all
+folds, and never changes the answer.
 
 Nulls and edge cases: a null or empty text has no features and gets the
 models' base rates. Labels without a document, null labels and repeated
@@ -32,7 +37,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read, ship, slices, stage
@@ -100,18 +105,39 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_c
     return stage(rows.mapInArrow(run, "fold int, " + ", ".join(f"{n} int" for n in names) + ", features array<bigint>"), "sample")
 
 
-def choose_features(rows: DataFrame, category: str, k: int = FEATURES) -> list[int]:
-    """The features whose rates in positive and negative rows differ most, by the z of two proportions."""
-    n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum(category), F.lit(0))).first()
-    n0 = n - n1
-    if not n1 or not n0:
-        return []
-    counts = rows.select(F.col(category).alias("y"), F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("all"), F.sum("y").alias("pos"))
-    p = F.col("all") / n
-    z = (F.col("pos") / n1 - (F.col("all") - F.col("pos")) / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    best = counts.where((F.col("pos") >= LEAST_ROWS) & (F.col("all") < n)).withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z) \
-        .orderBy(F.desc("z"), "f").limit(k)
-    return [r["f"] for r in best.select("f").collect()]
+def choose_features(rows: DataFrame, categories: list[str], k: int = FEATURES) -> list[list[list[int]]]:
+    """[model][category]: the features whose rates in positive and negative rows differ most, by the z of two proportions.
+
+    Model m < FOLDS sees the rows outside fold m, the last one all rows. Counts are taken once for each fold.
+    """
+    chosen: list[list[list[int]]] = [[[] for _ in categories] for _ in range(FOLDS + 1)]
+    size = np.zeros((FOLDS, 1 + len(categories)))
+    for fold, *n in rows.groupBy("fold").agg(F.count("*"), *map(F.sum, categories)).collect():  # a row for each fold
+        size[fold] = n
+    in_fold = [F.col("fold") == j for j in range(FOLDS)]
+    counts = rows.select("fold", *categories, F.explode("features").alias("f")).groupBy("f").agg(
+        *(F.count(F.when(x, 1)).alias(f"n{j}_0") for j, x in enumerate(in_fold)),
+        *(F.count(F.when(x & (F.col(c) == 1), 1)).alias(f"n{j}_{i}") for i, c in enumerate(categories, 1) for j, x in enumerate(in_fold)))
+    tests = []
+    for model in range(FOLDS + 1):
+        seen = [j for j in range(FOLDS) if j != model]
+        total = lambda i: sum((F.col(f"n{j}_{i}") for j in seen), F.lit(0))  # noqa: B023, E731 (used at once)
+        n = size[seen].sum(0)
+        for i in range(1, len(categories) + 1):
+            n1, n0 = float(n[i]), float(n[0] - n[i])
+            if not n1 or not n0:
+                continue
+            p = total(0) / (n1 + n0)
+            z = F.abs((total(i) / n1 - (total(0) - total(i)) / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)))
+            fits = (total(i) >= LEAST_ROWS) & (total(0) < n1 + n0)
+            tests.append(F.when(fits, F.struct(F.lit(model).alias("model"), F.lit(i - 1).alias("category"), z.alias("z"))))
+    if tests:
+        best = Window.partitionBy("model", "category").orderBy(F.desc("z"), "f")
+        found = counts.select("f", F.explode(F.array(*tests)).alias("t")).select("f", "t.*").where(F.col("z") >= LEAST_Z) \
+            .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        for r in sorted(found.collect(), key=lambda r: r["rank"]):  # at most k for each model and category
+            chosen[r["model"]][r["category"]].append(r["f"])
+    return chosen
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -143,11 +169,17 @@ def logistic(rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, y: np.ndarra
 
 
 class Chain:
-    """``features``: hash -> column; ``weights[category][fold]``, the last of each fitted on all folds."""
+    """``features``: hash -> column; ``weights[category][fold]``, the last of each fitted on all folds.
+
+    ``own[model]``: which columns the model of that number may use.
+    """
 
-    def __init__(self, categories: tuple[str, ...], features: list[int]):
+    def __init__(self, categories: tuple[str, ...], features: list[list[int]]):
         self.categories, self.weights, self.threshold = categories, [], 0.5
-        self.column = {f: i for i, f in enumerate(features)}
+        self.column = {f: i for i, f in enumerate(dict.fromkeys(f for fs in features for f in fs))}
+        self.own = np.zeros((len(features), len(self.column)), bool)
+        for model, fs in enumerate(features):
+            self.own[model, [self.column[f] for f in fs]] = True
 
     def coordinates(self, features: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         rows, cols = [], []
@@ -175,6 +207,7 @@ def _fitter(chain: Chain, category: str):
         group = group[group.fold != model]
         r, c = chain.coordinates(list(group.features))
         earlier = chain.probabilities(r, c, group.fold.to_numpy())
+        r, c = r[chain.own[model, c]], c[chain.own[model, c]]
         return pd.DataFrame({"model": [model], "w": [logistic(r, c, earlier, group[category].to_numpy(float), len(chain.column))]})
 
     return fit
@@ -199,10 +232,13 @@ def choose_threshold(rows: DataFrame, chain: Chain, category: str) -> float:
     return float(best[len(best) // 2]) / BINS
 
 
-def fit_chain(rows: DataFrame, categories: tuple[str, ...], features: list[int]) -> Chain:
-    """``rows``: fold, a 0/1 column for each category, features. At most ``sample`` rows are in a group."""
+def fit_chain(rows: DataFrame, categories: tuple[str, ...], features: list[list[int]]) -> Chain:
+    """``rows``: fold, a 0/1 column for each category, features; ``features``: those of each model.
+
+    At most ``sample`` rows are in a group.
+    """
     chain = Chain(categories, features)
-    size = len(features)
+    size = len(chain.column)
     copies = rows.withColumn("model", F.explode(F.array(*map(F.lit, range(FOLDS + 1)))))
     for category in categories:
         fits = copies.groupBy("model").applyInPandas(_fitter(chain, category), "model int, w array<double>")
@@ -217,7 +253,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     ship(docs.sparkSession)
     marked = labels.select(F.col("doc_id").alias("label_id"), (F.col("quality") == 0).cast("int").alias("junk"), (F.col("toxic") == 1).cast("int").alias("toxic"))
     rows = sampled(docs, marked, sample, id_col, text_col)
-    signs = choose_features(rows, "toxic")
+    first = choose_features(rows, ["junk", "toxic"])
+    signs = first[FOLDS][1]
     if signs:
         n_signs = F.size(F.array_intersect("features", F.array(*map(F.lit, signs))))
         rows = stage(rows.withColumn("signs", F.when(F.col("toxic") == 1, n_signs)), "sample")
@@ -225,8 +262,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         rows = rows.withColumn("severe", F.coalesce((F.col("signs") > F.lit(middle)).cast("int"), F.lit(0)))
     else:
         rows = rows.withColumn("severe", F.lit(0))
-    features = list(dict.fromkeys([*choose_features(rows, "junk"), *signs, *choose_features(rows, "severe")]))
-    keep = F.array(*map(F.lit, features)).cast("array<bigint>")
+    last = choose_features(rows, ["severe"])
+    features = [[*f[0], *f[1], *s[0]] for f, s in zip(first, last)]
+    keep = F.array(*map(F.lit, dict.fromkeys(f for fs in features for f in fs))).cast("array<bigint>")
     slim = stage(rows.select("fold", *CHAIN, F.array_intersect("features", keep).alias("features")), "sample")
     chain = fit_chain(slim, CHAIN, features)
     chain.threshold = choose_threshold(slim, chain, "toxic")

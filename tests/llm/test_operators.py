@@ -255,12 +255,30 @@ def test_parts_of_runs_are_tested(spark):
 
 def test_randomness_battery():
     rng = random.Random(4)
-    p = [secret_scan.combined(secret_scan.battery("".join(rng.choices("0123456789abcdef", k=40)))[1]) for _ in range(300)]
-    assert sum(x < 0.01 for x in p) <= 15
-    assert secret_scan.combined(secret_scan.battery("abababababababababababababababab12")[1]) < 1e-6
+    for k, n, draws in [(0, 20, 8000), (5, 32, 8000), (5, 50, 8000), (6, 128, 4000), (7, 64, 4000)]:
+        tested = [secret_scan.battery("".join(rng.choices(secret_scan.ALPHABETS[k], k=n))) for _ in range(draws)]
+        p = [np.exp(x[1]) for x in tested if x[0] == k]
+        for level in (0.1, 0.01, 0.001):
+            expected = level * len(p)
+            assert abs(sum(x < level for x in p) - expected) <= 0.2 * expected + 4 * expected ** 0.5 + 1, (k, n, level)
+    assert secret_scan.battery("abababababababababababababababab12")[1] < np.log(1e-6)
     assert secret_scan.battery("no encoding!") is None
 
 
+def test_planted_keys_against_identifiers(spark):
+    rng = random.Random(8)
+    own = "alpha beta gamma delta report invoice customer balance planning river mountain garden window".split()
+    camel = lambda n: "get" + "".join(rng.choice(own).capitalize() for _ in range(n)) + rng.choice(["", "2"])
+    names = ["getUserAccountInformation2"] + [camel(rng.randrange(4, 9)) for _ in range(150)] + ["_".join(rng.choices(own, k=6)) for _ in range(150)]
+    keys = ["".join(rng.choices(secret_scan.ALPHABETS[rng.choice([2, 5, 5, 6])], k=rng.choice([20, 24, 32, 40, 64]))) for _ in range(100)]
+    texts = [f"see {x} here" for x in names + keys] + [" ".join(rng.choices(own, k=80)) for _ in range(200)]
+    got = [bool(r.spans) for r in sorted(secret_scan.find_secrets(documents(spark, texts)).collect(), key=lambda r: r.doc_id)]
+    false, found = sum(got[:len(names)]), sum(got[len(names):len(names) + len(keys)])
+    assert not got[0] and found >= 90 and false <= 0.1 * (false + found) and not any(got[len(names) + len(keys):])
+    kept = {r.doc_id: r.text for r in secret_scan.redact(documents(spark, texts)).collect()}
+    assert all((kept[i] != t) == got[i] for i, t in enumerate(texts))
+
+
 def brute_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     if not words:

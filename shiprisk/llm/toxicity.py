@@ -182,12 +182,15 @@ class Chain:
             self.own[model, [self.column[f] for f in fs]] = True
 
     def coordinates(self, features: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        rows, cols = [], []
-        for i, fs in enumerate(features):
-            known = [self.column[f] for f in fs if f in self.column]
-            rows += [i] * len(known)
-            cols += known
-        return np.array(rows, np.int64), np.array(cols, np.int64)
+        """(row, column) of each known feature, in the order given."""
+        sizes = np.fromiter(map(len, features), np.int64, len(features))
+        flat = np.concatenate([np.zeros(0, np.int64), *(np.asarray(fs, np.int64) for fs in features)])
+        known = np.fromiter(self.column, np.int64, len(self.column))
+        order = np.argsort(known)
+        at = np.searchsorted(known, flat, sorter=order)
+        hit = at < len(known)
+        hit[hit] = known[order[at[hit]]] == flat[hit]
+        return np.repeat(np.arange(len(features)), sizes)[hit], order[at[hit]]
 
     def probabilities(self, rows: np.ndarray, cols: np.ndarray, fold: np.ndarray) -> np.ndarray:
         """(rows, categories fitted so far): each row by the models of its fold's number."""
@@ -273,8 +276,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
 def _scorer(chain: Chain):
     """texts -> (rows, categories) probabilities by the models of all folds."""
+    column = {f: c for f, c in chain.column.items() if chain.own[FOLDS, c]}  # the other columns have no weight here
+
     def columns(token: str) -> list[int]:
-        return [chain.column[f] for f in word_features(token) if f in chain.column]
+        return [column[f] for f in word_features(token) if f in column]
 
     memo = Memo(columns)
 

@@ -2,10 +2,10 @@
 
 ``match_outcomes`` joins a stored prediction log with deliveries that come in
 later. One delivery a shipment is taken (the first), so the join makes at
-most one row for each logged prediction. What it gives is written once, so
-that Spark may split the join's skewed keys and combines a shipment's
-predictions before they are shuffled: a shipment that was scored very often
-does not end in one task.
+most one row for each logged prediction. What it gives is written once (as
+Parquet: two numbers and the id), so that Spark may split the join's skewed
+keys and combines a shipment's predictions before they are shuffled: a
+shipment that was scored very often does not end in one task.
 
 A training profile is one row for each bin of each feature: numbers fall into
 ``BINS`` equal steps between the training minimum and maximum, categories are
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..sources.files import scratch_path
 
 BINS = 20
 #: Shares are floored at this in the stability index.
@@ -39,15 +39,39 @@ def match_outcomes(log: DataFrame, deliveries: DataFrame, as_of, horizon_days: i
     """
     until = F.lit(as_of).cast("timestamp")
     first = deliveries.where((F.col("delivered_at") <= until) & F.col("shipment_id").isNotNull()).groupBy(F.col("shipment_id").alias("_id")) \
-        .agg(F.min(F.struct("delivered_at", "late")).alias("_d"))
+        .agg(F.min(_packed("delivered_at", "late")).alias("_d"))
     joined = log.where("shipment_id is not null").join(first, F.col("shipment_id") == F.col("_id"), "left")
-    at = F.col("_d.delivered_at")
+    at = _time("_d")
     recent = F.coalesce((F.col("predicted_at") <= at) & (F.col("predicted_at") >= at - F.expr(f"interval {int(horizon_days)} days")), F.lit(False))
-    last = F.max(F.struct(recent.alias("recent"), "predicted_at", "predicted")).alias("p")
-    joined = cut_lineage(joined.select("shipment_id", "predicted_at", "predicted", "_d"))
-    kept = joined.groupBy("shipment_id").agg(last, F.max("_d").alias("d"))
-    status = F.when(F.col("d").isNull(), "pending").when(F.col("p.recent"), "matched").otherwise("stale")
-    return kept.select("shipment_id", "p.predicted_at", "p.predicted", "d.delivered_at", "d.late", status.alias("status"))
+    joined = joined.select("shipment_id", (_packed("predicted_at", "predicted") + F.when(recent, RECENT).otherwise(0)).alias("_p"), "_d")
+    path = scratch_path(log.sparkSession, "matched")
+    joined.write.parquet(path)
+    kept = log.sparkSession.read.parquet(path).groupBy("shipment_id").agg(F.max("_p").alias("_p"), F.max("_d").alias("_d"))
+    recent = F.col("_p") >= UNDATED + RECENT
+    kept = kept.select("shipment_id", "_d", recent.alias("_recent"), (F.col("_p") - F.when(recent, RECENT).otherwise(0)).alias("_p"))
+    status = F.when(F.col("_d").isNull(), "pending").when(F.col("_recent"), "matched").otherwise("stale")
+    return kept.select("shipment_id", _time("_p").alias("predicted_at"), _flag("_p").alias("predicted"),
+                       _time("_d").alias("delivered_at"), _flag("_d").alias("late"), status.alias("status"))
+
+
+#: Below and above every packed time (a year has 1e14 thirds of a microsecond).
+UNDATED, RECENT = -(1 << 60), 1 << 61
+
+
+def _packed(time: str, flag: str) -> Column:
+    """(time, flag) as one whole number in the same order, nulls first: aggregates of numbers are hashed, those of structs sort all rows."""
+    code = F.when(F.col(flag), 2).when(~F.col(flag), 1).otherwise(0)
+    return F.coalesce(F.unix_micros(F.col(time).cast("timestamp")) * 3, F.lit(UNDATED)) + code
+
+
+def _time(packed: str) -> Column:
+    p = F.col(packed)
+    return F.when(p >= UNDATED + 3, F.timestamp_micros(F.expr(f"(`{packed}` - pmod(`{packed}`, 3L)) div 3L")))
+
+
+def _flag(packed: str) -> Column:
+    code = F.pmod(F.col(packed) - F.when(F.col(packed) < UNDATED + 3, UNDATED).otherwise(0), F.lit(3))
+    return F.when(code > 0, code == 2)
 
 
 def outcome_rates(matched: DataFrame) -> DataFrame:

@@ -30,7 +30,8 @@ def q_scan_shipments_csv(spark, sf):
     path = FS.scratch_path(spark, "orders-csv")
     raw = td.raw_orders(spark, sf)
     named = raw.select("shipment_id", *[F.col(k).alias(v) for k, v in SC.RAW_ORDER_COLUMNS.items()])
-    named.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    # packed files cannot be split, so their rows are bounded
+    named.write.option("header", True).option("encoding", "ISO-8859-1").option("compression", "gzip").option("maxRecordsPerFile", 1_000_000).csv(path)
     return FS.scan_shipments_csv(spark, path)
 
 

@@ -6,7 +6,9 @@ has passed them, then hands them to a step function, sorted by (event time,
 tie), once and in order, whatever the files, batches and chunk sizes were. A
 timer on the watermark releases the rows of keys that get no more input, and
 drops the state of keys that have been idle. State holds the rows of the last
-``delay`` and one small record for each key.
+``delay`` and one small record for each key. Keys are dealt to ``PARTS`` parts
+by hash, and each call reads and writes the state of one part in bulk: calls
+and state requests in a batch are bounded by the parts, not by the keys.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 #: The process that sets up a stream's state on the driver does not see shipped packages: what is in here travels by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Parts of the keys. A stream's checkpoint depends on it.
+PARTS = 256
+
+
 @dataclass(frozen=True)
 class Step:
     """``run(memory, rows)``: memory is a tuple of ``memory_schema`` or None, rows are (micros, tie, *values) in order;
@@ -38,46 +44,51 @@ class Step:
 
 
 class _InOrder(StatefulProcessor):
-    def __init__(self, step: Step, keys: list[str], values: list[str], value_types: list[str], out: T.StructType):
-        self.step, self.keys, self.values, self.value_types, self.out = step, keys, values, value_types, out
+    """One call serves a part of the keys: their waiting rows and memories are two lists, read and written whole."""
+
+    def __init__(self, step: Step, keys: list[str], key_types: list[str], values: list[str], value_types: list[str], out: T.StructType):
+        self.step, self.keys, self.key_types, self.values, self.value_types, self.out = step, keys, key_types, values, value_types, out
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        columns = ["us long", "tie long", *(f"{v} {t}" for v, t in zip(self.values, self.value_types))]
+        of = [f"k{i} {t}" for i, t in enumerate(self.key_types)]
+        columns = [*of, "us long", "tie long", *(f"{v} {t}" for v, t in zip(self.values, self.value_types))]
         self.waiting = handle.getListState("waiting", ", ".join(columns))
-        self.memory = handle.getValueState("memory", f"last_us long, {self.step.memory_schema}")
-
-    def _advance(self, key: tuple, waiting: list[tuple], watermark_ms: int) -> list[tuple]:
-        """Rows behind the watermark go to the step; what still waits is stored, and a timer set for the next thing to do."""
-        bound = watermark_ms * 1000
-        ready = sorted((r for r in waiting if r[0] <= bound), key=lambda r: r[:2])
-        rest = [r for r in waiting if r[0] > bound]
-        known = self.memory.get() if self.memory.exists() else None
-        out = []
-        if ready:
-            memory, out = self.step.run(tuple(known[1:]) if known else None, ready)
-            known = (ready[-1][0], *memory)
-        again = None
-        if known is not None and self.step.at_time:
-            memory, more, again = self.step.at_time(tuple(known[1:]), bound)
-            known, out = (known[0], *memory), [*out, *more]
-        if known is not None:
-            self.memory.update(tuple(known))
-        if rest:
-            self.waiting.put(rest)
-        elif self.waiting.exists():
-            self.waiting.clear()
+        self.memory = handle.getListState("memory", ", ".join([*of, "last_us long", self.step.memory_schema]))
+
+    def _advance(self, waiting: list[tuple], watermark_ms: int) -> list[tuple]:
+        """Rows behind the watermark go to the step, key by key; what still waits is stored, and a timer set for the next thing to do.
+        Rows are (keys..., micros, tie, values...)."""
+        bound, width = watermark_ms * 1000, len(self.keys)
+        ready: dict[tuple, list[tuple]] = {}
+        for r in sorted((r for r in waiting if r[width] <= bound), key=lambda r: r[width:width + 2]):
+            ready.setdefault(r[:width], []).append(r[width:])
+        rest = [r for r in waiting if r[width] > bound]
+        known = {tuple(m[:width]): tuple(m[width:]) for m in self.memory.get()} if self.memory.exists() else {}
+        had, out, due = bool(known), [], []
+        for key, rows in ready.items():
+            memory, made = self.step.run(known[key][1:] if key in known else None, rows)
+            known[key] = (rows[-1][0], *memory)
+            out += [(*key, *o) for o in made]
+        if self.step.at_time:
+            for key, (last, *memory) in known.items():
+                memory, made, again = self.step.at_time(tuple(memory), bound)
+                known[key] = (last, *memory)
+                out += [(*key, *o) for o in made]
+                due += [again] if again is not None else []
+        known = {key: m for key, m in known.items() if m[0] + self.step.keep_us > bound}
+        for state, rows, before in ((self.memory, [(*key, *m) for key, m in known.items()], had), (self.waiting, rest, True)):
+            if rows:
+                state.put(rows)
+            elif before and state.exists():
+                state.clear()
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        due = ([min(r[0] for r in rest)] if rest else []) + ([again] if again is not None else [])
-        if known is not None:
-            if known[0] + self.step.keep_us <= bound:
-                self.memory.clear()
-            else:
-                due.append(known[0] + self.step.keep_us)
+        due += [min(r[width] for r in rest)] if rest else []
+        due += [min(m[0] for m in known.values()) + self.step.keep_us] if known else []
         if due:  # strictly after the watermark, or it would never fire
             self.handle.registerTimer(max(-(-min(due) // 1000), watermark_ms + 1))
-        return [(*key, *o) for o in out]
+        return out
 
     def _frame(self, rows: list[tuple]) -> pd.DataFrame:
         frame = pd.DataFrame(rows, columns=self.out.names)
@@ -89,15 +100,14 @@ class _InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         waiting = list(map(tuple, self.waiting.get())) if self.waiting.exists() else []
         for pdf in rows:
-            us = pdf["us"].tolist()
-            waiting += zip(us, pdf["tie"].tolist(), *(pdf[v].where(pdf[v].notna(), None).tolist() for v in self.values))
-        out = self._advance(key, waiting, timerValues.getCurrentWatermarkInMs())
+            waiting += zip(*(pdf[k].tolist() for k in self.keys), pdf["us"].tolist(), pdf["tie"].tolist(), *(pdf[v].where(pdf[v].notna(), None).tolist() for v in self.values))
+        out = self._advance(waiting, timerValues.getCurrentWatermarkInMs())
         if out:
             yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
         waiting = list(map(tuple, self.waiting.get())) if self.waiting.exists() else []
-        out = self._advance(key, waiting, timerValues.getCurrentWatermarkInMs())
+        out = self._advance(waiting, timerValues.getCurrentWatermarkInMs())
         if out:
             yield self._frame(out)
 
@@ -112,8 +122,8 @@ def in_time_order(events: DataFrame, keys: list[str], ts: str, tie: str, values:
     types = {f.name: f.dataType for f in rows.schema.fields}
     out = T.StructType([T.StructField(k, types[k]) for k in keys] + step.output.fields)
     sent = rows.select(*keys, ts, F.unix_micros(ts).alias("us"), F.col(tie).cast("long").alias("tie"), *values)
-    processor = _InOrder(step, keys, values, [types[v].simpleString() for v in values], out)
-    return sent.groupBy(*keys).transformWithStateInPandas(processor, out, "Append", "EventTime")
+    processor = _InOrder(step, keys, [types[k].simpleString() for k in keys], values, [types[v].simpleString() for v in values], out)
+    return sent.withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(PARTS))).groupBy("_part").transformWithStateInPandas(processor, out, "Append", "EventTime")
 
 
 def stationary_step(min_us: int, keep_us: int, on_silence: bool = False) -> Step:

@@ -175,3 +175,31 @@ def test_orders_csv_is_packed_in_bounded_files(spark, sf):
     from shiprisk.plans import catalog
     catalog.load_all()
     assert all(f.endswith(".csv.gz") for f in catalog.QUERIES["scan_shipments_csv"](spark, sf).inputFiles())
+
+
+def test_lines_are_shuffled_once_at_any_size(spark, tmp_path):
+    """The deal of the lines is the shuffle of their join with the orders, also where the planner would broadcast; same rows."""
+    from shiprisk.sources import testdata as td
+    spark.sql("select 'a' n_name, 0 n_nationkey union all select 'b', 1").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(3).selectExpr("id s_suppkey", "concat('s', id) s_name", "id % 2 s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(4).selectExpr("id c_custkey", "id % 2 c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(201).selectExpr("if(id = 200, 7, id) o_orderkey", "id % 5 o_custkey", "timestamp'1996-01-02 00:00:00' o_orderdate", "'2-HIGH' o_orderpriority") \
+        .write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(1000).selectExpr("if(id = 999, null, id % 250) l_orderkey", "cast(id % 4 as int) l_linenumber", "id l_partkey", "id % 3 l_suppkey", "1.0D l_quantity",
+                                 "2.0D l_extendedprice").write.parquet(f"{tmp_path}/lineitem.parquet")
+    # order 7 comes twice (customers 2 and 0); orders of customer 4 have no customer row
+    want = sum((2 if i % 250 == 7 else 1) for i in range(999) if i % 250 < 200 and i % 250 % 5 != 4)
+    width, small = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for threshold in (small, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            df = td.build_shipments(spark, str(tmp_path))
+            plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+            assert sum("Exchange hashpartitioning(l_orderkey" in ln for ln in plan) == 1
+            assert not any("Exchange hashpartitioning(concat_ws" in ln for ln in plan)
+            assert any("SortMergeJoin [l_orderkey" in ln for ln in plan)
+            assert df.count() == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    stored = td.shipments(spark, str(tmp_path))
+    assert stored.count() == want and len(stored.inputFiles()) >= width and all(f.endswith(".zstd.parquet") for f in stored.inputFiles())

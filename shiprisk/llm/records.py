@@ -41,6 +41,8 @@ from .tokens import default_vocabulary, encoder
 
 END_ID = 2
 FILE_BYTES = 128 << 20
+#: Words a writing task remembers, about 200 bytes each; it holds little else.
+WORDS = 1_200_000
 INDEX = "doc_id long, file string, offset long, length long, n_ids long, file_no long, row long"
 READ = "doc_id long, file_no long, row long, n_ids long, ids_crc32 long"
 
@@ -167,15 +169,15 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str | None = None, e
         part = TaskContext.get().partitionId()
         fs, root = _file_system(folder)
         out, name, offset, k, row = None, "", 0, 0, 0
-        encode = encoder(vocabulary).encode_many
-        width = 2 if max(len(encoder(vocabulary).packed) - 1, end_id) < 1 << 16 else 4
+        memo = encoder(vocabulary, WORDS)
+        width = 2 if max(len(memo.packed) - 1, end_id) < 1 << 16 else 4
         try:
             for batch in batches:
                 for lo in range(0, batch.num_rows, 256):
                     some = batch.slice(lo, 256)
                     texts = some.column("text").to_pylist()
                     files, offsets, lengths, numbers = [], [], [], []
-                    for record in frame([serialize(np.frombuffer(ids + end, "<u4"), width) for ids in encode(texts)]):
+                    for record in frame([serialize(np.frombuffer(ids + end, "<u4"), width) for ids in memo.encode_many(texts)]):
                         if out is None or offset + len(record) > file_bytes and offset:
                             if out is not None:
                                 out.close()

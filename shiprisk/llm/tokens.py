@@ -5,7 +5,8 @@ follows another character, so a text is a sequence of space-led words whose
 ids do not depend on their neighbours. The library encodes each distinct
 word once per worker; a text's ids are the concatenation. Texts for which
 that does not hold (white space on both sides of a space, or special tokens)
-go through the library whole. The memo holds at most ``MAX_WORDS`` words.
+go through the library whole. The memo holds at most ``MAX_WORDS`` words, or
+as many as its user asks for: a rare word costs far more than a remembered one.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from functools import lru_cache
 import numpy as np
 
 MAX_WORDS = 500_000
+LONG = 64
 _NOT_SPLITTABLE = re.compile(r"\s (?:\s|\Z)")
 _MARKS = string.punctuation
 _LATIN_END = "\u0250"
@@ -34,14 +36,16 @@ def byte_characters() -> list[str]:
 class _Words(dict):
     """word -> ids of the word after a space, learnt when first met."""
 
-    def __init__(self, learn):
+    def __init__(self, learn, most: int | None = None):
         super().__init__()
-        self.learn = learn
+        self.learn, self.most = learn, most
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= MAX_WORDS:
+        if len(self) >= (self.most or MAX_WORDS):
             self.clear()
-        ids = self[word] = self.learn(word)
+        ids = self.learn(word)
+        if len(word) <= LONG:  # longer ones seldom come again, and would fill the memory
+            self[word] = ids
         return ids
 
 
@@ -53,9 +57,9 @@ class WordMemo:
     """Encodes texts word by word. Subclasses give ``whole(text)`` and
     ``stem(word of Latin letters, whether a space leads it)``, as bytes."""
 
-    def __init__(self, special: list[str], splittable: bool):
+    def __init__(self, special: list[str], splittable: bool, most: int | None = None):
         self.special, self.splittable = special, splittable
-        self.words = _Words(self._after_space)
+        self.words = _Words(self._after_space, most)
         self.firsts: dict[str, bytes] = {}
         #: Words that begin with white space, or are empty: only next to them a split may be wrong.
         self.odd: set[str] = set()
@@ -77,7 +81,7 @@ class WordMemo:
         """Ids of a word that no space leads."""
         ids = self.firsts.get(w)
         if ids is None:
-            if len(self.firsts) > MAX_WORDS // 10:
+            if len(self.firsts) > (self.words.most or MAX_WORDS) // 10:
                 self.firsts.clear()
             stem = w.rstrip(_MARKS)
             ids = self.firsts[w] = self.stem(w, False) if _latin(w) \
@@ -92,7 +96,7 @@ class WordMemo:
             self.odd.clear()
         words = text.split(" ")
         ids = self._first(words[0]) + b"".join(map(self.words.__getitem__, words[1:]))
-        if not self.odd.isdisjoint(words) and _NOT_SPLITTABLE.search(text):
+        if self.odd and not self.odd.isdisjoint(words) and _NOT_SPLITTABLE.search(text):
             return self.whole(text)
         return ids
 
@@ -104,7 +108,7 @@ class WordMemo:
 class WordEncoder(WordMemo):
     """Ids by the ``tokenizers`` library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -118,7 +122,7 @@ class WordEncoder(WordMemo):
         self.alphabet = byte_characters()
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.packed = [i.to_bytes(4, "little") for i in range(max(vocab.values()) + 1)]
-        super().__init__([t.content for t in self.tokenizer.get_added_tokens_decoder().values()], byte_level)
+        super().__init__([t.content for t in self.tokenizer.get_added_tokens_decoder().values()], byte_level, most)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -130,9 +134,9 @@ class WordEncoder(WordMemo):
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> WordEncoder:
-    """The worker's encoder for a vocabulary file."""
-    return WordEncoder(path)
+def encoder(path: str, most: int | None = None) -> WordEncoder:
+    """The worker's encoder for a vocabulary file, remembering at most ``most`` words (``MAX_WORDS`` if not given)."""
+    return WordEncoder(path, most)
 
 
 def release() -> None:

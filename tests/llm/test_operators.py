@@ -62,6 +62,19 @@ def test_tokens_equal_the_library(texts):
         assert own.decode(whole) == t
 
 
+def test_a_memo_of_its_own_size_changes_no_ids(monkeypatch):
+    monkeypatch.setattr(tokens, "MAX_WORDS", 20)
+    assert records.WORDS > 1_000_000  # a writing task holds little else
+    memo = tokens.WordEncoder(tokens.default_vocabulary(), 40)
+    rng, sizes = random.Random(8), []
+    for _ in range(60):
+        text = " ".join("".join(rng.choices("abcé,", k=rng.choice([1, 5, 90]))) for _ in range(rng.randint(0, 12)))
+        assert memo.encode(text) == memo.whole(text)
+        sizes.append(len(memo.words))
+        assert all(len(w) <= tokens.LONG for w in memo.words)
+    assert 20 < max(sizes) <= 40
+
+
 def test_full_word_memos_change_no_ids(monkeypatch):
     monkeypatch.setattr(tokens, "MAX_WORDS", 20)
     rng = random.Random(9)

@@ -118,7 +118,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS) ->
     on = (F.col("a") < F.col("b")) & near
     for s in same:
         on = on & s
-    return left.join(right, on).select("a", "b").distinct()
+    # The planner sees the size of ``fps``, not that of its many grid points, and would broadcast them: merged at any size
+    return left.join(right.hint("merge"), on).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, segments: int = SEGMENTS,

@@ -328,6 +328,13 @@ def test_keep_one_by_row(spark):
     assert sorted(r.text for r in simhash.keep_one(clash).collect()) == sorted(texts)
 
 
+def test_grid_points_are_never_broadcast(spark):
+    """A fingerprint is dealt to dozens of grid points, which the planner does not see: their join is merged, also over a small table."""
+    fps = spark.range(1000).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.links(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("bits", [1, 2, 3, 4])
 def test_simhash_links(spark, bits):
     ship(spark)

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from ..sources.files import scratch_path
 
 BINS = 20
+#: Code of a number whose feature had none in training.
+NONE = -2
 #: Shares are floored at this in the stability index.
 LEAST_SHARE = 1e-4
 
@@ -91,29 +93,39 @@ def profile_bounds(train: DataFrame, numeric: list[str]) -> dict[str, tuple[floa
     return {c: (row[f"lo_{c}"], row[f"hi_{c}"]) for c in numeric}
 
 
-def _bin(c: str, bounds: tuple[float | None, float | None]) -> Column:
-    """Steps 0 to BINS - 1; -1 below the training range, BINS above it."""
-    lo, hi = bounds
-    if lo is None:
-        return F.lit("none")
-    x = F.col(c).cast("double")
-    if lo == hi:
-        at = F.when(x < lo, -1).when(x > hi, BINS).otherwise(0)
-    else:
-        at = F.when(x < lo, -1).when(x > hi, BINS).otherwise(F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(BINS))), F.lit(BINS - 1)))
-    return F.when(x.isNotNull(), at.cast("int").cast("string"))
+def _step(feature: Column, x: Column, bounds: dict[str, tuple[float | None, float | None]]) -> Column:
+    """Steps 0 to BINS - 1 of a number of the feature with that position; -1 below the training range, BINS above it; null for null,
+    and NONE where training had no number."""
+    lows, highs = ([b[k] for b in bounds.values()] for k in (0, 1))
+    widths = [None if lo is None else hi - lo for lo, hi in zip(lows, highs)]
+    lo, hi, width = (F.get(F.array(*[F.lit(v).cast("double") for v in vs]), feature) for vs in (lows, highs, widths))
+    at = F.when(x < lo, -1).when(x > hi, BINS).when(lo == hi, 0).otherwise(F.least(F.floor((x - lo) / width * F.lit(float(BINS))), F.lit(BINS - 1)))
+    return F.when(lo.isNull(), NONE).when(x.isNotNull(), at.cast("int"))
 
 
-def binned(df: DataFrame, bounds: dict[str, tuple], categories: list[str], *keep: Column) -> DataFrame:
-    """(keep..., feature, bin): a row for each feature of each row; a null is the bin ``null``."""
-    cells = [F.struct(F.lit(c).alias("feature"), F.coalesce(_bin(c, b), F.lit("null")).alias("bin")) for c, b in bounds.items()]
-    cells += [F.struct(F.lit(c).alias("feature"), F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")).alias("bin")) for c in categories]
-    return df.select(*keep, F.inline(F.array(*cells)))
+def binned_counts(df: DataFrame, bounds: dict[str, tuple], categories: list[str], *keep: str) -> DataFrame:
+    """(keep..., feature, bin, n) of the rows' features; a null is the bin ``null``.
+
+    Each row becomes one row a feature, (position, number, text), before its
+    bin is found: one short expression for all features, which is compiled,
+    and counted by numbers. Names are given to the counts.
+    """
+    if not bounds and not categories:
+        return df.limit(0).select(*keep, F.lit("").alias("feature"), F.lit("").alias("bin"), F.lit(0).cast("long").alias("n"))
+    n, names = len(bounds), [*bounds, *categories]
+    cells = [F.struct(F.lit(i).alias("_i"), F.col(c).cast("double").alias("_x"), F.lit(None).cast("string").alias("_s")) for i, c in enumerate(bounds)]
+    cells += [F.struct(F.lit(n + i).alias("_i"), F.lit(None).cast("double").alias("_x"), F.col(c).cast("string").alias("_s")) for i, c in enumerate(categories)]
+    rows = df.select(*keep, F.inline(F.array(*cells)))
+    step = _step(F.col("_i"), F.col("_x"), bounds) if bounds else F.lit(None).cast("int")
+    counts = rows.groupBy(*keep, "_i", step.alias("_b"), "_s").agg(F.count("*").alias("n"))
+    number = F.when(F.col("_b") == NONE, "none").otherwise(F.col("_b").cast("string"))
+    text = F.coalesce(F.when(F.col("_i") < n, number).otherwise(F.concat(F.lit("="), F.col("_s"))), F.lit("null"))
+    return counts.select(*keep, F.get(F.array(*map(F.lit, names)), F.col("_i")).alias("feature"), text.alias("bin"), "n")
 
 
 def training_profile(train: DataFrame, bounds: dict[str, tuple], categories: list[str]) -> DataFrame:
     """(feature, bin, n): what is stored with a model."""
-    return binned(train, bounds, categories).groupBy("feature", "bin").agg(F.count("*").alias("n"))
+    return binned_counts(train, bounds, categories)
 
 
 def merged(*profiles: DataFrame) -> DataFrame:
@@ -127,7 +139,10 @@ def merged(*profiles: DataFrame) -> DataFrame:
 def drift(df: DataFrame, day: Column, profile: DataFrame, bounds: dict[str, tuple], categories: list[str]) -> DataFrame:
     """(day, feature, rows, psi, ks): the stability index of a day's shares against the profile's, and for numbers the greatest
     difference of the two distribution functions at a step (null for categories)."""
-    counts = binned(df, bounds, categories, day.alias("day")).groupBy("day", "feature", "bin").agg(F.count("*").alias("n"))
+    counts = binned_counts(df.select(day.alias("_day"), *dict.fromkeys([*bounds, *categories])), bounds, categories, "_day").withColumnRenamed("_day", "day")
+    path = scratch_path(df.sparkSession, "day-counts")  # a row for each day and bin, read several times below
+    counts.write.parquet(path)
+    counts = df.sparkSession.read.parquet(path)
     days = counts.groupBy("day", "feature").agg(F.sum("n").alias("rows"))
     base = profile.select("feature", "bin", (F.col("n") / F.sum("n").over(Window.partitionBy("feature"))).alias("q"))  # a row for each bin
     # every day meets every bin of the profile, and the bins that only it has

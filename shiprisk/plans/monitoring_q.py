@@ -316,7 +316,10 @@ FROM k GROUP BY day, feature""")
 def q_feature_profile_drift(spark, sf):
     """T4: each month's 27 features against the stored profile of the training table: stability index and greatest gap."""
     from ..sources import files as FS
-    t = training_table(spark, sf)
+    # the table is read three times: its lookups are made once
+    path = FS.scratch_path(spark, "training-table")
+    training_table(spark, sf).select(*NUMERIC_FEATURES, *CATEGORICAL_FEATURES).write.option("compression", "zstd").parquet(path)
+    t = spark.read.parquet(path)
     bounds = OC.profile_bounds(t, NUMERIC_FEATURES)
     path = FS.scratch_path(spark, "training-profile")
     OC.training_profile(t, bounds, CATEGORICAL_FEATURES).write.parquet(path)

@@ -50,3 +50,22 @@ def test_drift_against_a_stored_profile(spark):
     shares = [steps.count(k) / 102 for k in range(20)] + [1 / 102]
     assert math.isclose(got[2, "x"][1], sum(term(0, q) for q in shares) + 2 * term(.5, 0))
     assert math.isclose(got[2, "x"][2], 0.5) and math.isclose(got[2, "k"][1], term(0, 50 / 102) + term(0, 51 / 102) + term(0, 1 / 102) + term(1, 0))
+
+
+def test_drift_counts_rows_once_by_numbers(spark):
+    """Bins are found after a row has become one row a feature, with short keys, and the rows of a day are counted once; odd numbers keep their bins."""
+    schema = "day int, x double, y double, z double, k string"
+    nan = float("nan")
+    rows = spark.createDataFrame([(1, 0.0, 5.0, None, "a"), (1, 10.0, 5.0, None, None), (2, nan, 6.0, 1.0, "null"), (2, -1.0, 4.0, None, "a"), (None, None, None, 0.0, "")], schema)
+    bounds = {"x": (0.0, 10.0), "y": (5.0, 5.0), "z": (None, None)}
+    counts = OC.binned_counts(rows, bounds, ["k"], "day")
+    got = sorted(map(str, map(tuple, counts.collect())))
+    want = [(1, "x", "0", 1), (1, "x", "19", 1), (2, "x", "20", 1), (2, "x", "-1", 1), (None, "x", "null", 1), (1, "y", "0", 2), (2, "y", "20", 1), (2, "y", "-1", 1),
+            (None, "y", "null", 1), (1, "z", "none", 2), (2, "z", "none", 2), (None, "z", "none", 1), (1, "k", "=a", 1), (1, "k", "null", 1), (2, "k", "=null", 1),
+            (2, "k", "=a", 1), (None, "k", "=", 1)]
+    assert got == sorted(map(str, want))
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE" not in plan[plan.index("Generate"):]  # no bin is made before the rows are split
+    d = OC.drift(rows, F.col("day"), OC.training_profile(rows, bounds, ["k"]), bounds, ["k"])
+    assert "LocalTableScan" not in d._jdf.queryExecution().optimizedPlan().toString()  # the rows themselves are not read again
+    assert OC.binned_counts(rows, {}, [], "day").count() == 0
